@@ -200,7 +200,7 @@ def batch_point_timeseries(assets: DataFrame, raw: DataFrame, start: dt.date | s
     files = frame.select(file_id).distinct()
     # one row per (spot, file): every file must answer for every spot
     asked = spots.withColumn("_k", F.lit(0)).join(files.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    matched = nearest_sites(asked, cells, {"at_lat": "lat", "at_lng": "lng"}, group=[file_id])
+    matched = nearest_sites(asked, cells, {"at_lat": "lat", "at_lng": "lng"}, group=[file_id], few_groups=False)
     rows = filter_date_range(frame, start, end).join(matched.drop("distance"), [file_id, *CELL])
     best = keep_newest(rows, ["at_lat", "at_lng", "date"], newest_first(*newest))
     return wanted.join(best.drop(*CELL), ["at_lat", "at_lng"]).select(

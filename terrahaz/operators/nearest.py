@@ -2,13 +2,14 @@
 
 Comparing every point with every site is what makes these operators explode,
 so sites are summarised as nested boxes: buckets of power-of-two size holding
-the tight bounds of the sites inside.
+the tight bounds of the sites inside and one of them as representative.
 
-*Nearest*: a query starts at the outermost box and steps inwards; a box is
-dropped only when its nearest corner is farther than the farthest corner of
-another box, so the true nearest site always survives and the answer is exact
-at any distance.  The descent runs on the distinct boxes the points lie in; only
-its outcome is joined to the points.
+*Nearest*: the points are gathered into tiles, and every tile starts at the
+outermost boxes and steps inwards.  A box is dropped when its nearest corner is
+farther than some representative can be, so the true nearest site always
+survives and the answer is exact at any distance.  Tiles are far fewer than
+points.  The points then meet only the finest boxes left for their tile, drop
+those too far for them, and open the rest.
 
 *Radius*: a point looks up the few buckets its circle touches.  Boxes wholly
 inside the circle contribute their pre-summed totals, boxes wholly outside
@@ -31,26 +32,24 @@ _SLACK = 1e-9
 class Layout:
     """How coordinates are cut into boxes.
 
-    ``sizes`` run from the outermost box, which covers every coordinate, to the
-    finest used for whole query boxes; ``fine`` continues for single points.
+    ``world`` covers every coordinate; ``sizes`` are the box sizes inside it,
+    outermost first; ``tile`` gathers points.
     """
 
+    world: float
     sizes: tuple[float, ...]
-    fine: tuple[float, ...]
-    query_box: float
+    tile: float
     metric: str
 
-    @property
-    def steps(self) -> tuple[float, ...]:
-        return self.sizes + self.fine
-
     def bucket(self, value: Column, size: float) -> Column:
-        # shifted so that all bucket numbers are >= 0 and the outermost is 0
-        return F.floor((value + self.sizes[0] / 2) / size)
+        # shifted so that all bucket numbers are >= 0 and the world's is 0
+        return F.floor((value + self.world / 2) / size)
 
 
-DEGREES = Layout((1024.0, 64.0, 8.0, 1.0, 0.125), (), 0.25, "l1")
-KILOMETRES = Layout((32768.0, 2048.0, 256.0, 32.0, 4.0), (0.25,), 16.0, "l2")
+# at most 45 x 23 boxes of 8 degrees, and 64 boxes of one degree in each
+DEGREES = Layout(1024.0, (8.0, 1.0), 1.0, "l1")
+# about 1000 cubes of 1024 km touch the globe; each holds some 8 x 8 of the next size
+KILOMETRES = Layout(32768.0, (1024.0, 128.0, 16.0, 2.0), 32.0, "l2")
 
 
 def _combine(parts: list[Column], metric: str) -> Column:
@@ -59,96 +58,98 @@ def _combine(parts: list[Column], metric: str) -> Column:
     return F.sqrt(reduce(Column.__add__, [p * p for p in parts]))
 
 
-def _closest(axes: list[str], metric: str) -> Column:
-    """Least distance two points of the query box and the site box can have."""
+def _closest(axes: list[str], metric: str, low: str = "q_", high: str = "q_") -> Column:
+    """Least distance from the query to a site of the box."""
     return _combine([
-        F.greatest(F.lit(0.0), F.col(f"lo_{a}") - F.col(f"q_hi_{a}"), F.col(f"q_lo_{a}") - F.col(f"hi_{a}"))
+        F.greatest(F.lit(0.0), F.col(f"lo_{a}") - F.col(f"{high}{a}"), F.col(f"{low}{a}") - F.col(f"hi_{a}"))
         for a in axes], metric)
 
 
 def _farthest(axes: list[str], metric: str) -> Column:
-    """Greatest distance two points of the query box and the site box can have."""
+    """Greatest distance from the point to a site of the box."""
+    return _combine([
+        F.greatest(F.col(f"hi_{a}") - F.col(f"q_{a}"), F.col(f"q_{a}") - F.col(f"lo_{a}")) for a in axes], metric)
+
+
+def _assured(axes: list[str], metric: str, low: str = "q_", high: str = "q_") -> Column:
+    """The box's representative is at most this far from any part of the query."""
     return _combine([
-        F.greatest(F.col(f"hi_{a}") - F.col(f"q_lo_{a}"), F.col(f"q_hi_{a}") - F.col(f"lo_{a}"))
+        F.greatest(F.col(f"rep_{a}") - F.col(f"{low}{a}"), F.col(f"{high}{a}") - F.col(f"rep_{a}"))
         for a in axes], metric)
 
 
-def _bounds(axes: list[str], low: str, high: str, to_low: str, to_high: str) -> list[Column]:
-    out = []
-    for a in axes:
-        out += [F.min(f"{low}{a}").alias(f"{to_low}{a}"), F.max(f"{high}{a}").alias(f"{to_high}{a}")]
-    return out
+def _bounds(axes: list[str], low: str, high: str, to_low: str = "lo_", to_high: str = "hi_") -> list[Column]:
+    return [c for a in axes for c in (F.min(f"{low}{a}").alias(f"{to_low}{a}"), F.max(f"{high}{a}").alias(f"{to_high}{a}"))]
+
 
+def _boxes(sites: DataFrame, group: list[str], axes: list[str], layout: Layout) -> list[DataFrame]:
+    """One table per size, outermost first: group, bucket ``b_``, enclosing
+    bucket ``up_``, bounds, and as representative the site nearest the middle.
 
-def _site_boxes(sites: DataFrame, group: list[str], axes: list[str], layout: Layout) -> list[DataFrame]:
-    """One table per size, outermost first; each is folded from the next finer."""
+    Plain number aggregates, combined before the shuffle.
+    """
     keys = [f"b_{a}" for a in axes]
-    steps = layout.steps
-    table = (
-        sites.withColumns({f"b_{a}": layout.bucket(F.col(a), steps[-1]) for a in axes})
-        .groupBy(*group, *keys).agg(*_bounds(axes, "", "", "lo_", "hi_"))
-    )
-    tables = [table]
-    for finer, coarser in zip(reversed(steps[1:]), reversed(steps[:-1])):
+    steps = (layout.world, *layout.sizes)
+    tables = []
+    for coarser, finer in zip(steps, steps[1:]):
+        keyed = sites.select(*group, *axes, *[layout.bucket(F.col(a), finer).alias(f"b_{a}") for a in axes])
+        # the same order decides for every axis, so the coordinates belong to one site
+        middle = reduce(Column.__add__, [
+            F.abs(F.col(a) - ((F.col(f"b_{a}") + 0.5) * finer - layout.world / 2)) for a in axes])
+        boxes = keyed.groupBy(*group, *keys).agg(
+            *_bounds(axes, "", ""), *[F.min_by(a, middle).alias(f"rep_{a}") for a in axes])
         shift = int(coarser / finer).bit_length() - 1
-        folded = tables[0].withColumns({k: F.shiftright(k, shift) for k in keys})
-        tables.insert(0, folded.groupBy(*group, *keys).agg(*_bounds(axes, "lo_", "hi_", "lo_", "hi_")))
+        tables.append(boxes.withColumns({f"up_{a}": F.shiftright(f"b_{a}", shift) for a in axes}))
     return tables
 
 
-def _prune(front: DataFrame, query: list[str], axes: list[str], metric: str) -> DataFrame:
-    best = F.min("_far").over(Window.partitionBy(*query))
-    return (
-        front.withColumn("_far", _farthest(axes, metric))
-        .withColumn("_best", best)
-        .where(_closest(axes, metric) <= F.col("_best") * (1 + _SLACK) + _SLACK)
-        .drop("_far", "_best")
-    )
-
-
-def _step(front: DataFrame, boxes: DataFrame, ratio: float, query: list[str], group: list[str],
-          axes: list[str], metric: str) -> DataFrame:
-    """Replace every surviving box by the boxes inside it, then prune."""
-    shift = int(ratio).bit_length() - 1
-    renamed = {f"b_{a}": f"up_{a}" for a in axes}
-    parents = front.drop(*[f"{side}_{a}" for a in axes for side in ("lo", "hi")]).withColumnsRenamed(renamed)
-    children = boxes.withColumns({f"up_{a}": F.shiftright(f"b_{a}", shift) for a in axes})
-    ups = [f"up_{a}" for a in axes]
-    return _prune(parents.join(children, [*group, *ups]).drop(*ups), query, axes, metric)
-
-
-def nearest_candidates(points: DataFrame, key: list[str], sites: DataFrame, group: list[str],
-                       axes: list[str], layout: Layout) -> DataFrame:
+def _tile_boxes(tiles: DataFrame, sites: DataFrame, group: list[str], tile: list[str], axes: list[str],
+                layout: Layout, few_groups: bool) -> DataFrame:
+    """Finest boxes that can hold the nearest site of any point of a tile."""
+    keys, ups = [f"b_{a}" for a in axes], [f"up_{a}" for a in axes]
+    parts = [*keys, *[f"{side}_{a}" for a in axes for side in ("lo", "hi", "rep")]]
+    kept = tiles.columns
+    front = tiles.select(
+        *kept, *[layout.bucket(F.col(f"q_lo_{a}"), layout.world).alias(f"up_{a}") for a in axes],
+        F.lit(float("inf")).alias("_best"))
+    for step, boxes in enumerate(_boxes(sites, group, axes, layout)):
+        if step == 0 and few_groups:
+            boxes = F.broadcast(boxes)
+        # the window's keys contain the join's, so it needs no shuffle of its own
+        here = Window.partitionBy(*group, *ups, *tile)
+        met = front.join(boxes, [*group, *ups]).withColumn(
+            "_sure", _assured(axes, layout.metric, "q_lo_", "q_hi_")).withColumn(
+            "_best", F.least("_best", F.min("_sure").over(here)))
+        near = _closest(axes, layout.metric, "q_lo_", "q_hi_")
+        left = met.where(near <= F.col("_best") * (1 + _SLACK) + _SLACK)
+        front = left.select(*kept, "_best", *[F.col(k).alias(u) for k, u in zip(keys, ups)])
+    return left.select(*group, *tile, *parts)
+
+
+def nearest_candidates(points: DataFrame, sites: DataFrame, group: list[str], axes: list[str],
+                       layout: Layout, few_groups: bool = True) -> DataFrame:
     """Pairs (point, site) that can be nearest; the nearest is always among them.
 
-    ``points``: key, group and ``q_<axis>``, distinct.  ``sites``: group, the
-    axes and any payload, distinct.  Points of a group without sites drop out.
+    ``points``: group, ``q_<axis>`` and anything else, distinct positions.
+    ``sites``: group, the axes and any payload, distinct.  Points of a group
+    without sites drop out.  ``few_groups`` says the groups are calendar periods
+    (or there is none), so the outermost boxes, at most about 1000 per group, are
+    safe to broadcast.
     """
-    tables = _site_boxes(sites, group, axes, layout)
-    sizes, steps = layout.sizes, layout.steps
-    tile = [f"t_{a}" for a in axes]
-    tiled = points.withColumns({f"t_{a}": layout.bucket(F.col(f"q_{a}"), layout.query_box) for a in axes})
-    boxes = tiled.groupBy(*group, *tile).agg(*_bounds(axes, "q_", "q_", "q_lo_", "q_hi_"))
-    outermost = boxes.withColumns({f"b_{a}": layout.bucket(F.col(f"q_lo_{a}"), sizes[0]) for a in axes})
-    # one row per group, then at most a few hundred per group: safe to broadcast
-    front = outermost.join(F.broadcast(tables[0]), [*group, *[f"b_{a}" for a in axes]])
-    for level in range(1, len(sizes)):
-        table = F.broadcast(tables[level]) if level == 1 else tables[level]
-        front = _step(front, table, sizes[level - 1] / sizes[level], [*group, *tile], group, axes, layout.metric)
-    front = front.drop(*[c for a in axes for c in (f"q_lo_{a}", f"q_hi_{a}")])
-    single = {f"q_{side}_{a}": F.col(f"q_{a}") for a in axes for side in ("lo", "hi")}
-    front = _prune(tiled.withColumns(single).join(front, [*group, *tile]).drop(*tile),
-                   [*key, *group], axes, layout.metric)
-    for level in range(len(sizes), len(steps)):
-        front = _step(front, tables[level], steps[level - 1] / steps[level], [*key, *group], group,
-                      axes, layout.metric)
-    opened = sites.withColumns({f"b_{a}": layout.bucket(F.col(a), steps[-1]) for a in axes})
-    scratch = [c for a in axes for c in (f"b_{a}", f"lo_{a}", f"hi_{a}", f"q_lo_{a}", f"q_hi_{a}")]
-    return front.join(opened, [*group, *[f"b_{a}" for a in axes]]).drop(*scratch)
-
-
-def nearest_sites(points: DataFrame, sites: DataFrame, pairs: dict[str, str],
-                  group: list[str] | None = None, prefer: str = "smaller") -> DataFrame:
+    keys, tile = [f"b_{a}" for a in axes], [f"t_{a}" for a in axes]
+    tiled = points.withColumns({f"t_{a}": layout.bucket(F.col(f"q_{a}"), layout.tile) for a in axes})
+    tiles = tiled.groupBy(*group, *tile).agg(*_bounds(axes, "q_", "q_", "q_lo_", "q_hi_"))
+    met = tiled.join(_tile_boxes(tiles, sites, group, tile, axes, layout, few_groups), [*group, *tile])
+    own = Window.partitionBy(*group, *tile, *[f"q_{a}" for a in axes])
+    ranked = met.withColumn("_sure", _assured(axes, layout.metric)).withColumn("_best", F.min("_sure").over(own))
+    left = ranked.where(_closest(axes, layout.metric) <= F.col("_best") * (1 + _SLACK) + _SLACK).select(
+        *points.columns, *keys)
+    located = sites.withColumns({f"b_{a}": layout.bucket(F.col(a), layout.sizes[-1]) for a in axes})
+    return left.join(located, [*group, *keys]).drop(*keys)
+
+
+def nearest_sites(points: DataFrame, sites: DataFrame, pairs: dict[str, str], group: list[str] | None = None,
+                  prefer: str = "smaller", few_groups: bool = True) -> DataFrame:
     """Nearest site by summed absolute coordinate difference, per group.
 
     ``pairs`` maps point columns to site columns.  Both inputs must hold
@@ -157,19 +158,18 @@ def nearest_sites(points: DataFrame, sites: DataFrame, pairs: dict[str, str],
     ``distance``.
     """
     group = list(group or [])
+    key, found_at = list(pairs), list(pairs.values())
     axes = [f"a{i}" for i in range(len(pairs))]
-    key = list(pairs)
     found = nearest_candidates(
-        points.select(*group, *key, *[F.col(p).alias(f"q_{a}") for a, p in zip(axes, pairs)]), key,
-        sites.select(*group, *pairs.values(), *[F.col(s).alias(a) for a, s in zip(axes, pairs.values())]),
-        group, axes, DEGREES)
+        points.select(*group, *key, *[F.col(p).alias(f"q_{a}") for a, p in zip(axes, key)]),
+        sites.select(*group, *found_at, *[F.col(s).alias(a) for a, s in zip(axes, found_at)]),
+        group, axes, DEGREES, few_groups)
     gap = reduce(Column.__add__, [F.abs(F.col(s) - F.col(p)) for p, s in pairs.items()])
     sign = -1.0 if prefer == "larger" else 1.0
-    order = F.struct(gap.alias("gap"), *[(F.col(s) * sign).alias(f"o{i}") for i, s in enumerate(pairs.values())])
-    best = found.groupBy(*key, *group).agg(
-        F.min(F.struct(order.alias("order"), *pairs.values())).alias("_best"))
-    return best.select(*key, *group, *[F.col(f"_best.{s}").alias(s) for s in pairs.values()],
-                       F.col("_best.order.gap").alias("distance"))
+    best = found.groupBy(*key, *group).agg(F.min(F.struct(
+        gap.alias("gap"), *[(F.col(s) * sign).alias(s) for s in found_at])).alias("_best"))
+    return best.select(*key, *group, *[(F.col(f"_best.{s}") * sign).alias(s) for s in found_at],
+                       F.col("_best.gap").alias("distance"))
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -185,8 +185,8 @@ def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
         "point_id", "cell_lat", "cell_lng")
 
 
-def radius_pieces(points: DataFrame, key: list[str], sites: DataFrame, group: list[str],
-                  axes: list[str], reach: float, totals: list[Column]) -> tuple[DataFrame, DataFrame]:
+def radius_pieces(points: DataFrame, sites: DataFrame, group: list[str], axes: list[str],
+                  reach: float, totals: list[Column]) -> tuple[DataFrame, DataFrame]:
     """Boxes of sites within ``reach`` of each point, in two parts.
 
     First part: whole boxes, one row per (point, box) with the pre-aggregated
@@ -196,17 +196,17 @@ def radius_pieces(points: DataFrame, key: list[str], sites: DataFrame, group: li
     """
     cube = 2.0 ** int(reach).bit_length()
     leaf = cube / 16
-    layout = Layout((32768.0,), (), leaf, "l2")
+    layout = KILOMETRES
     keyed = sites.withColumns({f"b_{a}": layout.bucket(F.col(a), leaf) for a in axes})
     bkeys = [f"b_{a}" for a in axes]
-    boxes = keyed.groupBy(*group, *bkeys).agg(*_bounds(axes, "", "", "lo_", "hi_"), *totals)
+    boxes = keyed.groupBy(*group, *bkeys).agg(*_bounds(axes, "", ""), *totals)
     boxes = boxes.withColumns({f"c_{a}": F.shiftright(f"b_{a}", 4) for a in axes})
-    asking = points.withColumns({f"q_{side}_{a}": F.col(f"q_{a}") for a in axes for side in ("lo", "hi")})
+    asking = points
     for a in axes:
         touched = F.sequence(layout.bucket(F.col(f"q_{a}") - reach, cube),
                              layout.bucket(F.col(f"q_{a}") + reach, cube))
         asking = asking.withColumn(f"c_{a}", F.explode(touched))
     met = asking.join(boxes, [*group, *[f"c_{a}" for a in axes]]).withColumns(
         {"near_km": _closest(axes, "l2"), "far_km": _farthest(axes, "l2")})
-    scratch = [c for a in axes for c in (f"c_{a}", f"lo_{a}", f"hi_{a}", f"q_lo_{a}", f"q_hi_{a}")]
+    scratch = [c for a in axes for c in (f"c_{a}", f"lo_{a}", f"hi_{a}")]
     return met.where(F.col("near_km") <= reach * (1 + _SLACK)).drop(*scratch), keyed

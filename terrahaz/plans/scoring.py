@@ -7,11 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import end_of_day
-from ..functions.numbers import PERILS
 from ..operators.features import CELL, distinct_cells
 from ..operators.filters import filter_date_range
-from ..operators.fires import asset_fire_features
+from ..operators.fires import daily_fire_features
 from ..operators.nearest import nearest_cell
 from ..operators.perils import peril_windows, weather_rows, weather_scores, wildfire_entry
 from ..operators.thresholds import threshold_lookup
@@ -54,9 +52,8 @@ def batch_scores(features: DataFrame, assets: DataFrame, monthly: DataFrame, by_
         if fires is None:
             raise ValueError("wildfire scores need the fires table")
         days = homes.join(rows.select(*CELL, "date"), CELL).select("asset_id", "date")
-        asked = assets.select("asset_id", "lat", "lon").join(days, "asset_id").withColumn(
-            "window_end", end_of_day(F.col("date")))
-        found = asset_fire_features(asked, fires).withColumn("date", F.to_date("window_end"))
+        asked = assets.select("asset_id", "lat", "lon").join(days, "asset_id")
+        found = daily_fire_features(asked, fires)
         parts.append(found.select("asset_id", "date", F.inline(F.array(wildfire_entry()))).select(
             "asset_id", "date", "peril", "score", "band", "exposure", "drivers"))
     out = parts[0]
@@ -65,6 +62,3 @@ def batch_scores(features: DataFrame, assets: DataFrame, monthly: DataFrame, by_
     labels = {name: F.lit(value) for name, value in SCORE_LABELS.items()}
     return out.withColumns({**labels, "run_id": F.lit(run_id), "climatology_version": F.lit(version)})
 
-
-def all_perils() -> list[str]:
-    return list(PERILS)

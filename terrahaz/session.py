@@ -20,6 +20,8 @@ def local_session(app: str = "terrahaz", cores: str = "8", shuffle_partitions: i
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # few, small partitions: merging them would leave cores idle
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.files.maxPartitionBytes", "128m")
         .getOrCreate()
     )

@@ -28,11 +28,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def monthly(t: Tables) -> DataFrame:
-    return _rounded(th.build_climatology(t.v_features, *BASELINE, VERSION, "month"))
+    # thresholds are a stored table in practice; here they are kept for the session
+    return _rounded(th.build_climatology(t.v_features, *BASELINE, VERSION, "month")).persist()
 
 
 def by_doy(t: Tables) -> DataFrame:
-    return _rounded(th.build_climatology(t.v_features, *BASELINE, VERSION, "doy"))
+    return _rounded(th.build_climatology(t.v_features, *BASELINE, VERSION, "doy")).persist()
 
 
 def scored_cells(t: Tables) -> DataFrame:

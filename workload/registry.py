@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import climate
+from . import climate, fires, portfolio
 from .views import Tables, duck_sql
 
-MODULES = [climate]
+MODULES = [climate, portfolio, fires]
 
 
 def queries() -> dict:
