@@ -48,11 +48,12 @@ def band_percent(counts: DataFrame) -> DataFrame:
 
 
 def _with_all(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Append, per key, an "all" row: the mean of the rounded peril means."""
-    if keys:
-        overall = df.groupBy(*keys).agg(half_even(F.avg(name), 2).alias(name))
-    else:
-        overall = df.agg(half_even(F.avg(name), 2).alias(name)).where(F.col(name).isNotNull())
+    """Append, per key, an "all" row: the mean of the rounded peril means.
+
+    Averaged in whole hundredths, so the order of the perils cannot matter.
+    """
+    mean = (F.rint(F.avg(F.rint(F.col(name) * 100))) / 100).alias(name)
+    overall = df.groupBy(*keys).agg(mean) if keys else df.agg(mean).where(F.col(name).isNotNull())
     return df.unionByName(overall.withColumn("peril", F.lit("all")))
 
 

@@ -66,13 +66,13 @@ def write_scores(spark, path: str, fresh: DataFrame, assets: DataFrame, start: d
     Only the touched date folders of this version are read and rewritten.
     """
     span = F.col("date").between(day_literal(start), day_literal(end)) & (F.col("climatology_version") == version)
-    touched = spark.read.schema(fresh.schema).parquet(path).where(span) if _exists(spark, path) else fresh.limit(0)
+    touched = spark.read.schema(fresh.schema).parquet(path).where(span) if path_exists(spark, path) else fresh.limit(0)
     result = sink_scores_replace(touched, fresh, assets, start, end, version)
     overwrite_partitions(_spread(result, "climatology_version", "date", "asset_id"), path,
                          "climatology_version", "date")
 
 
-def _exists(spark, path: str) -> bool:
+def path_exists(spark, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 

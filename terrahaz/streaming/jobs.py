@@ -16,6 +16,7 @@ from ..functions.dates import instant_literal
 from ..operators.features import HOURLY_VARIABLES, PRECIP, SOIL, TEMPERATURE, WIND_U, WIND_V, wind_speed
 from ..operators.fires import FIRE_KEY
 from ..operators.notices import wildfire_notifications
+from ..sources.sinks import path_exists
 
 FIRE_LATENESS = "7 days"
 HOURLY_LATENESS = "1 day"
@@ -108,6 +109,6 @@ def _write_batch(df: DataFrame, store: str, batch_id: int) -> None:
 
 
 def _stored_notices(spark, store: str, batch_id: int) -> DataFrame:
-    if batch_id == 0:
+    if not path_exists(spark, store):
         return spark.createDataFrame([], NOTICE_SCHEMA)
     return spark.read.schema(NOTICE_SCHEMA).parquet(store).where(F.col("batch_id") < batch_id)

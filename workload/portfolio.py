@@ -131,10 +131,10 @@ ORACLES = {
         select band, n, floor(n / cast(sum(n) over () as double) * 1000 + 0.5) / 10 as pct from c""",
     "peril_averages": """
         with p as (select peril, round_even(avg(score), 2) as avg_score from v_scores group by peril)
-        select * from p union all select 'all', round_even(avg(avg_score), 2) from p""",
+        select * from p union all select 'all', round_even(avg(round_even(avg_score * 100, 0)), 0) / 100 from p""",
     "trend_by_date": f"""
         select {_DATE}, peril, avg_score from x_trend union all
-        select {_DATE}, 'all', round_even(avg(avg_score), 2) from x_trend group by x_trend.date""",
+        select {_DATE}, 'all', round_even(avg(round_even(avg_score * 100, 0)), 0) / 100 from x_trend group by x_trend.date""",
     "trend_direction": """
         with d as (select date, avg(score) as s from x_hazards group by date),
         e as (select arg_min(s, date) as a, arg_max(s, date) as z from d)
@@ -175,9 +175,9 @@ ORACLES = {
         from (values ('extreme'), ('major'), ('moderate'), ('minor'), ('minimal')) b(band)
         left join x_chosen_hazards h on lower({_band_sql('round_even(h.score, 0)')}) = b.band group by b.band
         union all select 'peril_averages', peril, v from x_chosen_perils
-        union all select 'peril_averages', 'all', round_even(avg(v), 2) from x_chosen_perils
+        union all select 'peril_averages', 'all', round_even(avg(round_even(v * 100, 0)), 0) / 100 from x_chosen_perils
         union all select 'trend', concat(cast(date as varchar), '/', peril), v from x_chosen_trend
-        union all select 'trend', concat(cast(date as varchar), '/all'), round_even(avg(v), 2) from x_chosen_trend group by date
+        union all select 'trend', concat(cast(date as varchar), '/all'), round_even(avg(round_even(v * 100, 0)), 0) / 100 from x_chosen_trend group by date
         union all (select 'top_assets', asset_id, round_even(avg(score), 2) from x_chosen_hazards group by asset_id
                    order by avg(score) desc, asset_id limit 10)""",
     "table_page": """

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import climate, fires, portfolio
+from . import climate, fires, ledgers, portfolio, provinces, streams
 from .views import Tables, duck_sql
 
-MODULES = [climate, portfolio, fires]
+MODULES = [climate, portfolio, fires, provinces, ledgers, streams]
 
 
 def queries() -> dict:
