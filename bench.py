@@ -24,6 +24,7 @@ from terrahaz.operators import thresholds as th
 from terrahaz.plans.scoring import batch_scores
 from terrahaz.session import local_session
 from terrahaz.sources import sinks
+from terrahaz.sources.readers import stored_features
 from workload import climate
 from workload.common import BASELINE, VERSION, WHOLE
 from workload.views import Tables
@@ -53,9 +54,10 @@ def main() -> None:
     t.lineitem.agg(F.count("*")).collect()
     timed("build_daily_features", lambda: sinks.sink_features_month(
         ft.scan_daily_features(t.v_features_raw, *WHOLE, "file_id", climate.NEWEST).drop("month"), f"{store}/features"))
-    features = spark.read.parquet(f"{store}/features")
+    features = stored_features(spark, f"{store}/features", START, END)
+    baseline = stored_features(spark, f"{store}/features", *BASELINE)
     timed("build_climatology", lambda: sinks.sink_climatology(
-        th.build_climatology(features, *BASELINE, VERSION), f"{store}/climatology", "month"))
+        th.build_climatology(baseline, *BASELINE, VERSION), f"{store}/climatology", "month"))
     monthly = sinks.read_climatology(spark, f"{store}/climatology", "month")
     assets = t.v_assets.select("asset_id", "lat", "lon").orderBy("asset_id").cache()
     counts = [100, 5000, assets.count()]

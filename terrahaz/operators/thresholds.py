@@ -25,16 +25,16 @@ THRESHOLDS = {
 LEVELS = {"month": lambda c: F.month(c), "doy": lambda c: F.dayofyear(c)}
 
 
-def cell_frame(rows: int) -> "Window":
+def cell_frame(rows: int, *also: str) -> "Window":
     """The current row and the rows before it, ``rows`` in all, of one cell."""
-    return Window.partitionBy(*CELL).orderBy("date").rowsBetween(1 - rows, 0)
+    return Window.partitionBy(*also, *CELL).orderBy("date").rowsBetween(1 - rows, 0)
 
 
-def rolling_precip(features: DataFrame) -> DataFrame:
+def rolling_precip(features: DataFrame, *also: str) -> DataFrame:
     """7- and 30-row precipitation sums; a frame without any reading is NULL."""
     return features.withColumns({
-        "precip_7d_sum": F.sum("precip_sum").over(cell_frame(7)),
-        "precip_30d_sum": F.sum("precip_sum").over(cell_frame(30)),
+        "precip_7d_sum": F.sum("precip_sum").over(cell_frame(7, *also)),
+        "precip_30d_sum": F.sum("precip_sum").over(cell_frame(30, *also)),
     })
 
 
@@ -43,16 +43,21 @@ def build_climatology(features: DataFrame, start: dt.date | str, end: dt.date |
     """Thresholds per cell and month (or day of year) over the baseline.
 
     Exact interpolated percentiles.  A group holds one cell's days of one
-    calendar month, so its size is bounded by the years of the baseline, and the
-    grouping reuses the partitioning of the rolling window.
+    calendar month, so its size is bounded by the years of the baseline.
+
+    Rows are spread once by a decimal form of the cell.  Decimals, unlike
+    doubles, are recognised as the same key by window and grouping, so the
+    percentile buffers never travel; the exact coordinates stay in the keys.
     """
-    rolled = rolling_precip(filter_date_range(features, start, end))
+    spread = ["_cell_lat", "_cell_lng"]
+    keyed = filter_date_range(features, start, end).withColumns(
+        {key: F.col(c).cast("decimal(15,9)") for key, c in zip(spread, CELL)}).repartition(*spread)
+    rolled = rolling_precip(keyed, *spread)
     quantiles = [F.percentile(column, F.lit(q)).alias(name) for name, (column, q) in THRESHOLDS.items()]
-    return rolled.groupBy(
-        F.lit(version).alias("climatology_version"),
-        F.col("lat").alias("cell_lat"), F.col("lng").alias("cell_lng"),
-        LEVELS[level]("date").cast("int").alias(level),
-    ).agg(*quantiles)
+    groups = rolled.withColumn("_period", LEVELS[level]("date").cast("int")).groupBy(*spread, *CELL, "_period").agg(*quantiles)
+    return groups.select(
+        F.lit(version).alias("climatology_version"), F.col("lat").alias("cell_lat"), F.col("lng").alias("cell_lng"),
+        F.col("_period").alias(level), *THRESHOLDS)
 
 
 def threshold_nearest(wanted: DataFrame, monthly: DataFrame) -> DataFrame:
@@ -80,16 +85,20 @@ def threshold_lookup(cell_days: DataFrame, monthly: DataFrame, daily: DataFrame
     cell of that month; cell-days with none of them drop out.  Thresholds are
     folded to one row per cell (at most 12 + 366 entries), so the cell-days join
     on the cell alone and keep the partitioning of their windows.
+
+    Runs one job: it lists the cell-months that lack thresholds of their own
+    (normally none) and plans the nearest-cell search only if there are any.
     """
     def of_version(df: DataFrame) -> DataFrame:
-        chosen = df.where(F.col("climatology_version") == version).drop("climatology_version")
-        return chosen
+        return df.where(F.col("climatology_version") == version).drop("climatology_version")
 
     monthly = of_version(monthly)
     exact = monthly.withColumnsRenamed({"cell_lat": "lat", "cell_lng": "lng"})
     asked = cell_days.select(*CELL, F.month("date").cast("int").alias("month")).distinct()
-    open_months = asked.join(exact.select(*CELL, "month"), [*CELL, "month"], "left_anti")
-    resolved = exact.select(*CELL, "month", *THRESHOLDS).unionByName(threshold_nearest(open_months, monthly))
+    open_months = asked.join(exact.select(*CELL, "month"), [*CELL, "month"], "left_anti").persist()
+    resolved = exact.select(*CELL, "month", *THRESHOLDS)
+    if not open_months.isEmpty():
+        resolved = resolved.unionByName(threshold_nearest(open_months, monthly))
     out = cell_days.join(_per_cell(resolved, "month", "_by_month"), CELL, "left")
     chosen = F.try_element_at("_by_month", F.month("date").cast("int"))
     if daily is not None:

@@ -7,24 +7,29 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_literal
+from ..functions.dates import instant_literal
 from ..functions.geo import wkt_point
 from ..functions.numbers import half_even, number
 from ..operators.filters import filter_bbox, filter_date_range
 
 
-def read_feature_files(spark: SparkSession, root: str, start: dt.date | str, end: dt.date | str) -> DataFrame:
-    """Feature files below ``year=/month=`` folders touched by a date range.
+def stored_features(spark: SparkSession, root: str, start: dt.date | str, end: dt.date | str) -> DataFrame:
+    """Rows of the ``year=/month=`` folders a date range touches.
 
-    Only the folders of those months are listed and read.  Every row carries
-    ``file_id`` and ``written_at`` of its file, for unit rules and newest-wins.
-    Folders hold whole months, so unit rules still see whole files.
+    The folder condition is on the folder names alone, so other months are
+    neither listed for reading nor opened.  Folders are whole months: clip by
+    date afterwards.
     """
     first, last = str(start)[:7], str(end)[:7]
     files = spark.read.option("mergeSchema", "true").parquet(root)
-    label = F.format_string("%04d-%02d", F.col("year").cast("int"), F.col("month").cast("int"))
-    years = F.col("year").between(int(first[:4]), int(last[:4]))
-    return files.where(years & label.between(first, last)).select(
+    number = F.col("year").cast("int") * 12 + F.col("month").cast("int")
+    return files.where(number.between(int(first[:4]) * 12 + int(first[5:7]), int(last[:4]) * 12 + int(last[5:7])))
+
+
+def read_feature_files(spark: SparkSession, root: str, start: dt.date | str, end: dt.date | str) -> DataFrame:
+    """``stored_features`` with ``file_id`` and ``written_at`` of each row's
+    file, for unit rules (which so still see whole files) and newest-wins."""
+    return stored_features(spark, root, start, end).select(
         "*", F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_modification_time").alias("written_at"))
 
@@ -111,8 +116,6 @@ def daily_json_rain(df: DataFrame, json_column: str, keys: list[str]) -> DataFra
 
 def read_artifacts(spark: SparkSession, path: str, artifact_type: str, now: dt.datetime | str) -> DataFrame:
     """Files below a path with checksum and size, ready to append to the registry."""
-    from ..functions.dates import instant_literal
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
         F.lit(artifact_type).alias("artifact_type"), F.col("path").alias("uri"),
@@ -125,10 +128,3 @@ def object_checksum(etag: Column, key: Column) -> Column:
     """Checksum of an object that was only streamed: from its tag, else its key."""
     return F.sha2(F.coalesce(etag, key), 256)
 
-
-def month_folder(day: Column) -> list[Column]:
-    return [F.year(day).alias("year"), F.month(day).alias("month")]
-
-
-def since(df: DataFrame, column: str, day: dt.date | str) -> DataFrame:
-    return df.where(F.col(column) >= day_literal(day))
