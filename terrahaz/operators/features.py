@@ -38,6 +38,7 @@ TEMPERATURE, PRECIP, WIND_U, WIND_V, SOIL = (
 )
 HOURLY_VARIABLES = (TEMPERATURE, PRECIP, WIND_U, WIND_V, SOIL)
 FEATURE_VALUES = ("temp_mean", "temp_max", "precip_sum", "wind_max", "soil_moisture_mean")
+SALTS = 64
 LARGE_SCALE, CONVECTIVE = "large_scale_precipitation", "convective_precipitation"
 
 
@@ -197,9 +198,12 @@ def batch_point_timeseries(assets: DataFrame, raw: DataFrame, start: dt.date | s
     wanted = assets.select(
         "asset_id", F.bround("lat", 3).alias("at_lat"), F.bround("lng", 3).alias("at_lng"))
     spots = wanted.select("at_lat", "at_lng").distinct()
-    files = frame.select(file_id).distinct()
-    # one row per (spot, file): every file must answer for every spot
-    asked = spots.withColumn("_k", F.lit(0)).join(files.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    # one row per (spot, file with days in the range): every such file answers for
+    # every spot.  Salted, so the pairing has no single hot key.
+    files = filter_date_range(frame, start, end).select(file_id).distinct()
+    salted = spots.withColumn("_salt", F.pmod(F.hash("at_lat", "at_lng"), F.lit(SALTS)))
+    copies = files.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = salted.join(copies, "_salt").drop("_salt")
     matched = nearest_sites(asked, cells, {"at_lat": "lat", "at_lng": "lng"}, group=[file_id], few_groups=False)
     rows = filter_date_range(frame, start, end).join(matched.drop("distance"), [file_id, *CELL])
     best = keep_newest(rows, ["at_lat", "at_lng", "date"], newest_first(*newest))

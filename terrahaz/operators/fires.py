@@ -140,12 +140,12 @@ def spot_day_fires(spot_days: DataFrame, fires: DataFrame) -> DataFrame:
     rows = fires.select("time_utc", "lat", "lon", "frp").withColumn("time_utc", F.col("time_utc").cast("timestamp"))
     days = F.when(at_edge, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     counted = rows.withColumn("_shift", F.explode(days)).withColumn("date", F.date_add(F.to_date("time_utc"), F.col("_shift")))
-    wanted = spot_days.agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    # one row per calendar day: safe to broadcast
+    wanted = F.broadcast(spot_days.select("date").distinct())
     located = (
-        counted.groupBy("date", "lat", "lon").agg(
+        counted.join(wanted, "date", "left_semi").groupBy("date", "lat", "lon").agg(
             F.count(F.when(F.col("_shift") == 0, 1)).alias("fires_10km"),
             F.count(F.when(F.col("_shift") == 1, 1)).alias("edge_10km"), F.max("frp").alias("max_frp_20km"))
-        .join(F.broadcast(wanted), F.col("date").between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
         .withColumns(space_axes(F.col("lat"), F.col("lon")))).persist()
     keys = ["date", "lat", "lon"]
     totals = _near_totals(spot_days, located, "date", ["fires_10km", "edge_10km"], ["max_frp_20km"])

@@ -79,18 +79,19 @@ def fire_alert_handler(assets: DataFrame, fire_store: str, notice_store: str) ->
     """Batch handler: store the fires, then raise notifications as of the newest
     detection of the batch.
 
-    Both stores are kept by batch number and overwritten for it, so a replay
-    after a failure writes the same result again.
+    Both stores are kept by batch number (the fires also by day) and overwritten
+    for it, so a replay after a failure writes the same result again.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = batch.agg(F.max("time_utc").alias("t")).first()["t"]
         if newest is None:
             return
-        _write_batch(batch, fire_store, batch_id)
-        fires = spark.read.parquet(fire_store)
+        _write_batch(batch.withColumn("day", F.to_date("time_utc")), fire_store, batch_id, "day")
         moment = str(newest)
-        recent = fires.where(F.col("time_utc") >= instant_literal(moment) - F.expr("INTERVAL 7 DAYS"))
+        first = instant_literal(moment) - F.expr("INTERVAL 7 DAYS")
+        # the folder of a day is named by it, so older days are not opened
+        recent = spark.read.parquet(fire_store).where((F.col("day") >= F.to_date(first)) & (F.col("time_utc") >= first))
         stored = _stored_notices(spark, notice_store, batch_id)
         fresh = wildfire_notifications(assets, recent, stored, moment)
         _write_batch(fresh, notice_store, batch_id)
@@ -103,9 +104,9 @@ NOTICE_SCHEMA = (
     "created_at timestamp, acknowledged_at timestamp, batch_id bigint")
 
 
-def _write_batch(df: DataFrame, store: str, batch_id: int) -> None:
+def _write_batch(df: DataFrame, store: str, batch_id: int, *folders: str) -> None:
     (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(store))
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "batch_id").parquet(store))
 
 
 def _stored_notices(spark, store: str, batch_id: int) -> DataFrame:
