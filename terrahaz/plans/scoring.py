@@ -37,12 +37,13 @@ def batch_scores(features: DataFrame, assets: DataFrame, monthly: DataFrame, by_
     ``assets``: asset_id, lat, lon.  Weather perils are scored once per cell-day
     and then joined to the assets of the cell; wildfire uses the asset's own
     position.  Days without a feature row or thresholds yield no row at all.
-    The distinct cells of the range are persisted: the search reads them often.
+    The distinct cells of the range and the cell of each asset are persisted:
+    several joins read them.
     """
     cells = distinct_cells(filter_date_range(features, start, end)).persist()
     places = assets.select(F.col("asset_id").alias("point_id"), "lat", F.col("lon").alias("lng"))
     homes = nearest_cell(places, cells).select(
-        F.col("point_id").alias("asset_id"), F.col("cell_lat").alias("lat"), F.col("cell_lng").alias("lng"))
+        F.col("point_id").alias("asset_id"), F.col("cell_lat").alias("lat"), F.col("cell_lng").alias("lng")).persist()
     rows = cell_rows(features, monthly, by_doy, start, end, version)
     parts = []
     if any(p != "wildfire" for p in perils):

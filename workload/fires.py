@@ -76,8 +76,7 @@ def _candidates(t: Tables) -> DataFrame:
 def _batch_with_fires(t: Tables) -> DataFrame:
     fires = t.v_fires.withColumn("time_utc", F.col("time_utc") - F.make_dt_interval(F.lit(SHIFT_DAYS)))
     scores = batch_scores(t.v_features, t.v_assets, climate.monthly(t), None, *QUARTER, VERSION, list(PERILS), fires)
-    return plain(scores.where("peril = 'wildfire'").select(
-        "asset_id", "date", "score", "band", F.concat_ws("; ", "drivers").alias("drivers")))
+    return plain(scores.select("asset_id", "date", "peril", "score", "band", F.concat_ws("; ", "drivers").alias("drivers")))
 
 
 def _ingest(t: Tables) -> DataFrame:
@@ -137,17 +136,18 @@ STEPS.update({
         select c.asset_id, f.date from x_asset_cell c join v_features f on f.lat = c.cell_lat and f.lng = c.cell_lng
         join x_q_resolved r on r.lat = f.lat and r.lng = f.lng and r.month = month(f.date)
         where f.date between date '{QUARTER[0]}' and date '{QUARTER[1]}'""",
-    "x_wild": f"""
-        select d.asset_id, d.date, round_even(min(km), 3) as near7,
-               count(*) filter (where km <= 10 and d1) as c24, count(*) filter (where km <= 10) as c7,
-               round_even(max(frp) filter (where km <= 20), 3) as frp7
-        from x_wild_days d left join (
-          select a.asset_id, w.date, {_KM} as km, f.frp, f.time_utc >= w.stop - interval 24 hours as d1
-          from v_assets a cross join (select cast(x as date) as date, x + interval 1 day - interval 1 microsecond as stop
-                                      from generate_series(timestamp '{QUARTER[0]}', timestamp '{QUARTER[1]}', interval 1 day) g(x)) w
-          join (select time_utc - interval {SHIFT_DAYS} days as time_utc, lat, lon, frp from v_fires) f
-            on f.time_utc between w.stop - interval 7 days and w.stop) p
-        on p.asset_id = d.asset_id and p.date = d.date group by d.asset_id, d.date""",
+    # detections carry whole minutes, so a week is exactly seven calendar days
+    "x_wild_by_day": f"""
+        select asset_id, day, min(km) as km, count(*) filter (where km <= 10) as n, max(frp) filter (where km <= 20) as frp
+        from (select a.asset_id, cast(f.time_utc as date) - {SHIFT_DAYS} as day, f.frp, {_KM} as km
+              from v_assets a cross join v_fires f) t
+        group by asset_id, day""",
+    "x_wild": """
+        select d.asset_id, d.date, round_even(min(p.km), 3) as near7, coalesce(sum(p.n) filter (where p.day = d.date), 0) as c24,
+               coalesce(sum(p.n), 0) as c7, round_even(max(p.frp), 3) as frp7
+        from x_wild_days d left join x_wild_by_day p
+          on p.asset_id = d.asset_id and p.day between d.date - 6 and d.date
+        group by d.asset_id, d.date""",
     "x_wild_scores": """
         select *, case when near7 is null then 0 else cast(least(100, greatest(0, round_even(
                     greatest(0E0, (50 - least(near7, 50E0)) / 50E0) * 55E0 + least(c24 * 25E0 + c7 * 6E0, 35E0)
@@ -236,8 +236,9 @@ ORACLES = {
         select asset_id, {_DATE}, {_WILD} as score, {_band_sql(_WILD)} as band, {_TEXTS.format(c24=_C24, near7=_NEAR7)} as drivers
         from x_week""",
     "batch_scores_wildfire": f"""
-        select asset_id, {_DATE}, score, {_band_sql('score')} as band, {_TEXTS.format(c24='c24', near7='near7')} as drivers
-        from x_wild_scores""",
+        select asset_id, {_DATE}, 'wildfire' as peril, score, {_band_sql('score')} as band,
+               {_TEXTS.format(c24='c24', near7='near7')} as drivers from x_wild_scores
+        union all select asset_id, {_DATE}, peril, score, band, drivers from x_asset_scores""",
     "notifications_anti": f"""
         select id, portfolio_id, asset_id, concat('key-', substring(asset_id, 2, 9), '-2024-01-20') as dedup_key from v_notifications n
         where concat('key-', substring(asset_id, 2, 9), '-2024-01-20') not in (
