@@ -50,3 +50,28 @@ def numbered(df: DataFrame, group: list[str], cell: str, order: list[Column], ou
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - F.lit(1)
     return (df.withColumn("_at", within).join(offsets, keys)
             .withColumn(out, (F.col("_at") + F.col("_before")).cast("long")).drop("_at", "_before"))
+
+
+def text_key() -> dict[str, Column]:
+    """``_id`` and ``_th`` identify a text of a document, null ids and texts included.
+
+    Rows repeated word for word share them, so what is found for the pair can be
+    joined back to rows without multiplying any.
+    """
+    return {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")),
+            "_th": F.xxhash64(F.col("text"))}
+
+
+def keyed(docs: DataFrame, *columns) -> DataFrame:
+    return docs.select(*[c.alias(n) for n, c in text_key().items()], *columns)
+
+
+def without(docs: DataFrame, keys: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` whose text key is not among ``keys`` (a stored frame)."""
+    return (docs.withColumns(text_key()).join(bounded_broadcast(keys, rows), ["_id", "_th"], "left_anti")
+            .select(*docs.columns))
+
+
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """Marks a stored frame for broadcasting if it has at most ``rows`` rows; else the join is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from terrahaz.llm.common import documents, hash_cell, numbered, written
 
-TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
+BETWEEN_RUNS = r"[^\p{L}\p{M}\p{N}]+"
+SIGN = r"[^\p{L}\p{M}\p{N}\s]"
 MAX_LEN = 2048
 BUCKETS = 16
 BUDGET = 65_536
@@ -22,7 +23,9 @@ CELLS = 256
 
 def token_count(text: Column) -> Column:
     """Runs of letters and digits, and single other signs."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+    whole = F.coalesce(text, F.lit(""))
+    runs = F.size(F.array_remove(F.split(whole, BETWEEN_RUNS), ""))
+    return (runs + F.size(F.split(whole, SIGN, -1)) - F.lit(1)).cast("long")
 
 
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:

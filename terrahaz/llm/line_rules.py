@@ -19,12 +19,17 @@ NAVIGATION = r"(\|.*){3}|(>.*){2}|^\s*(home|menu|next|previous|back|top|search)\
 MAX_LOST = 0.5
 
 
+def occurrences(text: Column, pattern: str) -> Column:
+    """How often a one-match-per-place pattern occurs."""
+    return F.size(F.split(text, pattern, -1)) - F.lit(1)
+
+
 def line_fails(line: Column) -> Column:
     """Punctuation: over a tenth of a line's signs are symbols, or a closing run of ``!!``;
     navigation: bars or arrows between short entries, or a lone menu word; boilerplate: a stock phrase."""
     length = F.length(line)
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
-    shouts = F.regexp_count(line, F.lit("!!"))
+    symbols = occurrences(line, SYMBOLS)
+    shouts = occurrences(line, "!!")
     return ((symbols * 10 > length) | (shouts * 20 > length)
             | F.lower(line).rlike(NAVIGATION) | line.rlike(BOILERPLATE))
 
@@ -51,7 +56,7 @@ def judge_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     counted = base.select(
         "doc_id", "text", "lines", n.cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        occurrences(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"),
         F.sort_array(F.transform(F.coalesce(three, F.array()), lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("w"), i.alias("i")))).alias("sorted"),
         F.filter("lines", lambda x: ~line_fails(x)).alias("good"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from terrahaz.llm import length_buckets, line_rules, slot_shards, url_filter
+from terrahaz.llm import length_buckets, line_rules, phrase_index, slot_shards, surrogates, url_filter
 
 QUERIES = {
     "op2_line_rules": line_rules.op2_line_rules,
     "op3_slot_shards": slot_shards.op3_slot_shards,
     "op4_length_buckets": length_buckets.op4_length_buckets,
+    "op6_surrogates": surrogates.op6_surrogates,
+    "op9_phrase_index": phrase_index.op9_phrase_index,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
     "op2_line_rules": line_rules.SQL,
+    "op9_phrase_index": phrase_index.SQL,
     "op10_url_filter": url_filter.SQL,
 }
