@@ -27,10 +27,11 @@ SIZES = (3, 4, 5)
 WIDTH = 8
 FIT_ROWS = 2000  # of each class, at most
 FIT_CHARS = 20_000  # longer texts are not drawn into the sample
-EPOCHS = 10
+EPOCHS = 16
 RATE = 0.03
 MIN_TEXTS = 5
 DECAY = 0.0
+SHARPNESS = 6.0  # few passes leave the softmax hesitant; this is its inverse temperature
 CUT = 0.7
 CACHE = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -84,7 +85,7 @@ class _Bags:
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE,
-        min_texts: int = MIN_TEXTS, decay: float = DECAY, seed: int = 7) -> Model:
+        min_texts: int = MIN_TEXTS, decay: float = DECAY, sharpness: float = SHARPNESS, seed: int = 7) -> Model:
     """Joint training of n-gram vectors and softmax by Adam over the whole sample."""
     if not texts or len(set(labels)) < 2:  # nothing to learn from: every text gets the class share
         share = min(max(float(np.mean(labels)) if labels else 0.0, 0.01), 0.99)
@@ -141,7 +142,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
             params[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             if k == 0:
                 params[k] *= 1 - decay
-    vectors, softmax, bias = params
+    vectors, softmax, bias = params[0], params[1] * sharpness, params[2] * sharpness
     weight = np.zeros(BUCKETS, np.float32)
     weight[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
     return Model(weight, float(bias[1] - bias[0]), vectors, softmax)
