@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrahaz.llm import length_buckets, line_rules, odd_sketch_dedup, phrase_index, slot_shards, subword_toxicity, surrogates, url_filter
+from terrahaz.llm import block_repeats, length_buckets, line_rules, odd_sketch_dedup, phrase_index, slot_shards, subword_toxicity, surrogates, url_filter
 
 QUERIES = {
     "op1_subword_toxicity": subword_toxicity.op1_subword_toxicity,
@@ -11,11 +11,13 @@ QUERIES = {
     "op4_length_buckets": length_buckets.op4_length_buckets,
     "op5_odd_sketch_dedup": odd_sketch_dedup.op5_odd_sketch_dedup,
     "op6_surrogates": surrogates.op6_surrogates,
+    "op8_block_repeats": block_repeats.op8_block_repeats,
     "op9_phrase_index": phrase_index.op9_phrase_index,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
     "op2_line_rules": line_rules.SQL,
+    "op8_block_repeats": block_repeats.SQL,
     "op9_phrase_index": phrase_index.SQL,
     "op10_url_filter": url_filter.SQL,
 }
