@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrahaz.llm import block_repeats, length_buckets, line_rules, odd_sketch_dedup, phrase_index, slot_shards, subword_toxicity, surrogates, url_filter
+from terrahaz.llm import block_repeats, length_buckets, line_rules, odd_sketch_dedup, phrase_index, slot_shards, subword_toxicity, suffix_repeats, surrogates, url_filter
 
 QUERIES = {
     "op1_subword_toxicity": subword_toxicity.op1_subword_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_length_buckets": length_buckets.op4_length_buckets,
     "op5_odd_sketch_dedup": odd_sketch_dedup.op5_odd_sketch_dedup,
     "op6_surrogates": surrogates.op6_surrogates,
+    "op7_suffix_repeats": suffix_repeats.op7_suffix_repeats,
     "op8_block_repeats": block_repeats.op8_block_repeats,
     "op9_phrase_index": phrase_index.op9_phrase_index,
     "op10_url_filter": url_filter.op10_url_filter,
