@@ -24,7 +24,7 @@ from terrahaz.llm.common import bounded_broadcast, documents, text_key, written
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
-WIDTH = 8
+WIDTH = 4
 FIT_ROWS = 2000  # of each class, at most
 FIT_CHARS = 20_000  # longer texts are not drawn into the sample
 EPOCHS = 16
@@ -93,26 +93,28 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
     index: dict[str, int] = {}
     rows, cols, weights = [], [], []
     for i, text in enumerate(texts):
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in text.lower().split()), np.int64)
+        ids = np.fromiter((index.setdefault(w, len(index)) for w in text.lower().split()), np.int32)
         if len(ids):
             found, n = np.unique(ids, return_counts=True)
-            rows.append(np.full(len(found), i))
+            rows.append(np.full(len(found), i, np.int32))
             cols.append(found)
-            weights.append(n / len(ids))
-    of_words = [np.array(grams(w), np.int64) for w in index]
+            weights.append((n / len(ids)).astype(np.float32))
+    of_words = [np.array(grams(w), np.int32) for w in index]
     lengths = np.array([len(g) for g in of_words])
-    buckets = np.concatenate(of_words) if lengths.sum() else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(of_words)), lengths)
+    buckets = np.concatenate(of_words) if lengths.sum() else np.zeros(0, np.int32)
+    owner = np.repeat(np.arange(len(of_words), dtype=np.int32), lengths)
     # n-grams of fewer than ``min_texts`` texts can only be learnt by heart
     held = np.zeros((2, BUCKETS), np.float32)
     for text_rows, words_of_text in zip(rows, cols, strict=True):
         held[labels[text_rows[0]], np.unique(np.concatenate([of_words[w] for w in words_of_text]))] += 1
     common = held.sum(0)[buckets] >= min_texts
     used, local = np.unique(buckets[common], return_inverse=True)
-    owner, share = owner[common], (1 / np.repeat(np.maximum(lengths, 1), lengths))[common]
+    owner, share = owner[common], (1 / np.repeat(np.maximum(lengths, 1), lengths)).astype(np.float32)[common]
     # texts -> words -> n-grams: the two means as one table of weights
-    words = _Bags(owner, local, share, len(of_words), len(used))
-    texts_ = _Bags(np.concatenate(rows), np.concatenate(cols), np.concatenate(weights), len(texts), len(of_words))
+    n_words = len(of_words)
+    del of_words, buckets, common, lengths
+    words = _Bags(owner, local.astype(np.int32), share, n_words, len(used))
+    texts_ = _Bags(np.concatenate(rows), np.concatenate(cols), np.concatenate(weights), len(texts), n_words)
     rng = np.random.default_rng(seed)
     # start: the first dimension holds how much more often toxic texts hold the n-gram, the others are noise
     share = (held + 1) / (np.bincount(labels, minlength=2)[:, None] + 1)
