@@ -27,6 +27,7 @@ from terrahaz.llm.hashing import mixed, runs, word_hashes
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
+PORTION = 8_000_000  # bytes of text that a task holds as numbers at once
 BROADCAST_ROWS, BROADCAST_NUMBERS = 400_000, 8_000_000
 PACKED = "part int, hashes binary, seconds binary, ids binary, ths binary, places binary, counts binary"
 NAMES = [c.split()[0] for c in PACKED.split(", ")]
@@ -78,9 +79,21 @@ def _slices(parts: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(parts[a]), slice(a, b)
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut where their texts pass ``PORTION`` bytes (a longer text stays whole)."""
+    for batch in batches:
+        ends = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")])
+        at = 0
+        while at < len(ends):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + PORTION, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _index_and_probes(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             w = _Words(batch.column("text"))
             ids, ths = batch.column("_id").to_numpy(), batch.column("_th").to_numpy()
             h, at = w.windows(BLOCK)
@@ -127,7 +140,7 @@ def _candidate_windows(parts: int):
     """Windows around anchors, gathered in segments of neighbours that share their smallest block hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             w = _Words(batch.column("text"))
             ids, ths = batch.column("_id").to_numpy(), batch.column("_th").to_numpy()
             h, at = w.windows(WINDOW)
