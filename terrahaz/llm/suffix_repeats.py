@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +175,8 @@ def _segments_of(parts: int):
             go, part = go[order], part[order]
             for p, k in _slices(part):
                 i = go[k]
-                rows.append((p, h[i].tobytes(), b"".join(s.bytes_of(j) for j in pick[i].tolist()), ids[i].tobytes(), ths[i].tobytes(),
+                blob = zstandard.compress(b"".join(s.bytes_of(j) for j in pick[i].tolist()), 3)
+                rows.append((p, h[i].tobytes(), blob, ids[i].tobytes(), ths[i].tobytes(),
                              first[i].astype(np.int32).tobytes(),
                              np.stack([end[i] - first[i], back[i]], 1).astype(np.int32).tobytes()))
             yield _table(rows)
@@ -234,7 +236,7 @@ def _spans(rows: pd.DataFrame) -> pd.DataFrame:
     counts = counts.reshape(-1, 2).astype(np.int64)
     length, back = counts[:, 0], counts[:, 1]
     h = _joined(rows, "hashes", np.uint64)
-    blob = b"".join(rows["seconds"])
+    blob = b"".join(map(zstandard.decompress, rows["seconds"]))
     offset = np.cumsum(length) - length
     contexts = [blob[a:a + n] for a, n in zip(offset.tolist(), length.tolist(), strict=True)]
     digest = np.fromiter((xxhash.xxh3_64_intdigest(c, seed=b) for c, b in zip(contexts, back.tolist(), strict=True)), np.uint64, len(contexts))
@@ -305,7 +307,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = keyed(docs, "text")
     anchors = texts.mapInArrow(_anchors(parts), PACKED).groupBy("part").applyInPandas(_repeated_anchors, "_id long, _th long, place int")
     flagged = written(anchors.groupBy("_id", "_th").agg(F.collect_set("place").alias("places")), "suffix-anchors")
-    held = texts.join(checked_broadcast(flagged, "places"), ["_id", "_th"]).select("_id", "_th", "text", "places")
+    held = texts.join(flagged, ["_id", "_th"]).select("_id", "_th", "text", "places")
     spans = held.mapInArrow(_segments_of(parts), PACKED).groupBy("part").applyInPandas(_spans, "_id long, _th long, begin int, end int")
     per_text = spans.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     return written(per_text.mapInArrow(_merged, "_id long, _th long, begins array<int>, ends array<int>"), "suffix-spans")
