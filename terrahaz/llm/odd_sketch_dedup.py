@@ -34,6 +34,7 @@ BINS, BITS = 512, 1024
 SIGMAS = 6.0
 SMALL = 200_000
 BLOCK = 2048
+OPEN_BLOCK = 256
 _draw = np.random.default_rng(20240501)
 _FACTORS = (_draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
 _SHIFTS = _draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -121,8 +122,10 @@ def likely(pairs: DataFrame) -> DataFrame:
 
 
 def leader_pairs(buckets: DataFrame, nodes: DataFrame, best: int) -> DataFrame:
-    """Each node with the ``best`` likeliest leaders (smallest nodes) of its buckets."""
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    """Each node with the ``best`` likeliest of its buckets' leaders: the smallest and the largest node, and the smallest by hash."""
+    leaders = (buckets.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.min_by("node", F.xxhash64("node")).alias("z"),
+                                          F.count(F.lit(1)).alias("n"))
+               .where("n > 1").select("key", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("a")))
     met = buckets.join(leaders, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("bins").alias(f"bins_{c}"),
                                   F.col("samples").alias(f"samples_{c}"), F.col("n_shingles").alias(f"n_{c}"))
@@ -131,55 +134,63 @@ def leader_pairs(buckets: DataFrame, nodes: DataFrame, best: int) -> DataFrame:
     return guessed.withColumn("r", rank).where(F.col("r") <= best).select("a", "b")
 
 
-def _block_pairs(best: int | None):
-    """Pairs of open nodes with nodes of other components, by sketch; the ``best`` of each open node, or all."""
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["node", "open"])
-        left, right = rows[rows["open"]], rows[~rows["open"]]
-        out = []
-        if len(left) and len(right):
-            stack = lambda frame, c: np.stack(frame[c].to_numpy()).astype(np.int64).view(np.uint64)
-            rs, rb = stack(right, "sketch"), stack(right, "bins")
-            rc, rn, rk, rid = (right[c].to_numpy() for c in ("comp", "n_shingles", "samples", "node"))
-            for node, comp, n, k, s, b in zip(left["node"], left["comp"], left["n_shingles"], left["samples"],
-                                              stack(left, "sketch"), stack(left, "bins"), strict=True):
-                union = np.bitwise_count(rb | b).sum(1, dtype=np.int64)
-                p = np.minimum(np.bitwise_count(rs ^ s).sum(1, dtype=np.int64) / BITS, 0.49)
-                d = -BITS / 2 * np.log(1 - 2 * p)
-                held = union / np.maximum(union, (n + rn) / (1 + NEAR))
-                error = np.sqrt(NEAR * (1 - NEAR) / union * (1 - held) + (d * np.sqrt(2 / BITS) / (1 - 2 * p) / union) ** 2)
-                guess = (k + rk - d) / 2 / union
-                hit = np.flatnonzero((rc != comp) & (guess >= NEAR - SIGMAS * error - 2 / union)
-                                     & (np.minimum(n, rn) * 100 >= 75 * np.maximum(n, rn)))
-                if best is not None and len(hit) > best:
-                    hit = hit[np.argsort(-guess[hit], kind="stable")[:best]]
-                out.append(np.stack([np.minimum(rid[hit], node), np.maximum(rid[hit], node)], 1))
-        both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    return block
-
-
-def open_pairs(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, best: int | None) -> DataFrame:
-    """Candidate pairs of one bucket that are not yet in one component.
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of open nodes with nodes of other components.
+
+    Odd sketches choose, full sets decide.  Once an open node is linked with a
+    component, its further pairs with that component cannot change anything.
+    """
+    rows = rows.drop_duplicates(["node", "open"])
+    left, right = rows[rows["open"]], rows[~rows["open"]]
+    links = []
+    if len(left) and len(right):
+        stack = lambda frame, c: np.stack(frame[c].to_numpy()).astype(np.int64).view(np.uint64)
+        rs, rb = np.ascontiguousarray(stack(right, "sketch").T), np.ascontiguousarray(stack(right, "bins").T)
+        rc, rn, rk, rid = (right[c].to_numpy() for c in ("comp", "n_shingles", "samples", "node"))
+        rsets = right["set"].to_numpy()
+        for node, comp, n, k, s, b, own in zip(left["node"], left["comp"], left["n_shingles"], left["samples"],
+                                               stack(left, "sketch"), stack(left, "bins"), left["set"], strict=True):
+            some = np.flatnonzero((rc != comp) & (np.minimum(n, rn) * 100 >= 75 * np.maximum(n, rn)))
+            z = np.bitwise_count(rs[:, some] ^ s[:, None]).sum(0, dtype=np.int64)
+            # similar texts differ in few samples: far more parities than half of them would give are out of reach
+            close = z <= (k + rk[some] - np.maximum(k, rk[some])) + 4
+            some, z = some[close], z[close]
+            union = np.bitwise_count(rb[:, some] | b[:, None]).sum(0, dtype=np.int64)
+            p = np.minimum(z / BITS, 0.49)
+            d = -BITS / 2 * np.log(1 - 2 * p)
+            held = union / np.maximum(union, (n + rn[some]) / (1 + NEAR))
+            error = np.sqrt(NEAR * (1 - NEAR) / union * (1 - held) + (d * np.sqrt(2 / BITS) / (1 - 2 * p) / union) ** 2)
+            guess = (k + rk[some] - d) / 2 / union
+            hit = np.flatnonzero(guess >= NEAR - SIGMAS * error - 2 / union)
+            done = set()
+            for j in some[hit[np.argsort(-guess[hit], kind="stable")]].tolist():
+                if rc[j] not in done:
+                    common = len(np.intersect1d(own, rsets[j], assume_unique=True))
+                    if 100 * common >= 75 * (n + rn[j] - common):
+                        done.add(rc[j])
+                        links.append((min(node, rid[j]), max(node, rid[j])))
+    return pd.DataFrame(sorted(set(links)), columns=["a", "b"], dtype="int64")
+
+
+def open_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links between nodes of one bucket that are not yet in one component.
 
     Open are a bucket's nodes outside its commonest component.  Open nodes and
     all nodes are dealt into blocks of about ``BLOCK``; every block of one side
     meets every block of the other in a group of its own.
     """
-    member = (buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    member = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mains = (sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"),
                                       F.max("n").alias("most")).where(F.col("all") > F.col("most")))
     mixed_ = member.join(mains, "key")
-    opens, alls = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    opens, alls = F.ceil((F.col("all") - F.col("most")) / OPEN_BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     steps = lambda n: F.sequence(F.lit(0), n - 1)
     cell = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     left = mixed_.where("comp <> main").select("key", "node", "comp", F.lit(True).alias("open"), cell(opens).alias("i"), F.explode(steps(alls)).alias("j"))
     right = mixed_.select("key", "node", "comp", F.lit(False).alias("open"), F.explode(steps(opens)).alias("i"), cell(alls).alias("j"))
-    rows = left.unionByName(right).join(nodes.select("node", "sketch", "bins", "samples", "n_shingles"), "node")
-    return rows.groupBy("key", "i", "j").applyInPandas(_block_pairs(best), "a long, b long").distinct()
+    rows = (left.unionByName(right).join(nodes.select("node", "sketch", "bins", "samples", "n_shingles"), "node").join(sets, "node"))
+    return rows.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +227,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = (docs.withColumns(text_key()).select("_id", "_th", "text")
              .join(bounded_broadcast(wanted, SMALL), ["_id", "_th"]))
     sets = written(texts.select("node", "text").mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "near-sets")
-    edges = written(confirmed(leader_pairs(buckets, nodes, 2), sets), "near-edges")
+    edges = written(confirmed(leader_pairs(buckets, nodes, 3), sets), "near-edges")
     comps = written(components(edges), "near-components")
-    for best in (4, None):
-        more = written(confirmed(open_pairs(buckets, nodes, comps, best), sets), "near-edges")
-        edges = edges.unionByName(more)
-        if not more.isEmpty():
-            comps = written(components(edges), "near-components")
+    more = written(open_links(buckets, nodes, sets, comps), "near-edges")
+    if not more.isEmpty():
+        comps = written(components(edges.unionByName(more)), "near-components")
     placed = nodes.select("node", "digest", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = placed.join(lowest, "comp").select("digest", "component_id", F.lit(True).alias("_named"))
