@@ -36,11 +36,11 @@ def terms_of(text: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, window: int) -> DataFrame:
-    """One row per different item: item, terms, span (words of its windows)."""
+    """One row per different item: iid, item, terms, span (words of its windows)."""
     terms = F.col("terms")
     return (benchmark.select(F.col("item_id").cast("string").alias("item"), terms_of(F.col("text")).alias("terms"))
             .where((F.size(terms) > 0) & F.col("item").isNotNull()).distinct()
-            .withColumn("span", F.least(F.size(terms), F.lit(window))))
+            .withColumn("span", F.least(F.size(terms), F.lit(window))).withColumn("iid", F.xxhash64("item", "terms")))
 
 
 def term_frequencies(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -51,17 +51,17 @@ def term_frequencies(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def anchors_of(items: DataFrame, frequencies: DataFrame, rarest: int) -> DataFrame:
-    """For every window of every item its ``rarest`` terms: item, span, begin, place, term.
+    """For every window of every item its ``rarest`` terms: iid, begin, place, term.
 
     A window is left out if one of its terms does not occur in the corpus.
     """
-    places = items.select("item", "terms", "span", F.posexplode("terms").alias("place", "term")).select("item", "terms", "span", "place", "term")
+    places = items.select("iid", F.size("terms").alias("size"), "span", F.posexplode("terms").alias("place", "term"))
     counted = places.join(frequencies, "term", "left")
     windows = counted.select(
-        "item", "terms", "span", "place", "term", "n",
+        "iid", "place", "term", "n",
         F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("span") + 1),
-                             F.least(F.col("place"), F.size("terms") - F.col("span")))).alias("begin"))
-    one = Window.partitionBy("item", "terms", "begin")
+                             F.least(F.col("place"), F.col("size") - F.col("span")))).alias("begin"))
+    one = Window.partitionBy("iid", "begin")
     ranked = windows.select("*", F.row_number().over(one.orderBy(F.col("n").asc_nulls_first(), "place")).alias("rank"),
                             F.min(F.coalesce("n", F.lit(0))).over(one).alias("least"))
     return ranked.where((F.col("rank") <= rarest) & (F.col("least") > 0)).drop("n", "rank", "least")
@@ -75,13 +75,19 @@ def postings_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def alignments_of(postings: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Offset-adjusted intersection: alignments (item, _id, _th, shift) that hold all anchors of some window."""
-    needed = anchors.groupBy("item", "terms", "span", "begin").agg(F.count(F.lit(1)).alias("need"))
-    lists = postings.join(bounded_broadcast(anchors, SMALL), "term")
-    met = (lists.groupBy("_id", "_th", "item", "terms", "begin", (F.col("at") - F.col("place")).alias("shift"))
-           .agg(F.count(F.lit(1)).alias("met"))
-           .join(bounded_broadcast(needed, SMALL), ["item", "terms", "begin"]))
-    return met.where(F.col("met") == F.col("need")).select("_id", "_th", "item", "terms", "span", "shift").distinct()
+    """Offset-adjusted intersection: alignments (iid, _id, _th, shift) that hold all anchors of some window.
+
+    A list's rows are first folded to one per alignment and item word; the item's
+    windows are looked at in what is left.
+    """
+    words = anchors.select("iid", "term", "place").distinct()
+    lists = postings.join(bounded_broadcast(words, SMALL), "term")
+    met = (lists.groupBy("_id", "_th", "iid", (F.col("at") - F.col("place")).alias("shift"))
+           .agg(F.collect_set("place").alias("met")))
+    windows = anchors.groupBy("iid", "begin").agg(F.array_sort(F.collect_set("place")).alias("need"))
+    needs = windows.groupBy("iid").agg(F.collect_set("need").alias("needs"))
+    held = F.exists("needs", lambda need: F.size(F.array_except(need, F.col("met"))) == 0)
+    return met.join(bounded_broadcast(needs, SMALL), "iid").where(held).select("_id", "_th", "iid", "shift")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
@@ -89,11 +95,11 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     items = written(items_of(benchmark, window), "phrase-items")
     anchors = written(anchors_of(items, term_frequencies(docs, items), rarest), "phrase-anchors")
     postings = written(postings_of(docs, anchors.select("term").distinct()), "phrase-postings")
-    found = written(alignments_of(postings, anchors), "phrase-alignments")
+    aligned = bounded_broadcast(written(alignments_of(postings, anchors), "phrase-alignments"), SMALL)
     # read the aligned documents again and compare all words
-    hits = keyed(docs, "text").join(bounded_broadcast(found, SMALL), ["_id", "_th"])
+    hits = keyed(docs, "text").join(aligned, ["_id", "_th"]).join(bounded_broadcast(items, SMALL), "iid")
     first = F.greatest(F.lit(0), -F.col("shift"))
-    compared = (hits.dropDuplicates(["_id", "_th", "item", "terms", "shift"])
+    compared = (hits.dropDuplicates(["_id", "_th", "iid", "shift"])
                 .select("_id", "_th", "item", "span", (F.col("shift") + first).alias("base"),
                         F.slice("terms", first + 1, F.size("terms")).alias("a"),
                         F.slice(terms_of(F.col("text")), F.greatest(F.lit(0), F.col("shift")) + 1, F.size("terms") - first).alias("b"))
