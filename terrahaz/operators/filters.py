@@ -16,6 +16,13 @@ PRECIP_SOURCES = ("total_precipitation", *PRECIP_PARTS)
 
 def filter_bbox(df: DataFrame, north: float, west: float, south: float, east: float,
                 lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Rows inside the box; a box given the wrong way round holds nothing."""
+    return df.where(F.col(lat).between(south, north) & F.col(lng).between(west, east))
+
+
+def filter_grid_bbox(df: DataFrame, north: float, west: float, south: float, east: float,
+                     lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Grid cells between the two corners, whichever way round they are given."""
     low_lat, high_lat = sorted((south, north))
     low_lng, high_lng = sorted((west, east))
     return df.where(F.col(lat).between(low_lat, high_lat) & F.col(lng).between(low_lng, high_lng))

@@ -32,11 +32,12 @@ def fire_batch_dedupe(fires: DataFrame, arrival: str) -> DataFrame:
 def fires_anti(fires: DataFrame, stored: DataFrame) -> DataFrame:
     """Fires whose key is not stored yet.
 
-    The stored side is cut to the calendar days of the batch by a semi join on
-    the day, which a store partitioned by day answers by pruning.
+    The stored side is cut to the calendar days of the batch by a semi join.  A
+    store kept by ``day`` is cut on that column itself, which prunes its folders.
     """
-    days = fires.select(F.to_date("time_utc").alias("_day")).distinct()
-    recent = stored.withColumn("_day", F.to_date("time_utc")).join(days, "_day", "left_semi")
+    days = fires.select(F.to_date("time_utc").alias("day")).distinct()
+    dated = stored if "day" in stored.columns else stored.withColumn("day", F.to_date("time_utc"))
+    recent = dated.join(days, "day", "left_semi")
     return fires.join(recent.select("source", *FIRE_KEY), ["source", *FIRE_KEY], "left_anti")
 
 

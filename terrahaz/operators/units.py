@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import number
 from ..functions.quantiles import bound_stats, quantile_above
-from ..functions.sizing import broadcast_up_to
 
 # Fixed values of the unit rules.
 KELVIN_OFFSET = 273.15
@@ -15,7 +14,6 @@ KELVIN_MEDIAN = 150.0
 METRE_P99 = 5.0
 MM_PER_METRE = 1000.0
 
-MAX_FILES = 1_000_000
 
 
 def _celsius(value: Column, kelvin: Column) -> Column:
@@ -50,13 +48,14 @@ def normalize_units(df: DataFrame, file_id: str, kelvin_columns: list[str],
     for name in metre_columns:
         measured += bound_stats(F.col(name), METRE_P99, f"_{name}")
         flags.append(quantile_above(f"_{name}", 0.99, METRE_P99).alias(f"_{name}_flag"))
-    rules = coerced.groupBy(file_id).agg(*measured).select(file_id, *flags).persist()
+    rules = coerced.groupBy(file_id).agg(*measured).select(F.col(file_id).alias("_file"), *flags)
     changed = {}
     for name in kelvin_columns:
         changed[name] = _celsius(F.col(name), F.col(f"_{steer.get(name, name)}_flag"))
     for name in metre_columns:
         changed[name] = _millimetres(F.col(name), F.col(f"_{name}_flag"))
-    return coerced.join(broadcast_up_to(rules, MAX_FILES), file_id).withColumns(changed).select(*df.columns)
+    # one row per file: small enough to be broadcast at run time, or a join that can be split
+    return coerced.join(rules, F.col(file_id).eqNullSafe(F.col("_file"))).withColumns(changed).select(*df.columns)
 
 
 def unit_temp_to_celsius(df: DataFrame, column: str, file_id: str) -> DataFrame:

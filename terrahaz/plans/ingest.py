@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.features import (
     HOURLY_VARIABLES, LARGE_SCALE, CONVECTIVE, hourly_point_sample, hourly_to_daily, pivot_variables,
     precip_from_components, rename_aliases)
-from ..operators.filters import filter_bbox, tag_lineage
+from ..operators.filters import filter_grid_bbox, tag_lineage
 from ..sources.sinks import sink_features_month
 
 
@@ -24,7 +24,7 @@ def point_features(grid: DataFrame, points: DataFrame, source: str, run_id: str,
     """
     grid = rename_aliases(grid)
     if bbox is not None:
-        grid = filter_bbox(grid, *bbox)
+        grid = filter_grid_bbox(grid, *bbox)
     hourly = hourly_point_sample(grid, points)
     names = [v for v in HOURLY_VARIABLES if total_delivered or v != "total_precipitation"]
     if not total_delivered:

@@ -38,12 +38,15 @@ def batch_scores(features: DataFrame, assets: DataFrame, monthly: DataFrame, by_
     and then joined to the assets of the cell; wildfire uses the asset's own
     position.  Days without a feature row or thresholds yield no row at all.
     The distinct cells of the range and the cell of each asset are persisted:
-    several joins read them.
+    several joins read them.  An asset id listed twice counts once.
     """
     cells = distinct_cells(filter_date_range(features, start, end)).persist()
+    assets = assets.select("asset_id", "lat", "lon").dropDuplicates(["asset_id"])
     places = assets.select(F.col("asset_id").alias("point_id"), "lat", F.col("lon").alias("lng"))
     homes = nearest_cell(places, cells).select(
         F.col("point_id").alias("asset_id"), F.col("cell_lat").alias("lat"), F.col("cell_lng").alias("lng")).persist()
+    # windows and thresholds only where an asset is at home
+    features = features.join(homes.select(*CELL).distinct(), CELL, "left_semi").select(*features.columns)
     rows = cell_rows(features, monthly, by_doy, start, end, version)
     parts = []
     if any(p != "wildfire" for p in perils):

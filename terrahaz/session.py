@@ -36,11 +36,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only when that setting is absent (tests, a laptop) is a temporary folder
-    of this machine used.
+    Only in a session on one machine (tests, a laptop) may that setting be
+    absent; a temporary folder is used then.  On a cluster it is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         jvm_uuid = spark._jvm.java.util.UUID.randomUUID().toString()
         return f"{base.rstrip('/')}/{purpose}-{jvm_uuid}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="terrahaz-"), purpose)

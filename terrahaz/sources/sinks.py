@@ -63,13 +63,19 @@ def write_scores(spark, path: str, fresh: DataFrame, assets: DataFrame, start: d
                  end: dt.date | str, version: str) -> None:
     """Replace scores in a table kept by (climatology_version, date).
 
-    Only the touched date folders of this version are read and rewritten.
+    Only the touched date folders of this version are read and rewritten; a day
+    that has no row any more loses its folder.
     """
     span = F.col("date").between(day_literal(start), day_literal(end)) & (F.col("climatology_version") == version)
     touched = spark.read.schema(fresh.schema).parquet(path).where(span) if path_exists(spark, path) else fresh.limit(0)
     result = sink_scores_replace(touched, fresh, assets, start, end, version)
+    emptied = [r["date"] for r in touched.select("date").distinct()  # days of the range at most
+               .join(result.select("date").distinct(), "date", "left_anti").collect()]
     overwrite_partitions(_spread(result, "climatology_version", "date", "asset_id"), path,
                          "climatology_version", "date")
+    for day in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/climatology_version={version}/date={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def path_exists(spark, path: str) -> bool:

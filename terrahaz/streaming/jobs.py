@@ -87,7 +87,14 @@ def fire_alert_handler(assets: DataFrame, fire_store: str, notice_store: str) ->
         newest = batch.agg(F.max("time_utc").alias("t")).first()["t"]
         if newest is None:
             return
-        _write_batch(batch.withColumn("day", F.to_date("time_utc")), fire_store, batch_id, "day")
+        # a detection is stored once, whatever batch repeats it; exact positions serve where rounded ones are not given
+        key = [c for c in ("source", *FIRE_KEY) if c in batch.columns]
+        key += [c for c in ("lat", "lon") if f"{c}_round" not in key]
+        arrived = batch.dropDuplicates(key).withColumn("day", F.to_date("time_utc"))
+        if path_exists(spark, fire_store):
+            earlier = spark.read.parquet(fire_store).where(F.col("batch_id") < batch_id)
+            arrived = arrived.join(earlier.select("day", *key), ["day", *key], "left_anti").select(*arrived.columns)
+        _write_batch(arrived, fire_store, batch_id, "day")
         moment = str(newest)
         first = instant_literal(moment) - F.expr("INTERVAL 7 DAYS")
         # the folder of a day is named by it, so older days are not opened

@@ -211,5 +211,6 @@ def test_alert_stream_replay_is_harmless(spark, tmp_path):
     handle(batches[0], 1)
     handle(batches[1], 2)
     handle(batches[1], 2)
+    handle(batches[0].unionByName(batches[1]), 3)  # nothing new
     assert spark.read.parquet(str(tmp_path / "fires")).count() == 2
     assert spark.read.parquet(str(tmp_path / "notices")).count() == 1
