@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -134,42 +133,84 @@ def leader_pairs(buckets: DataFrame, nodes: DataFrame, best: int) -> DataFrame:
     return guessed.withColumn("r", rank).where(F.col("r") <= best).select("a", "b")
 
 
-def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of rows with equal keys, from batches sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy() for c in keys])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = k[:, a].tolist()
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Numbers that two sorted sets share."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _links_of_block(rows: pa.Table) -> set[tuple[int, int]]:
     """Links of open nodes with nodes of other components.
 
-    Odd sketches choose, full sets decide.  Once an open node is linked with a
-    component, its further pairs with that component cannot change anything.
+    Odd sketches choose, full sets decide.  A pair is judged in the first of the
+    bands its nodes share.  Once an open node is linked with a component, its
+    further pairs with that component cannot change anything.
     """
-    rows = rows.drop_duplicates(["node", "open"])
-    left, right = rows[rows["open"]], rows[~rows["open"]]
-    links = []
-    if len(left) and len(right):
-        stack = lambda frame, c: np.stack(frame[c].to_numpy()).astype(np.int64).view(np.uint64)
-        rs, rb = np.ascontiguousarray(stack(right, "sketch").T), np.ascontiguousarray(stack(right, "bins").T)
-        rc, rn, rk, rid = (right[c].to_numpy() for c in ("comp", "n_shingles", "samples", "node"))
-        rsets = right["set"].to_numpy()
-        for node, comp, n, k, s, b, own in zip(left["node"], left["comp"], left["n_shingles"], left["samples"],
-                                               stack(left, "sketch"), stack(left, "bins"), left["set"], strict=True):
-            some = np.flatnonzero((rc != comp) & (np.minimum(n, rn) * 100 >= 75 * np.maximum(n, rn)))
-            z = np.bitwise_count(rs[:, some] ^ s[:, None]).sum(0, dtype=np.int64)
-            # similar texts differ in few samples: far more parities than half of them would give are out of reach
-            close = z <= (k + rk[some] - np.maximum(k, rk[some])) + 4
-            some, z = some[close], z[close]
-            union = np.bitwise_count(rb[:, some] | b[:, None]).sum(0, dtype=np.int64)
-            p = np.minimum(z / BITS, 0.49)
-            d = -BITS / 2 * np.log(1 - 2 * p)
-            held = union / np.maximum(union, (n + rn[some]) / (1 + NEAR))
-            error = np.sqrt(NEAR * (1 - NEAR) / union * (1 - held) + (d * np.sqrt(2 / BITS) / (1 - 2 * p) / union) ** 2)
-            guess = (k + rk[some] - d) / 2 / union
-            hit = np.flatnonzero(guess >= NEAR - SIGMAS * error - 2 / union)
-            done = set()
-            for j in some[hit[np.argsort(-guess[hit], kind="stable")]].tolist():
-                if rc[j] not in done:
-                    common = len(np.intersect1d(own, rsets[j], assume_unique=True))
-                    if 100 * common >= 75 * (n + rn[j] - common):
-                        done.add(rc[j])
-                        links.append((min(node, rid[j]), max(node, rid[j])))
-    return pd.DataFrame(sorted(set(links)), columns=["a", "b"], dtype="int64")
+    rows = rows.combine_chunks()
+    key = rows["key"][0].as_py()
+    opened, comp, n, k, ids = (rows[c].to_numpy() for c in ("open", "comp", "n_shingles", "samples", "node"))
+    left, right = np.flatnonzero(opened), np.flatnonzero(~opened)
+    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
+    sketch, held_bins, bands = (flat(c).view(t).reshape(len(n), -1) for c, t in (("sketch", np.uint64), ("bins", np.uint64), ("bands", np.int64)))
+    rs, rb, rbands = np.ascontiguousarray(sketch[right].T), np.ascontiguousarray(held_bins[right].T), bands[right]
+    rc, rn, rk, rid = comp[right], n[right], k[right], ids[right]
+    sets, at = flat("set").view(np.uint64), np.r_[0, np.cumsum(n)]
+    links = set()
+    for x in left.tolist():
+        some = np.flatnonzero((rc != comp[x]) & (np.minimum(n[x], rn) * 100 >= 75 * np.maximum(n[x], rn)))
+        if not len(some):
+            continue
+        z = np.bitwise_count(rs[:, some] ^ sketch[x][:, None]).sum(0, dtype=np.int64)
+        # similar texts differ in few samples: far more parities than half of them would give are out of reach
+        close = z <= np.minimum(k[x], rk[some]) + 4
+        some, z = some[close], z[close]
+        union = np.bitwise_count(rb[:, some] | held_bins[x][:, None]).sum(0, dtype=np.int64)
+        p = np.minimum(z / BITS, 0.49)
+        d = -BITS / 2 * np.log(1 - 2 * p)
+        held = union / np.maximum(union, (n[x] + rn[some]) / (1 + NEAR))
+        error = np.sqrt(NEAR * (1 - NEAR) / union * (1 - held) + (d * np.sqrt(2 / BITS) / (1 - 2 * p) / union) ** 2)
+        guess = (k[x] + rk[some] - d) / 2 / union
+        hit = np.flatnonzero(guess >= NEAR - SIGMAS * error - 2 / union)
+        hit = hit[np.argsort(-guess[hit], kind="stable")]
+        shared = rbands[some[hit]]
+        first = (shared == bands[x]).argmax(1) if len(hit) else hit
+        here = shared[np.arange(len(hit)), first] == key
+        done = set()
+        for j in some[hit[here]].tolist():
+            if rc[j] not in done:
+                y = right[j]
+                common = _common(sets[at[x]:at[x + 1]], sets[at[y]:at[y + 1]])
+                if 100 * common >= 75 * (n[x] + rn[j] - common):
+                    done.add(rc[j])
+                    links.add((int(min(ids[x], rid[j])), int(max(ids[x], rid[j]))))
+    return links
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in grouped(batches, ["key", "i", "j"]):
+        links = sorted(_links_of_block(rows))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[at] for x in links], pa.int64()) for at in (0, 1)], ["a", "b"])
 
 
 def open_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -177,7 +218,8 @@ def open_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, comps: Dat
 
     Open are a bucket's nodes outside its commonest component.  Open nodes and
     all nodes are dealt into blocks of about ``BLOCK``; every block of one side
-    meets every block of the other in a group of its own.
+    meets every block of the other in a group of its own.  Most buckets hold a
+    few nodes, so a task takes its groups in order of their keys, one at a time.
     """
     member = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -189,8 +231,9 @@ def open_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, comps: Dat
     cell = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     left = mixed_.where("comp <> main").select("key", "node", "comp", F.lit(True).alias("open"), cell(opens).alias("i"), F.explode(steps(alls)).alias("j"))
     right = mixed_.select("key", "node", "comp", F.lit(False).alias("open"), F.explode(steps(opens)).alias("i"), cell(alls).alias("j"))
-    rows = (left.unionByName(right).join(nodes.select("node", "sketch", "bins", "samples", "n_shingles"), "node").join(sets, "node"))
-    return rows.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
+    rows = (left.unionByName(right).join(nodes.select("node", "bands", "sketch", "bins", "samples", "n_shingles"), "node").join(sets, "node"))
+    return (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .mapInArrow(_block_links, "a long, b long").distinct())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
