@@ -52,7 +52,7 @@ class _Words:
     """The words of a batch of texts in a row: hashes, place in the text, room to the text's end."""
 
     def __init__(self, texts: pa.Array):
-        lists = [word_hashes(t.as_py().encode().split()) if t.is_valid else np.zeros(0, np.uint64) for t in texts]
+        lists = [word_hashes(t.as_buffer()) if t.is_valid else np.zeros(0, np.uint64) for t in texts]
         self.lengths = np.array([len(x) for x in lists], np.int64)
         self.hashes = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
         self.starts = np.cumsum(self.lengths) - self.lengths

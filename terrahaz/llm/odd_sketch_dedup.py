@@ -40,10 +40,14 @@ _SHIFTS = _draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)[:, None]
 SHAPE = "n_shingles long, digest binary, bands array<long>, sketch array<long>, bins array<long>, samples int"
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: pa.StringScalar) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles; fewer words are one shingle; no words, none."""
-    words = word_hashes(text.encode().lower().split()) if text else np.zeros(0, np.uint64)
-    return np.unique(runs(words, min(SHINGLE, len(words)))) if len(words) else words
+    words = word_hashes(text.as_buffer(), lower=True) if text.is_valid else np.zeros(0, np.uint64)
+    if not len(words):
+        return words
+    s = runs(words, min(SHINGLE, len(words)))
+    s.sort()
+    return s[np.r_[True, s[1:] != s[:-1]]]
 
 
 def min_hashes(s: np.ndarray) -> np.ndarray:
@@ -55,8 +59,9 @@ def min_hashes(s: np.ndarray) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Band keys, a row for every row of MinHashes."""
     key = np.arange(BANDS, dtype=np.uint64)
-    for part in hashes.reshape(BANDS, ROWS).T:
+    for part in np.moveaxis(hashes.reshape(-1, BANDS, ROWS), 2, 0):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + part)
     return key.view(np.int64)
 
@@ -74,15 +79,10 @@ def odd_sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for text in batch.column("text"):
-            s = shingles(text.as_py())
-            if len(s):
-                row = (len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(min_hashes(s)), *odd_sketch(s))
-            else:
-                row = (0, None, None, None, None, 0)
-            for c, v in zip(cols, row, strict=True):
-                c.append(v)
+        sets = [shingles(text) for text in batch.column("text")]
+        keys = iter(band_keys(np.stack([min_hashes(s) for s in sets if len(s)]))) if any(map(len, sets)) else iter(())
+        rows = [(len(s), xxhash.xxh3_128_digest(s), next(keys), *odd_sketch(s)) if len(s) else (0, None, None, None, None, 0) for s in sets]
+        cols = zip(*rows, strict=True) if rows else [()] * 6
         longs = pa.list_(pa.int64())
         arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), longs, longs, longs, pa.int32()), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("_id", "_th", "doc_id")] + arrays,
@@ -238,7 +238,7 @@ def open_links(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, comps: Dat
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))
+        sets = pa.array([shingles(t).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "set"])
 
 
