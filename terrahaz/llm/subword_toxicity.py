@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,32 +57,54 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts, axis=0)
+class _Bags:
+    """Rows of weighted entries; multiplies vectors forwards (rows) and backwards (entries).
 
+    Entries are kept sorted both ways and multiplied ``STEP`` at a time, so that
+    no product of all entries is ever held.  ``weights`` are given per entry or,
+    where the entries of a row weigh the same, per row.
+    """
 
-class _Bags:
-    """Rows of weighted entries; multiplies vectors forwards (rows) and backwards (entries)."""
+    STEP = 1 << 17
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n_rows: int, n_cols: int):
         self.shape = n_rows, n_cols
-        f, b = np.argsort(rows, kind="stable"), np.argsort(cols, kind="stable")
-        self.fwd = (rows[f], cols[f], weights[f, None].astype(np.float32))
-        self.back = (cols[b], rows[b], weights[b, None].astype(np.float32))
-
-    def _times(self, side, x: np.ndarray, n: int) -> np.ndarray:
-        to, frm, w = side
+        self.by_row = len(weights) != len(rows)
+        self.weights = weights.astype(np.float32)
+        self.sides = [self._sorted(rows, cols, n_rows), self._sorted(cols, rows, n_cols)]
+
+    def _sorted(self, to: np.ndarray, frm: np.ndarray, n: int) -> tuple:
+        order = np.argsort(to, kind="stable").astype(np.int32)
+        ends = np.zeros(n + 1, np.int64)
+        np.cumsum(np.bincount(to, minlength=n), out=ends[1:])
+        return ends, frm[order], None if self.by_row else self.weights[order]
+
+    def _times(self, side: int, x: np.ndarray) -> np.ndarray:
+        ends, frm, weights = self.sides[side]
+        n = self.shape[side]
         out = np.zeros((n, x.shape[1]), np.float32)
-        if len(to):
-            starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            out[to[starts]] = _sums(x[frm] * w, starts)
+        at = 0
+        while at < n:  # whole segments, one at least
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.STEP, "right")) - 1)
+            lo, hi = ends[at], ends[to]
+            filled = at + np.flatnonzero(ends[at + 1:to + 1] > ends[at:to])
+            if len(filled):
+                part = x[frm[lo:hi]]
+                if weights is not None:
+                    part *= weights[lo:hi, None]
+                elif side:
+                    part *= self.weights[frm[lo:hi], None]
+                out[filled] = np.add.reduceat(part, ends[filled] - lo, axis=0)
+            at = to
+        if self.by_row and not side:
+            out *= self.weights[:, None]
         return out
 
     def rows(self, x: np.ndarray) -> np.ndarray:
-        return self._times(self.fwd, x, self.shape[0])
+        return self._times(0, x)
 
     def entries(self, x: np.ndarray) -> np.ndarray:
-        return self._times(self.back, x, self.shape[1])
+        return self._times(1, x)
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE,
@@ -91,30 +114,41 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
         share = min(max(float(np.mean(labels)) if labels else 0.0, 0.01), 0.99)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))), np.zeros((1, WIDTH)), np.zeros((WIDTH, 2)))
     index: dict[str, int] = {}
+    buckets, starts = array("i"), array("q", [0])  # n-grams of all words, one after another
     rows, cols, weights = [], [], []
     for i, text in enumerate(texts):
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in text.lower().split()), np.int32)
-        if len(ids):
-            found, n = np.unique(ids, return_counts=True)
+        split = text.lower().split()
+        for w in split:
+            if w not in index:
+                index[w] = len(index)
+                buckets.extend(grams(w))
+                starts.append(len(buckets))
+        if split:
+            found, n = np.unique(np.fromiter(map(index.__getitem__, split), np.int32), return_counts=True)
             rows.append(np.full(len(found), i, np.int32))
             cols.append(found)
-            weights.append((n / len(ids)).astype(np.float32))
-    of_words = [np.array(grams(w), np.int32) for w in index]
-    lengths = np.array([len(g) for g in of_words])
-    buckets = np.concatenate(of_words) if lengths.sum() else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(of_words), dtype=np.int32), lengths)
-    # n-grams of fewer than ``min_texts`` texts can only be learnt by heart
+            weights.append((n / len(split)).astype(np.float32))
+    n_words = len(index)
+    del index
+    buckets, starts = np.array(buckets, np.int32), np.array(starts)
+    lengths = np.diff(starts)
     held = np.zeros((2, BUCKETS), np.float32)
-    for text_rows, words_of_text in zip(rows, cols, strict=True):
-        held[labels[text_rows[0]], np.unique(np.concatenate([of_words[w] for w in words_of_text]))] += 1
+    for text_rows, found in zip(rows, cols, strict=True):
+        n = lengths[found]
+        at = np.arange(n.sum()) + np.repeat(starts[found] - np.r_[0, np.cumsum(n)[:-1]], n)
+        held[labels[text_rows[0]], np.unique(buckets[at])] += 1
+    # n-grams of fewer than ``min_texts`` texts can only be learnt by heart
     common = held.sum(0)[buckets] >= min_texts
-    used, local = np.unique(buckets[common], return_inverse=True)
-    owner, share = owner[common], (1 / np.repeat(np.maximum(lengths, 1), lengths)).astype(np.float32)[common]
-    # texts -> words -> n-grams: the two means as one table of weights
-    n_words = len(of_words)
-    del of_words, buckets, common, lengths
-    words = _Bags(owner, local.astype(np.int32), share, n_words, len(used))
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), lengths)[common]
+    used = np.flatnonzero(held.sum(0) >= min_texts)
+    local = np.searchsorted(used, buckets[common]).astype(np.int32)
+    share = (1 / np.maximum(lengths, 1)).astype(np.float32)
+    del buckets, common, starts
+    # texts -> words -> n-grams: the two means as two tables of weights
+    words = _Bags(owner, local, share, n_words, len(used))
+    del owner, local
     texts_ = _Bags(np.concatenate(rows), np.concatenate(cols), np.concatenate(weights), len(texts), n_words)
+    del rows, cols, weights
     rng = np.random.default_rng(seed)
     # start: the first dimension holds how much more often toxic texts hold the n-gram, the others are noise
     share = (held + 1) / (np.bincount(labels, minlength=2)[:, None] + 1)
