@@ -1,8 +1,11 @@
 """Stream jobs.
 
-Transformations take and return streaming DataFrames; ``drain`` runs one until
-its source has nothing new.  Checkpoints and outputs live in folders the caller
-names, on storage all executors reach.
+Batch handlers add each micro-batch to a store and ``drain_batches`` runs one
+until its source has nothing new.  Nothing is dropped for being late: a store is
+kept by event day and batch number, holds detections or partial aggregates, and
+is merged when read, so a late row corrects its day or window.  A batch replayed
+after a failure overwrites its own folders.  Checkpoints and stores live in
+folders the caller names, on storage all executors reach.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import instant_literal
 from ..operators.features import HOURLY_VARIABLES, PRECIP, SOIL, TEMPERATURE, WIND_U, WIND_V, wind_speed
@@ -18,54 +22,74 @@ from ..operators.fires import FIRE_KEY
 from ..operators.notices import wildfire_notifications
 from ..sources.sinks import path_exists
 
-FIRE_LATENESS = "7 days"
-HOURLY_LATENESS = "1 day"
+WINDOW_DAYS = 7
 
 
-def stream_fires(fires: DataFrame) -> DataFrame:
-    """Detections once each; a repeat within the lateness bound is dropped."""
-    return fires.withWatermark("time_utc", FIRE_LATENESS).dropDuplicatesWithinWatermark(["source", *FIRE_KEY])
+def store_fires(batch: DataFrame, batch_id: int, store: str) -> None:
+    """Adds the detections that no earlier batch holds, whatever their age."""
+    # exact positions serve where rounded ones are not given
+    key = [c for c in ("source", *FIRE_KEY) if c in batch.columns]
+    key += [c for c in ("lat", "lon") if f"{c}_round" not in key]
+    arrived = batch.dropDuplicates(key).withColumn("day", F.to_date("time_utc"))
+    if path_exists(batch.sparkSession, store):
+        stored = T.StructType([*arrived.schema.fields, T.StructField("batch_id", T.LongType())])  # a store may be empty
+        earlier = batch.sparkSession.read.schema(stored).parquet(store).where(F.col("batch_id") < batch_id)
+        arrived = arrived.join(earlier.select("day", *key), ["day", *key], "left_anti").select(*arrived.columns)
+    _write_batch(arrived, store, batch_id, "day")
 
 
-def stream_fire_counts(fires: DataFrame) -> DataFrame:
-    """Detections per source in 7-day windows that start every day."""
-    span = F.window("time_utc", "7 days", "1 day")
+def fire_handler(store: str) -> Callable[[DataFrame, int], None]:
+    return lambda batch, batch_id: store_fires(batch, batch_id, store)
+
+
+def fire_count_handler(store: str) -> Callable[[DataFrame, int], None]:
+    """Stores a batch's detections counted by day and source."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        daily = batch.groupBy(F.to_date("time_utc").alias("day"), "source").agg(
+            F.count(F.lit(1)).alias("n"), F.max("frp").alias("max_frp"))
+        _write_batch(daily, store, batch_id, "day")
+
+    return handle
+
+
+def fire_counts(stored: DataFrame) -> DataFrame:
+    """Detections per source in 7-day windows that start every day, open ones included."""
+    starts = F.sequence(F.date_sub("day", WINDOW_DAYS - 1), F.col("day"))
     return (
-        fires.withWatermark("time_utc", "1 hour").groupBy(span, "source")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("frp").alias("max_frp"))
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                "source", "n", "max_frp"))
+        stored.groupBy("day", "source").agg(F.sum("n").alias("n"), F.max("max_frp").alias("max_frp"))
+        .withColumn("first", F.explode(starts)).groupBy("first", "source")
+        .agg(F.sum("n").alias("n"), F.max("max_frp").alias("max_frp"))
+        .select(F.col("first").cast("timestamp").alias("window_start"),
+                F.date_add("first", WINDOW_DAYS).cast("timestamp").alias("window_end"), "source", "n", "max_frp"))
+
 
+HOUR = ["hour", "point_id", "lat", "lng"]
 
-def stream_daily_features(long_hourly: DataFrame) -> DataFrame:
-    """Hourly readings to daily features, both steps as event-time windows.
 
-    Readings later than the bound are dropped.  Units must be settled at ingest:
-    a stream has no whole file to test.
+def hourly_handler(store: str) -> Callable[[DataFrame, int], None]:
+    """Stores a batch's reading of every point, hour and variable: the one of the least tie."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        first = [F.min(F.when(F.col("variable") == v, F.struct("tie", "value"))).alias(v) for v in HOURLY_VARIABLES]
+        hours = batch.groupBy(F.date_trunc("hour", "time").alias("hour"), "point_id", "lat", "lng").agg(*first)
+        _write_batch(hours.withColumn("day", F.to_date("hour")), store, batch_id, "day")
+
+    return handle
+
+
+def daily_features(stored: DataFrame) -> DataFrame:
+    """Stored hours to daily features.
+
+    Units must be settled at ingest: a stream has no whole file to test.
     """
-    hour = F.window("time", "1 hour")
     hourly = (
-        long_hourly.withWatermark("time", HOURLY_LATENESS)
-        .groupBy(hour, "point_id", "lat", "lng")
-        .agg(*[F.min_by("value", F.when(F.col("variable") == v, F.col("tie"))).alias(v) for v in HOURLY_VARIABLES])
+        stored.groupBy("day", *HOUR).agg(*[F.min(v)["value"].alias(v) for v in HOURLY_VARIABLES])
         .withColumn("wind_speed", wind_speed(F.col(WIND_U), F.col(WIND_V))))
-    day = F.window("window", "1 day")
     return (
-        hourly.groupBy(day, "point_id", "lat", "lng")
+        hourly.groupBy("day", "point_id", "lat", "lng")
         .agg(F.avg(TEMPERATURE).alias("temp_mean"), F.max(TEMPERATURE).alias("temp_max"),
              F.coalesce(F.sum(PRECIP), F.lit(0.0)).alias("precip_sum"), F.max("wind_speed").alias("wind_max"),
              F.avg(SOIL).alias("soil_moisture_mean"))
-        .select(F.to_date("window.start").alias("date"), "point_id", "lat", "lng", "temp_mean", "temp_max",
-                "precip_sum", "wind_max", "soil_moisture_mean"))
-
-
-def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Append a stream to Parquet until the source is exhausted."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start())
-    query.awaitTermination()
+        .withColumnRenamed("day", "date"))
 
 
 def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -87,14 +111,7 @@ def fire_alert_handler(assets: DataFrame, fire_store: str, notice_store: str) ->
         newest = batch.agg(F.max("time_utc").alias("t")).first()["t"]
         if newest is None:
             return
-        # a detection is stored once, whatever batch repeats it; exact positions serve where rounded ones are not given
-        key = [c for c in ("source", *FIRE_KEY) if c in batch.columns]
-        key += [c for c in ("lat", "lon") if f"{c}_round" not in key]
-        arrived = batch.dropDuplicates(key).withColumn("day", F.to_date("time_utc"))
-        if path_exists(spark, fire_store):
-            earlier = spark.read.parquet(fire_store).where(F.col("batch_id") < batch_id)
-            arrived = arrived.join(earlier.select("day", *key), ["day", *key], "left_anti").select(*arrived.columns)
-        _write_batch(arrived, fire_store, batch_id, "day")
+        store_fires(batch, batch_id, fire_store)
         moment = str(newest)
         first = instant_literal(moment) - F.expr("INTERVAL 7 DAYS")
         # the folder of a day is named by it, so older days are not opened

@@ -214,3 +214,30 @@ def test_alert_stream_replay_is_harmless(spark, tmp_path):
     handle(batches[0].unionByName(batches[1]), 3)  # nothing new
     assert spark.read.parquet(str(tmp_path / "fires")).count() == 2
     assert spark.read.parquet(str(tmp_path / "notices")).count() == 1
+
+
+def test_late_and_repeated_batches_lose_nothing(spark, tmp_path):
+    def at(day, hour):
+        return dt.datetime(2024, 1, day, hour)
+
+    schema = "source string, time_utc timestamp, lat_round double, lon_round double, lat double, lon double, frp double"
+    rows = [("S", at(d, 5), 37.0, 27.0, 37.0, 27.0, float(d)) for d in (20, 2, 21)]
+    batches = [spark.createDataFrame([r], schema) for r in rows]  # the second is 18 days late
+    fires, counts = str(tmp_path / "fires"), str(tmp_path / "counts")
+    keep, count = jobs.fire_handler(fires), jobs.fire_count_handler(counts)
+    keep(batches[0].limit(0), 0)
+    for n, b in enumerate([*batches, batches[2]]):
+        keep(b, min(n, 2) + 1)  # the last one is replayed
+        count(b, min(n, 2) + 1)
+    keep(batches[1], 4)  # stored already
+    assert sorted(r["frp"] for r in spark.read.parquet(fires).collect()) == [2.0, 20.0, 21.0]
+    got = {r["window_start"].day: r["n"] for r in jobs.fire_counts(spark.read.parquet(counts)).where("window_start >= '2024-01-01'").collect()}
+    assert got == {1: 1, 2: 1, 14: 1, **{d: 2 for d in range(15, 21)}, 21: 1}
+
+    hours = "time timestamp, point_id string, lat double, lng double, variable string, value double, tie long"
+    readings = [(at(20, 5), 280.0, 2), (at(20, 6), 290.0, 3), (at(20, 5), 270.0, 1)]  # a late one that comes first in its hour
+    store = str(tmp_path / "hours")
+    for n, (time, value, tie) in enumerate(readings):
+        jobs.hourly_handler(store)(spark.createDataFrame([(time, "p", 1.0, 2.0, "2m_temperature", value, tie)], hours), n)
+    day = jobs.daily_features(spark.read.parquet(store)).collect()
+    assert [(r["temp_mean"], r["temp_max"]) for r in day] == [(280.0, 290.0)]

@@ -43,16 +43,17 @@ def hourly_stream(t: Tables) -> DataFrame:
         value.alias("value"), F.col("event_id").alias("tie"))
 
 
-def _drained(t: Tables, stream: DataFrame, name: str) -> DataFrame:
+def _stored(t: Tables, stream: DataFrame, handler, name: str) -> DataFrame:
+    """The store a handler makes of the stream."""
     base = shared_folder(t.spark, name)
-    jobs.drain(stream, f"{base}/out", f"{base}/checkpoint")
-    return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
+    jobs.drain_batches(stream, handler(f"{base}/store"), f"{base}/checkpoint")
+    return t.spark.read.parquet(f"{base}/store")
 
 
 def _alerts(t: Tables) -> DataFrame:
     base = shared_folder(t.spark, "fire-alerts")
     handler = jobs.fire_alert_handler(t.v_assets, f"{base}/fires", f"{base}/notices")
-    jobs.drain_batches(fire_stream(t), handler, f"{base}/checkpoint")
+    jobs.drain_batches(fire_stream(t, 3), handler, f"{base}/checkpoint")
     return t.spark.read.parquet(f"{base}/notices").select("portfolio_id", "asset_id", "severity", "dedup_key")
 
 
@@ -68,30 +69,30 @@ STEPS["x_alert_moment"] = """
     group by portfolio_id, asset_id"""
 
 QUERIES = {
-    "stream_fires": lambda t: plain(_drained(t, jobs.stream_fires(fire_stream(t, 3)), "fires").select(
+    "stream_fires": lambda t: plain(_stored(t, fire_stream(t, 3), jobs.fire_handler, "fires").select(
         "event_id", "time_utc", "lat", "lon", "frp", "source")),
-    "stream_fire_counts": lambda t: plain(_drained(t, jobs.stream_fire_counts(fire_stream(t)), "fire-counts")),
-    "stream_daily_features": lambda t: plain(_drained(t, jobs.stream_daily_features(hourly_stream(t)), "daily-features"),
+    "stream_fire_counts": lambda t: plain(jobs.fire_counts(_stored(t, fire_stream(t), jobs.fire_count_handler, "fire-counts"))),
+    "stream_daily_features": lambda t: plain(jobs.daily_features(_stored(t, hourly_stream(t), jobs.hourly_handler, "hours")),
                                              {c: 9 for c in ("temp_mean", "precip_sum", "wind_max", "soil_moisture_mean")}),
     "stream_fire_alerts": _alerts,
 }
 
 ORACLES = {
     "stream_fires": "select event_id, cast(time_utc as varchar) as time_utc, lat, lon, frp, source from v_fires",
-    # a window is given out once the newest detection is an hour past its end
     "stream_fire_counts": """
         with w as (select d as window_start, d + interval 7 days as window_end
-                   from generate_series(timestamp '2023-12-20', timestamp '2024-02-10', interval 1 day) g(d))
+                   from (select unnest(generate_series(cast(date_trunc('day', min(time_utc)) as timestamp) - interval 6 days,
+                                                       cast(date_trunc('day', max(time_utc)) as timestamp), interval 1 day)) as d
+                         from v_fires) g)
         select cast(window_start as varchar) as window_start, cast(window_end as varchar) as window_end, source,
                count(*) as n, max(frp) as max_frp
         from w join v_fires f on f.time_utc >= window_start and f.time_utc < window_end
-        where window_end <= (select max(time_utc) - interval 1 hour from v_fires)
         group by window_start, window_end, source""",
     "stream_daily_features": """
         select cast(cast(time as date) as varchar) as date, point_id, lat, lng, round_even(avg(t), 9) as temp_mean, max(t) as temp_max,
                round_even(coalesce(sum(p), 0), 9) as precip_sum, round_even(max(sqrt(u * u + v * v)), 9) as wind_max,
                round_even(avg(s), 9) as soil_moisture_mean
-        from x_hourly_wide where cast(time as date) + interval 1 day <= (select max(ts) - interval 1 day from events)
+        from x_hourly_wide
         group by cast(time as date), point_id, lat, lng""",
     "stream_fire_alerts": """
         select portfolio_id, asset_id, severity,
