@@ -19,7 +19,7 @@ from terrahaz.llm.common import documents, keyed, text_key, written
 # kind -> pattern; the first kind that fits a find whole is its kind
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "phone": (r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|"
               r"(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"),
@@ -31,7 +31,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 # text without any of these signs holds no entity: a cheap test before the patterns
-HINT = r"@|\d{3}|\d\.\d|[0-9a-f]{32}|Mr|Mrs|Ms|Miss|Herr|Frau|Señor|M(?:onsieur|adame)|Госп|г-"
+HINT = r"@|\d{3}|\d\.\d|[0-9a-fA-F]{32}|Mr|Mrs|Ms|Miss|Herr|Frau|Señor|M(?:onsieur|adame)|Госп|г-"
 GIVEN = {
     ("man", "latin"): "Adam Boris Carl David Emil Felix Georg Henry Ivan Jonas Karl Louis Martin Nils Oscar Paul".split(),
     ("woman", "latin"): "Anna Berta Clara Doris Emma Flora Gerda Hanna Irene Julia Karin Laura Maria Nora Olga Paula".split(),
@@ -51,8 +51,8 @@ def kind_of(surface: Column) -> Column:
 
 
 def norm_of(kind: Column, surface: Column) -> Column:
-    """What writings of one entity have in common: e-mail in lower case, digits and letters of numbers, names without title."""
-    return (F.when(kind == "email", F.lower(surface)).when(kind.isin("secret", "ip"), surface)
+    """What writings of one entity have in common: e-mail and secret in lower case, digits and letters of numbers, names without title."""
+    return (F.when(kind.isin("email", "secret"), F.lower(surface)).when(kind == "ip", surface)
             .when(kind.isin("man", "woman"), F.regexp_replace(surface, r"^\S+ ", ""))
             .otherwise(F.regexp_replace(surface, r"[^0-9A-Za-z]", "")))
 
@@ -153,9 +153,11 @@ def rendered(kind: Column, surface: Column, core: Column) -> Column:
     chars = F.split(core, "")
     filled = F.array_join(F.zip_with(gaps, chars, lambda g, c: F.concat(F.coalesce(g, F.lit("")), F.coalesce(c, F.lit("")))), "")
     fits = F.size(gaps) == F.length(core) + 1
+    cased = F.array_join(F.zip_with(chars, F.split(surface, ""), lambda c, s: F.when(s.rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
     return (F.when(kind.isin("man", "woman"), F.concat(F.regexp_extract(surface, r"^\S+ ", 0), core))
             .when(kind.isin("phone", "ssn", "iban", "card") & fits, filled)
-            .when((kind == "email") & (surface == F.upper(surface)), F.upper(core)).otherwise(core))
+            .when(kind.isin("email", "secret") & (surface == F.upper(surface)), F.upper(core))
+            .when(kind == "secret", cased).otherwise(core))
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -135,6 +135,17 @@ def test_surrogates(docs, empty):
     assert surrogates.replace_pii(empty).count() == 0
 
 
+def test_secrets_in_every_case_share_a_surrogate(spark):
+    secret = "9233a8ec5b" * 4
+    mixed = secret[:20].upper() + secret[20:]
+    texts = [f"token = {secret}", f'TOKEN = "{secret.upper()}"!!', mixed, secret[:31].upper()]
+    out = surrogates.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    lower, upper, both, short = [r["text"] for r in out.orderBy("doc_id").collect()]
+    core = lower.removeprefix("token = ")
+    assert core == core.lower() and len(core) == 40 and core != secret
+    assert upper == f'TOKEN = "{core.upper()}"!!' and both == core[:20].upper() + core[20:] and short == texts[3]
+
+
 def test_surrogates_of_a_crowded_format_stay_distinct(spark):
     found = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(60)], "kind string, norm string")
     cores = [r["core"] for r in surrogates.surrogate_map(found).collect()]
