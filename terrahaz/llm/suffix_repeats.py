@@ -8,7 +8,9 @@ anchor; identical segments fold into their earliest, and what is left of an
 anchor goes through a suffix array, built by Lyndon groups (``lyndon_suffixes``)
 over the texts from the anchors on, in symbols of eight bytes.  In suffix order,
 windows that agree from the anchor on are neighbours; those that also agree
-before it are equal, and all but the earliest are repeats.
+before it are equal, and all but the earliest are repeats.  An anchor with more
+than ``HOT`` segments would fill its task; its windows are dealt on by their own
+content, and the earliest of each is an aggregate.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrahaz.llm.block_repeats import NAMES, PACKED, _joined, _slices, _table, checked_broadcast, from_planes, planes
-from terrahaz.llm.common import documents, keyed, written
+from terrahaz.llm.common import bounded_broadcast, documents, keyed, written
 from terrahaz.llm.hashing import mixed
 from terrahaz.llm.lyndon_suffixes import suffix_order
 
@@ -35,6 +37,8 @@ REACH = WINDOW - SEED  # an anchor lies at most so far behind its window's first
 CHUNK = 2_000_000  # bytes that are hashed at once; their places must fit PLACE_BITS
 PLACE_BITS = 26
 SYMBOL = 8
+HOT = 2_000  # segments of one anchor that one task may hold
+FIRSTS = 200_000  # digests that are broadcast
 
 
 class _Segments:
@@ -184,6 +188,84 @@ def _segments_of(parts: int):
     return run
 
 
+def _segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blobs = [b for b in batch.column("hashes").to_pylist() if b]
+        if blobs:
+            h, n = np.unique(np.frombuffer(b"".join(blobs), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["anchor", "n"])
+
+
+def hot_anchors(segments: DataFrame, most: int) -> np.ndarray:
+    """Hashes of the anchors with more than ``most`` segments (segments / ``most`` numbers at most reach the driver)."""
+    counts = segments.where("part >= 0").select("hashes").mapInArrow(_segment_counts, "anchor long, n long")
+    rows = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
+
+
+def _without_hot(hot: np.ndarray):
+    """Packed segments without those of hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part, hashes, blob, ids, ths, places, counts in zip(*[batch.column(n).to_pylist() for n in NAMES], strict=True):
+                stay = ~np.isin(np.frombuffer(hashes, np.uint64), hot)
+                if part >= 0 and not stay.all():
+                    pairs = np.frombuffer(counts, np.int32).reshape(-1, 2)
+                    raw, ends = zstandard.decompress(blob), np.cumsum(pairs[:, 0])
+                    blob = zstandard.compress(b"".join(raw[ends[i] - pairs[i, 0]:ends[i]] for i in np.flatnonzero(stay)), 3)
+                    hashes, ids, ths, places = (np.frombuffer(b, k)[stay].tobytes() for b, k in (
+                        (hashes, np.uint64), (ids, np.int64), (ths, np.int64), (places, np.int32)))
+                    counts = pairs[stay].tobytes()
+                if part < 0 or stay.any():
+                    rows.append((part, hashes, blob, ids, ths, places, counts))
+            yield _table(rows)
+
+    return run
+
+
+def _hot_windows(hot: np.ndarray):
+    """Every window of the hot anchors' segments: its text, its first byte and a digest of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("part", "hashes", "seconds", "ids", "ths", "places", "counts")]
+            for part, hashes, blob, ids, ths, places, counts in zip(*columns, strict=True):
+                pick = np.flatnonzero(np.isin(np.frombuffer(hashes, np.uint64), hot)) if part >= 0 else []
+                if not len(pick):
+                    continue
+                lengths = np.frombuffer(counts, np.int32).reshape(-1, 2)[:, 0]
+                raw, begin = zstandard.decompress(blob), np.cumsum(lengths) - lengths
+                n = lengths[pick] - WINDOW + 1
+                steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(begin[pick], n) + steps
+                digests = [xxhash.xxh3_128_digest(raw[a:a + WINDOW]) for a in at.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests, pa.binary()), pa.array(np.repeat(np.frombuffer(ids, np.int64)[pick], n)),
+                     pa.array(np.repeat(np.frombuffer(ths, np.int64)[pick], n)),
+                     pa.array((np.repeat(np.frombuffer(places, np.int32)[pick], n) + steps).astype(np.int32))],
+                    ["digest", "_id", "_th", "begin"])
+
+    return run
+
+
+def hot_spans(segments: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Spans of the hot anchors' windows that also start earlier.
+
+    Equal windows meet by digest in an aggregate; a digest with many windows is
+    folded before the shuffle and its skewed join is split.
+    """
+    windows = segments.mapInArrow(_hot_windows(hot), "digest binary, _id long, _th long, begin int")
+    start = F.struct("_id", "begin")
+    # equal starts under one id are one document: no repeats of each other
+    firsts = (windows.groupBy("digest").agg(F.min(start).alias("least"), F.max(start).alias("most"))
+              .where("least < most").select("digest", "least"))
+    firsts = bounded_broadcast(written(firsts, "suffix-firsts"), FIRSTS)
+    return windows.join(firsts, "digest").where(start > F.col("least")).select(
+        "_id", "_th", "begin", (F.col("begin") + WINDOW).cast("int").alias("end"))
+
+
 def repeats_by_suffixes(contexts: list[bytes], back: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Windows (rows: contexts, columns: bytes before the anchor) equal to one of smaller rank.
 
@@ -301,14 +383,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """_id, _th, begins, ends: bytes under 100-byte strings that also start earlier."""
+def repeated_spans(docs: DataFrame, most: int = HOT) -> DataFrame:
+    """_id, _th, begins, ends: bytes under 100-byte strings that also start earlier.
+
+    An anchor with more than ``most`` segments is not handled in one task.
+    """
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs, "text")
     anchors = texts.mapInArrow(_anchors(parts), PACKED).groupBy("part").applyInPandas(_repeated_anchors, "_id long, _th long, place int")
     flagged = written(anchors.groupBy("_id", "_th").agg(F.collect_set("place").alias("places")), "suffix-anchors")
     held = texts.join(flagged, ["_id", "_th"]).select("_id", "_th", "text", "places")
-    spans = held.mapInArrow(_segments_of(parts), PACKED).groupBy("part").applyInPandas(_spans, "_id long, _th long, begin int, end int")
+    segments = written(held.mapInArrow(_segments_of(parts), PACKED), "suffix-segments")
+    hot = hot_anchors(segments, most)
+    cold = segments.mapInArrow(_without_hot(hot), PACKED) if len(hot) else segments
+    spans = cold.groupBy("part").applyInPandas(_spans, "_id long, _th long, begin int, end int")
+    if len(hot):
+        spans = spans.unionByName(hot_spans(segments, hot))
     per_text = spans.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     return written(per_text.mapInArrow(_merged, "_id long, _th long, begins array<int>, ends array<int>"), "suffix-spans")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from terrahaz.llm import (block_repeats, length_buckets, line_rules, odd_sketch_dedup, phrase_index, slot_shards,
                           subword_toxicity, suffix_repeats, surrogates, url_filter)
+from terrahaz.llm.common import text_key
 from terrahaz.llm.lyndon_suffixes import suffix_order
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, key string"
@@ -174,6 +175,47 @@ def test_suffix_repeats(docs, rows, empty):
     assert suffix_repeats.cut_spans(empty).count() == 0
 
 
+def test_suffix_repeats_of_a_hot_anchor(spark):
+    rng = random.Random(9)
+    passage = " ".join(_words(rng, 30))
+    texts = [" ".join(_words(rng, 25)) + " " + passage + " " + " ".join(_words(rng, 25)) for _ in range(60)]
+    rows = [(None if i == 7 else i // 2, t) for i, t in enumerate(texts)] + [(5, texts[10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    most = 3
+    spans = {(r["_id"], r["_th"]): list(zip(r["begins"], r["ends"], strict=True)) for r in suffix_repeats.repeated_spans(docs, most).collect()}
+    plain = {(r["_id"], r["_th"]): list(zip(r["begins"], r["ends"], strict=True)) for r in suffix_repeats.repeated_spans(docs, 10**9).collect()}
+    starts = {}
+    for i, t in rows:
+        for at in range(len(t) - 99):
+            starts.setdefault(t[at:at + 100], set()).add((-(2**63) if i is None else i, at))
+    want = {}
+    for r in docs.select(*[c.alias(n) for n, c in text_key().items()], "text").distinct().collect():
+        gone = []
+        for at in range(len(r["text"]) - 99):
+            if (r["_id"], at) > min(starts[r["text"][at:at + 100]]):
+                if gone and at <= gone[-1][1]:
+                    gone[-1] = (gone[-1][0], at + 100)
+                else:
+                    gone.append((at, at + 100))
+        if gone:
+            want[r["_id"], r["_th"]] = gone
+    assert spans == want == plain and len(want) > 50
+
+
+def test_segments_of_a_hot_anchor_leave_its_task(spark):
+    rng = random.Random(4)
+    passage = " ".join(_words(rng, 30))
+    texts = [(i, " ".join(_words(rng, 25)) + " " + passage + " " + " ".join(_words(rng, 25))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "_id long, text string").withColumn("_th", F.lit(0).cast("long"))
+    places = docs.withColumn("places", F.sequence(F.lit(0), F.length("text")).cast("array<int>"))
+    segments = places.select("_id", "_th", "text", "places").mapInArrow(suffix_repeats._segments_of(4), suffix_repeats.PACKED).cache()
+    hot = suffix_repeats.hot_anchors(segments, 20)
+    assert len(hot)
+    rest = segments.mapInArrow(suffix_repeats._without_hot(hot), suffix_repeats.PACKED)
+    counts = Counter(h for r in rest.where("part >= 0").collect() for h in np.frombuffer(r["hashes"], np.uint64).tolist())
+    assert counts and max(counts.values()) <= 20
+
+
 def test_block_repeats(docs, rows, empty):
     got = {r["doc_id"]: r for r in block_repeats.cut_repeats(docs).collect()}
     windows = Counter(tuple(w[p:p + 35]) for r in rows for w in [_split(r[1])] for p in range(len(w) - 34))
