@@ -252,7 +252,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, plus ``_id`` and ``_th``.
+    """Per row: doc_id, n_shingles, component_id, kept, plus ``_id``, ``_th`` and ``_comp`` (a number of the group).
 
     Linked: 100 * common shingles >= 75 * shingles of either.  component_id is
     the smallest doc_id reachable; null and empty texts are linked with nothing
@@ -277,18 +277,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = written(components(edges.unionByName(more)), "near-components")
     placed = nodes.select("node", "digest", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lowest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = placed.join(lowest, "comp").select("digest", "component_id", F.lit(True).alias("_named"))
+    named = placed.join(lowest, "comp").select("digest", "component_id", F.col("comp").alias("_comp"), F.lit(True).alias("_named"))
     rows = features.select("doc_id", "n_shingles", "digest", "_id", "_th").join(named, "digest", "left")
     component = F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"),
-                       F.col("doc_id").eqNullSafe(component).alias("kept"), "_id", "_th")
+                       F.col("doc_id").eqNullSafe(component).alias("kept"), "_id", "_th", "_comp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each group, all columns; of rows repeated word for word one stays."""
     judged = written(near_duplicates(docs), "near-judged")
-    counted = judged.groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"))
-    # two texts under one id in one component: the first by hash stays
+    counted = judged.groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"), F.min("_comp").alias("_comp"))
+    # several texts under the smallest id (or none) in one component: the first by hash stays
+    firsts = written(counted.where("kept and _comp is not null").groupBy("_comp")
+                     .agg(F.min("_th").alias("_first"), F.count(F.lit(1)).alias("_texts")).where("_texts > 1").drop("_texts"), "near-firsts")
+    counted = (counted.join(bounded_broadcast(firsts, SMALL), "_comp", "left")
+               .withColumn("kept", F.col("kept") & F.coalesce(F.col("_th") == F.col("_first"), F.lit(True))))
     dropped = written(counted.where("not kept or n > 1").select("_id", "_th", "n", "kept"), "near-dropped")
     single = without(docs, dropped.select("_id", "_th"), SMALL)
     again = (docs.withColumns(text_key()).join(bounded_broadcast(dropped.where("kept").select("_id", "_th"), SMALL), ["_id", "_th"])
@@ -297,4 +301,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op5_odd_sketch_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("_id", "_th")
+    return near_duplicates(documents(spark, sf_dir)).drop("_id", "_th", "_comp")

@@ -127,6 +127,19 @@ def test_near_duplicates(docs, rows, empty):
     assert odd_sketch_dedup.near_duplicates(empty).count() == 0
 
 
+def test_one_near_copy_stays_without_ids_and_under_one_id(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in (None, 4):
+        base = _words(rng, 150)
+        rows += [(i, " ".join([*base[:k], "changed", *base[k + 1:]])) for k in (20, 70, 120)]
+        rows.append(rows[-1])
+    rows += [(None, ""), (None, None), (4, "alone under its id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r["doc_id"], (r["text"] or "")[:20]) for r in odd_sketch_dedup.one_of_each(docs).collect())
+    assert left == Counter((i, (t or "")[:20]) for i, t in [rows[0], rows[4], *rows[8:]])
+
+
 def test_surrogates(docs, empty):
     out = {r["doc_id"]: r["text"] for r in surrogates.replace_pii(docs).collect()}
     changed = out[13].replace(",", " ").split()
