@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from terrahaz.llm import block_repeats, length_buckets, line_rules, odd_sketch_dedup, phrase_index, slot_shards, subword_toxicity, suffix_repeats, surrogates, url_filter
+from terrahaz.llm import (block_repeats, length_buckets, line_bitmaps, line_rules, odd_sketch_dedup, phrase_index,
+                          slot_shards, subword_toxicity, suffix_repeats, surrogates, url_filter)
 
 QUERIES = {
     "op1_subword_toxicity": subword_toxicity.op1_subword_toxicity,
@@ -15,10 +16,12 @@ QUERIES = {
     "op8_block_repeats": block_repeats.op8_block_repeats,
     "op9_phrase_index": phrase_index.op9_phrase_index,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_line_bitmaps": line_bitmaps.op11_line_bitmaps,
 }
 ORACLES = {
     "op2_line_rules": line_rules.SQL,
     "op8_block_repeats": block_repeats.SQL,
     "op9_phrase_index": phrase_index.SQL,
     "op10_url_filter": url_filter.SQL,
+    "op11_line_bitmaps": line_bitmaps.SQL,
 }
