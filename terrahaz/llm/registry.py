@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from terrahaz.llm import (block_repeats, length_buckets, line_bitmaps, line_rules, odd_sketch_dedup, phrase_index,
-                          slot_shards, subword_toxicity, suffix_repeats, surrogates, url_filter)
+from terrahaz.llm import (block_repeats, length_buckets, line_bitmaps, line_rules, merkle_manifest, odd_sketch_dedup,
+                          phrase_index, slot_shards, subword_toxicity, suffix_repeats, surrogates,
+                          url_filter, whitening)
 
 QUERIES = {
     "op1_subword_toxicity": subword_toxicity.op1_subword_toxicity,
@@ -17,6 +18,8 @@ QUERIES = {
     "op9_phrase_index": phrase_index.op9_phrase_index,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_line_bitmaps": line_bitmaps.op11_line_bitmaps,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES = {
     "op2_line_rules": line_rules.SQL,
@@ -24,4 +27,5 @@ ORACLES = {
     "op9_phrase_index": phrase_index.SQL,
     "op10_url_filter": url_filter.SQL,
     "op11_line_bitmaps": line_bitmaps.SQL,
+    "op13_merkle_manifest": merkle_manifest.SQL,
 }
