@@ -184,28 +184,44 @@ def concat_feature_files(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def file_grids(cells: DataFrame, file_id: str) -> DataFrame:
+    """Per file the fingerprint ``grid`` of its set of cells; files with the same cells share it.
+
+    ``cells``: file_id, lat, lng, distinct.  A fingerprint is the number of cells
+    and two 64-bit sums over GF(2) of their hashes: those of parts of a set merge,
+    in any order, so files of any size are folded below the shuffle.
+    """
+    return cells.groupBy(file_id).agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*CELL)).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit(1), *CELL)).alias("two")).alias("grid"))
+
+
 def batch_point_timeseries(assets: DataFrame, raw: DataFrame, start: dt.date | str,
                            end: dt.date | str, file_id: str, newest: list[str]) -> DataFrame:
     """Daily series for many points at once.
 
     In every file the cell nearest to the (3-decimal) position is taken; per
-    date the newest file wins.  ``assets``: asset_id, lat, lng.
+    date the newest file wins.  ``assets``: asset_id, lat, lng.  Files with the
+    same cells have the same answers, so positions are searched once per grid, and
+    of a grid's files only the newest row of a cell and date meets a position.
     """
     frame = _with_missing(raw, FEATURE_VALUES)
     if "date" not in frame.columns:
         frame = frame.withColumn("date", F.to_date("time"))
-    cells = frame.select(file_id, *CELL).distinct()
+    inside = filter_date_range(frame, start, end)
+    grids = file_grids(frame.select(file_id, *CELL).distinct(), file_id).join(
+        inside.select(file_id).distinct(), file_id, "left_semi")
+    one_file = grids.groupBy("grid").agg(F.min(file_id).alias(file_id))
+    cells = frame.select(file_id, *CELL).join(one_file, file_id).select("grid", *CELL).distinct()
     wanted = assets.select(
         "asset_id", F.bround("lat", 3).alias("at_lat"), F.bround("lng", 3).alias("at_lng"))
-    spots = wanted.select("at_lat", "at_lng").distinct()
-    # one row per (spot, file with days in the range): every such file answers for
-    # every spot.  Salted, so the pairing has no single hot key.
-    files = filter_date_range(frame, start, end).select(file_id).distinct()
-    salted = spots.withColumn("_salt", F.pmod(F.hash("at_lat", "at_lng"), F.lit(SALTS)))
-    copies = files.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = salted.join(copies, "_salt").drop("_salt")
-    matched = nearest_sites(asked, cells, {"at_lat": "lat", "at_lng": "lng"}, group=[file_id], few_groups=False)
-    rows = filter_date_range(frame, start, end).join(matched.drop("distance"), [file_id, *CELL])
+    # one row per (spot, grid); salted, so that no grid is a hot key
+    salted = wanted.select("at_lat", "at_lng").distinct().withColumn("_salt", F.pmod(F.hash("at_lat", "at_lng"), F.lit(SALTS)))
+    copies = one_file.select("grid", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    matched = nearest_sites(salted.join(copies, "_salt").drop("_salt"), cells, {"at_lat": "lat", "at_lng": "lng"},
+                            group=["grid"], few_groups=False)
+    dated = keep_newest(inside.join(grids, file_id), ["grid", *CELL, "date"], newest_first(*newest))
+    rows = dated.join(matched.drop("distance"), ["grid", *CELL])
     best = keep_newest(rows, ["at_lat", "at_lng", "date"], newest_first(*newest))
     return wanted.join(best.drop(*CELL), ["at_lat", "at_lng"]).select(
         "asset_id", "date", *FEATURE_VALUES, F.lit("era5").alias("source"))

@@ -214,7 +214,7 @@ def _replace_scores(t: Tables) -> DataFrame:
 def _climate_series(t: Tables) -> DataFrame:
     cell = "lat = 37.0 and lng = 26.5"
     known = t.v_features.where(cell).withColumn("source", F.lit("era5"))
-    forecast = t.v_features_raw.where("file_id = 1").groupBy("date").agg(
+    forecast = t.v_features_raw.groupBy("date").agg(
         *[F.max(c).alias(c) for c in ft.FEATURE_VALUES]).withColumn("source", F.lit("open-meteo"))
     return plain(ft.climate_series(t.spark, known, forecast, *WHOLE, "2001-01-01"))
 
@@ -229,7 +229,7 @@ QUERIES = {
     "point_timeseries": lambda t: plain(ft.point_timeseries(
         t.spark, 37.9004, 26.6004, t.v_features_raw, *WHOLE, "file_id", NEWEST)),
     "batch_point_timeseries": lambda t: plain(ft.batch_point_timeseries(
-        t.v_assets.select("asset_id", "lat", F.col("lon").alias("lng")), t.v_features_raw, *QUARTER, "file_id", NEWEST)),
+        t.v_assets.select("asset_id", "lat", F.col("lon").alias("lng")), t.v_features_raw, *WHOLE, "file_id", NEWEST)),
     "hourly_point_sample": lambda t: plain(ft.hourly_point_sample(
         t.v_grid, t.v_assets.select(F.col("asset_id").alias("point_id"), "lat", "lon"))),
     "filter_grid_bbox": lambda t: plain(fl.filter_grid_bbox(t.v_grid, 36.0, 40.0, 39.0, 30.0).select("event_id", "lat", "lng", "value")),
@@ -332,7 +332,7 @@ ORACLES = {
     "point_timeseries": _SERIES.format(asset="", near=_NEAR_FILE.format(
         points="select 'p' as asset_id, 37.9E0 as lat, 26.6E0 as lng"), start=WHOLE[0], end=WHOLE[1]),
     "batch_point_timeseries": _SERIES.format(asset="asset_id, ", near=_NEAR_FILE.format(
-        points="select asset_id, lat, lon as lng from v_assets"), start=QUARTER[0], end=QUARTER[1]),
+        points="select asset_id, lat, lon as lng from v_assets"), start=WHOLE[0], end=WHOLE[1]),
     "hourly_point_sample": """
         with la as (select distinct lat from v_grid), lo as (select distinct lng from v_grid),
         pick as (select asset_id, p.lat, p.lon,
@@ -392,7 +392,7 @@ ORACLES = {
         with days as (select cast(unnest(generate_series(date '{WHOLE[0]}', date '{WHOLE[1]}', interval 1 day)) as date) as date),
         r as (select date, {_VALUES}, 'era5' as source from v_features where lat = 37.0 and lng = 26.5),
         f as (select date, {", ".join(f"max({c}) as {c}" for c in ft.FEATURE_VALUES)}, 'open-meteo' as source
-              from v_features_raw where file_id = 1 group by date)
+              from v_features_raw group by date)
         select cast(d.date as varchar) as date, r.* exclude (date) from days d join r on r.date = d.date where d.date < date '2001-01-01'
         union all
         select cast(d.date as varchar), f.* exclude (date) from days d join f on f.date = d.date where d.date >= date '2001-01-01'
