@@ -8,15 +8,21 @@ anchor; identical segments fold into their earliest, and what is left of an
 anchor goes through a suffix array, built by Lyndon groups (``lyndon_suffixes``)
 over the texts from the anchors on, in symbols of eight bytes.  In suffix order,
 windows that agree from the anchor on are neighbours; those that also agree
-before it are equal, and all but the earliest are repeats.  An anchor with more
-than ``HOT`` segments would fill its task; its windows are dealt on by their own
-content, and the earliest of each is an aggregate.
+before it are equal, and all but the earliest are repeats.
+
+A passage that many documents share makes crowded anchors: the segments at its
+edges differ in every document.  Segments of a crowded anchor are cut where the
+next smallest hashes of their windows change and dealt again, still packed, by
+all of these hashes and their distances; so equal windows still meet, and the
+same suffix arrays judge them.  The levels end, for windows that agree in all
+their hashes are equal and fold.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrahaz.llm.block_repeats import NAMES, PACKED, _joined, _slices, _table, checked_broadcast, from_planes, planes
-from terrahaz.llm.common import bounded_broadcast, documents, keyed, written
+from terrahaz.llm.common import documents, keyed, written
 from terrahaz.llm.hashing import mixed
 from terrahaz.llm.lyndon_suffixes import suffix_order
 
@@ -37,8 +43,10 @@ REACH = WINDOW - SEED  # an anchor lies at most so far behind its window's first
 CHUNK = 2_000_000  # bytes that are hashed at once; their places must fit PLACE_BITS
 PLACE_BITS = 26
 SYMBOL = 8
-HOT = 2_000  # segments of one anchor that one task may hold
-FIRSTS = 200_000  # digests that are broadcast
+CROWD = 2_000  # different segments of one key from which on they are dealt by more hashes
+DEALS = (4, 16, REACH + 1)  # smallest hashes of a window that make its key, level by level; the last are all
+PORTION = 4_000_000  # bytes of crowded segments that a task cuts at once
+STEP = 10_000  # windows whose hashes are ordered at once
 
 
 class _Segments:
@@ -161,109 +169,152 @@ def _segments_of(parts: int):
                 continue
             owner, first, end, h = s.owner[pick], s.first[pick], s.end[pick], s.hash[pick]
             ids, ths = batch.column("_id").to_numpy()[owner], batch.column("_th").to_numpy()[owner]
-            back = s.anchor[pick] - first
-            digest = np.fromiter((xxhash.xxh3_64_intdigest(s.bytes_of(i), seed=b) for i, b in zip(pick.tolist(), back.tolist(), strict=True)), np.uint64, len(pick))
-            lead = _earliest(digest, ids, ths, first)
-            rows = []
-            late = np.flatnonzero(~lead)
-            if len(late):
-                late = late[np.lexsort((first[late], owner[late]))]
-                o, f, e = owner[late], first[late], end[late]
-                new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (f[1:] > e[:-1])])
-                tails = np.r_[new[1:], len(late)] - 1
-                rows.append((-1 - int(h[0] % np.uint64(parts)), b"", b"", ids[late[new]].tobytes(), ths[late[new]].tobytes(),
-                             f[new].astype(np.int32).tobytes(), e[tails].astype(np.int32).tobytes()))
-            go = np.flatnonzero(lead)
-            part = (h[go] % np.uint64(parts)).astype(np.int32)
-            order = np.lexsort((back[go], h[go], part))
-            go, part = go[order], part[order]
-            for p, k in _slices(part):
-                i = go[k]
-                blob = zstandard.compress(b"".join(s.bytes_of(j) for j in pick[i].tolist()), 3)
-                rows.append((p, h[i].tobytes(), blob, ids[i].tobytes(), ths[i].tobytes(),
-                             first[i].astype(np.int32).tobytes(),
-                             np.stack([end[i] - first[i], back[i]], 1).astype(np.int32).tobytes()))
-            yield _table(rows)
+            yield _table(_packed([s.bytes_of(i) for i in pick.tolist()], s.anchor[pick] - first, h, ids, ths, first, owner, parts))
 
     return run
 
 
-def _segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blobs = [b for b in batch.column("hashes").to_pylist() if b]
-        if blobs:
-            h, n = np.unique(np.frombuffer(b"".join(blobs), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["anchor", "n"])
-
+def _packed(contexts: list[bytes], back: np.ndarray, h: np.ndarray, ids: np.ndarray, ths: np.ndarray, first: np.ndarray,
+            owner: np.ndarray, parts: int) -> list[tuple]:
+    """Rows for segments of a batch: of equal ones all but the earliest as spans, the others by the part of their key ``h``."""
+    end = first + np.array([len(c) for c in contexts])
+    lead = _earliest(_digests(contexts, back), ids, ths, first)
+    rows = []
+    late = np.flatnonzero(~lead)
+    if len(late):
+        late = late[np.lexsort((first[late], owner[late]))]
+        o, f, e = owner[late], first[late], end[late]
+        new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (f[1:] > e[:-1])])
+        tails = np.r_[new[1:], len(late)] - 1
+        rows.append((-1 - int(h[0] % np.uint64(parts)), b"", b"", ids[late[new]].tobytes(), ths[late[new]].tobytes(),
+                     f[new].astype(np.int32).tobytes(), e[tails].astype(np.int32).tobytes()))
+    go = np.flatnonzero(lead)
+    part = (h[go] % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((back[go], h[go], part))
+    go, part = go[order], part[order]
+    for p, k in _slices(part):
+        i = go[k]
+        blob = zstandard.compress(b"".join(contexts[j] for j in i.tolist()), 3)
+        rows.append((p, h[i].tobytes(), blob, ids[i].tobytes(), ths[i].tobytes(), first[i].astype(np.int32).tobytes(),
+                     np.stack([end[i] - first[i], back[i]], 1).astype(np.int32).tobytes()))
+    return rows
 
-def hot_anchors(segments: DataFrame, most: int) -> np.ndarray:
-    """Hashes of the anchors with more than ``most`` segments (segments / ``most`` numbers at most reach the driver)."""
-    counts = segments.where("part >= 0").select("hashes").mapInArrow(_segment_counts, "anchor long, n long")
-    rows = counts.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("anchor").collect()
-    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
 
+def _digests(contexts: list[bytes], back: np.ndarray) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(c, seed=b) for c, b in zip(contexts, back.tolist(), strict=True)), np.uint64, len(contexts))
 
-def _without_hot(hot: np.ndarray):
-    """Packed segments without those of hot anchors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for part, hashes, blob, ids, ths, places, counts in zip(*[batch.column(n).to_pylist() for n in NAMES], strict=True):
-                stay = ~np.isin(np.frombuffer(hashes, np.uint64), hot)
-                if part >= 0 and not stay.all():
-                    pairs = np.frombuffer(counts, np.int32).reshape(-1, 2)
-                    raw, ends = zstandard.decompress(blob), np.cumsum(pairs[:, 0])
-                    blob = zstandard.compress(b"".join(raw[ends[i] - pairs[i, 0]:ends[i]] for i in np.flatnonzero(stay)), 3)
-                    hashes, ids, ths, places = (np.frombuffer(b, k)[stay].tobytes() for b, k in (
-                        (hashes, np.uint64), (ids, np.int64), (ths, np.int64), (places, np.int32)))
-                    counts = pairs[stay].tobytes()
-                if part < 0 or stay.any():
-                    rows.append((part, hashes, blob, ids, ths, places, counts))
-            yield _table(rows)
+def _unpacked(row: dict, pick: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, anchors' places in them, keys, ids, ths and first bytes of a packed row's segments."""
+    pairs = np.frombuffer(row["counts"], np.int32).reshape(-1, 2).astype(np.int64)
+    ends, raw = np.cumsum(pairs[:, 0]), zstandard.decompress(row["seconds"])
+    pick = np.arange(len(pairs)) if pick is None else pick
+    contexts = [raw[ends[i] - pairs[i, 0]:ends[i]] for i in pick.tolist()]
+    return (contexts, pairs[pick, 1], *(np.frombuffer(row[c], kind)[pick] for c, kind in (
+        ("hashes", np.uint64), ("ids", np.int64), ("ths", np.int64), ("places", np.int32))))
 
-    return run
 
+def _segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different segments of every key that a batch holds, as digests."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] >= 0:
+                contexts, back, h, *_ = _unpacked(row)
+                found = np.unique(np.stack([h, _digests(contexts, back)], 1), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["part"], np.int32)), pa.array(found[:, 0].copy()),
+                                                  pa.array(found[:, 1].copy())], ["part", "key", "digest"])
 
-def _hot_windows(hot: np.ndarray):
-    """Every window of the hot anchors' segments: its text, its first byte and a digest of its bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("part", "hashes", "seconds", "ids", "ths", "places", "counts")]
-            for part, hashes, blob, ids, ths, places, counts in zip(*columns, strict=True):
-                pick = np.flatnonzero(np.isin(np.frombuffer(hashes, np.uint64), hot)) if part >= 0 else []
-                if not len(pick):
-                    continue
-                lengths = np.frombuffer(counts, np.int32).reshape(-1, 2)[:, 0]
-                raw, begin = zstandard.decompress(blob), np.cumsum(lengths) - lengths
-                n = lengths[pick] - WINDOW + 1
-                steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(begin[pick], n) + steps
-                digests = [xxhash.xxh3_128_digest(raw[a:a + WINDOW]) for a in at.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.binary()), pa.array(np.repeat(np.frombuffer(ids, np.int64)[pick], n)),
-                     pa.array(np.repeat(np.frombuffer(ths, np.int64)[pick], n)),
-                     pa.array((np.repeat(np.frombuffer(places, np.int32)[pick], n) + steps).astype(np.int32))],
-                    ["digest", "_id", "_th", "begin"])
+def crowded_keys(segments: DataFrame, most: int) -> DataFrame:
+    """part, keys: the keys of a part with more than ``most`` different segments."""
+    each = segments.mapInArrow(_segment_counts, "part int, key long, digest long").distinct()
+    crowded = each.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return crowded.groupBy("part").agg(F.collect_list("key").alias("keys"))
 
-    return run
 
+def _hit(row: dict) -> np.ndarray:
+    return np.isin(np.frombuffer(row["hashes"], np.int64), row["keys"] or [])
 
-def hot_spans(segments: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Spans of the hot anchors' windows that also start earlier.
 
-    Equal windows meet by digest in an aggregate; a digest with many windows is
-    folded before the shuffle and its skewed join is split.
+def _uncrowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed segments without those of crowded keys."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            stay = ~_hit(row) if row["part"] >= 0 and row["keys"] else None
+            if stay is not None and not stay.all():
+                contexts, back, h, ids, ths, first = _unpacked(row, np.flatnonzero(stay))
+                lengths = np.array([len(c) for c in contexts], np.int64)
+                row |= {"hashes": h.tobytes(), "seconds": zstandard.compress(b"".join(contexts), 3), "ids": ids.tobytes(), "ths": ths.tobytes(),
+                        "places": first.tobytes(), "counts": np.stack([lengths, back], 1).astype(np.int32).tobytes()}
+            if stay is None or stay.any():
+                rows.append(tuple(row[n] for n in NAMES))
+        yield _table(rows)
+
+
+def cut_by_hashes(contexts: list[bytes], back: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of segments whose windows share the places of their ``upto`` smallest hashes.
+
+    Returns segment, first window, last window and key of each piece.  The key
+    depends on the window's bytes alone: the hashes and their distances from the
+    least one.
     """
-    windows = segments.mapInArrow(_hot_windows(hot), "digest binary, _id long, _th long, begin int")
-    start = F.struct("_id", "begin")
-    # equal starts under one id are one document: no repeats of each other
-    firsts = (windows.groupBy("digest").agg(F.min(start).alias("least"), F.max(start).alias("most"))
-              .where("least < most").select("digest", "least"))
-    firsts = bounded_broadcast(written(firsts, "suffix-firsts"), FIRSTS)
-    return windows.join(firsts, "digest").where(start > F.col("least")).select(
-        "_id", "_th", "begin", (F.col("begin") + WINDOW).cast("int").alias("end"))
+    raw = np.frombuffer(b"".join(contexts) + bytes(SEED), np.uint8)
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view(np.uint64), (len(raw) - 8,), (1,))
+    n = len(raw) - SEED
+    h = mixed(eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mixed(eight[8:n + 8]))
+    lengths = np.array([len(c) for c in contexts], np.int64)
+    windows = lengths - WINDOW + 1
+    owner = np.repeat(np.arange(len(contexts)), windows)
+    within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    start = (np.cumsum(lengths) - lengths)[owner] + within
+    low, mask = np.uint64(PLACE_BITS), np.uint64((1 << PLACE_BITS) - 1)
+    keys, new = [], []
+    before = None
+    for a in range(0, len(start), STEP):
+        at = start[a:a + STEP, None] + np.arange(REACH + 1)
+        ordered = (h[at] >> low << low) | np.arange(REACH + 1, dtype=np.uint64)  # as the anchors were chosen
+        if upto <= REACH:
+            ordered = np.partition(ordered, upto - 1, axis=1)[:, :upto]
+        places = (np.sort(ordered, axis=1) & mask).astype(np.int64) + start[a:a + STEP, None]
+        key = np.zeros(len(places), np.uint64)
+        for k in range(upto):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + h[places[:, k]] + (places[:, k] - places[:, 0]).astype(np.uint64))
+        keys.append(key)
+        previous = np.concatenate([places[:1] if before is None else before, places[:-1]])
+        new.append((places != previous).any(1))
+        before = places[-1:]
+    keys, new = np.concatenate(keys), np.concatenate(new) | (within == 0)
+    begin = np.flatnonzero(new)
+    last = np.r_[begin[1:], len(new)] - 1
+    return owner[begin], within[begin], within[last], keys[begin]
+
+
+def _redealt(parts: int, upto: int):
+    """Segments of crowded keys, cut and packed by the keys of their ``upto`` smallest hashes."""
+    def pack(held: list[tuple]) -> list[tuple]:
+        contexts = [c for row in held for c in row[0]]
+        back, _, ids, ths, first = (np.concatenate([row[k] for row in held]) for k in range(1, 6))
+        owner, begin, last, key = cut_by_hashes(contexts, back, upto)
+        pieces = [contexts[o][b:e + WINDOW] for o, b, e in zip(owner.tolist(), begin.tolist(), last.tolist(), strict=True)]
+        _, text = np.unique(np.stack([ids, ths], 1), axis=0, return_inverse=True)
+        return _packed(pieces, back[owner] - begin, key, ids[owner], ths[owner], first[owner] + begin, text.ravel()[owner], parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                pick = np.flatnonzero(_hit(row)) if row["part"] >= 0 and row["keys"] else []
+                if len(pick):
+                    held.append(_unpacked(row, pick))
+                    size += sum(map(len, held[-1][0]))
+                if size >= PORTION:
+                    yield _table(pack(held))
+                    held, size = [], 0
+        if held:
+            yield _table(pack(held))
+
+    return run
 
 
 def repeats_by_suffixes(contexts: list[bytes], back: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -321,8 +372,7 @@ def _spans(rows: pd.DataFrame) -> pd.DataFrame:
     blob = b"".join(map(zstandard.decompress, rows["seconds"]))
     offset = np.cumsum(length) - length
     contexts = [blob[a:a + n] for a, n in zip(offset.tolist(), length.tolist(), strict=True)]
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(c, seed=b) for c, b in zip(contexts, back.tolist(), strict=True)), np.uint64, len(contexts))
-    lead = _earliest(digest, ids, ths, first)
+    lead = _earliest(_digests(contexts, back), ids, ths, first)
     late = np.flatnonzero(~lead)
     out = [(ids[late], ths[late], first[late], first[late] + length[late])]
     go = np.flatnonzero(lead)
@@ -383,10 +433,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_spans(docs: DataFrame, most: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, most: int = CROWD) -> DataFrame:
     """_id, _th, begins, ends: bytes under 100-byte strings that also start earlier.
 
-    An anchor with more than ``most`` segments is not handled in one task.
+    A key with more than ``most`` different segments is dealt on by more hashes.
     """
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs, "text")
@@ -394,11 +444,16 @@ def repeated_spans(docs: DataFrame, most: int = HOT) -> DataFrame:
     flagged = written(anchors.groupBy("_id", "_th").agg(F.collect_set("place").alias("places")), "suffix-anchors")
     held = texts.join(flagged, ["_id", "_th"]).select("_id", "_th", "text", "places")
     segments = written(held.mapInArrow(_segments_of(parts), PACKED), "suffix-segments")
-    hot = hot_anchors(segments, most)
-    cold = segments.mapInArrow(_without_hot(hot), PACKED) if len(hot) else segments
-    spans = cold.groupBy("part").applyInPandas(_spans, "_id long, _th long, begin int, end int")
-    if len(hot):
-        spans = spans.unionByName(hot_spans(segments, hot))
+    judged = []
+    for upto in DEALS:
+        crowded = written(crowded_keys(segments, most), "suffix-crowded")
+        if crowded.isEmpty():
+            break
+        split = segments.join(checked_broadcast(crowded, "keys"), "part", "left").select(*NAMES, "keys")
+        judged.append(split.mapInArrow(_uncrowded, PACKED))
+        segments = written(split.where(F.col("keys").isNotNull()).mapInArrow(_redealt(parts, upto), PACKED), "suffix-segments")
+    spans = reduce(DataFrame.unionByName, [frame.groupBy("part").applyInPandas(_spans, "_id long, _th long, begin int, end int")
+                                           for frame in [*judged, segments]])
     per_text = spans.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     return written(per_text.mapInArrow(_merged, "_id long, _th long, begins array<int>, ends array<int>"), "suffix-spans")
 

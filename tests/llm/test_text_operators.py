@@ -222,13 +222,50 @@ def test_segments_of_a_hot_anchor_leave_its_task(spark):
     docs = spark.createDataFrame(texts, "_id long, text string").withColumn("_th", F.lit(0).cast("long"))
     places = docs.withColumn("places", F.sequence(F.lit(0), F.length("text")).cast("array<int>"))
     segments = places.select("_id", "_th", "text", "places").mapInArrow(suffix_repeats._segments_of(4), suffix_repeats.PACKED).cache()
-    hot = suffix_repeats.hot_anchors(segments, 20)
-    assert len(hot)
-    rest = segments.mapInArrow(suffix_repeats._without_hot(hot), suffix_repeats.PACKED)
+    crowded = suffix_repeats.crowded_keys(segments, 20)
+    assert crowded.count()
+    rest = segments.join(crowded, "part", "left").mapInArrow(suffix_repeats._uncrowded, suffix_repeats.PACKED)
     counts = Counter(h for r in rest.where("part >= 0").collect() for h in np.frombuffer(r["hashes"], np.uint64).tolist())
     assert counts and max(counts.values()) <= 20
 
 
+@pytest.mark.parametrize("upto", [1, *suffix_repeats.DEALS])
+def test_pieces_hold_every_window_and_equal_ones_share_a_key(upto):
+    rng = random.Random(upto)
+    passage = " ".join(_words(rng, 22)).encode()
+    texts = [b" ".join([" ".join(_words(rng, 9)).encode(), passage, " ".join(_words(rng, 9)).encode()]) for _ in range(30)] + [b"x" * 180, b"ab" * 100]
+    s = suffix_repeats._Segments(texts)
+    contexts = [s.bytes_of(i) for i in range(len(s.hash))]
+    owner, begin, last, key = suffix_repeats.cut_by_hashes(contexts, s.anchor - s.first, upto)
+    seen = {}
+    for o, b, e, k in zip(owner.tolist(), begin.tolist(), last.tolist(), key.tolist(), strict=True):
+        for w in range(b, e + 1):
+            assert seen.setdefault(contexts[o][w:w + 100], k) == k
+    assert (last - begin + 1).sum() == sum(len(t) - 99 for t in texts)
+    if upto == suffix_repeats.DEALS[-1]:  # all hashes: a key is a window
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_a_passage_in_a_third_of_all_documents(spark):
+    rng = random.Random(21)
+    passage = " ".join(_words(rng, 40))
+    source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows = [(i, f"{t[:60]} {passage} {t[60:]}" if i % 3 == 0 else t) for i, t in source]
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffix_repeats.cut_spans(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    spans = suffix_repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 20)
+    levels = {(r["_id"]): sum(e - b for b, e in zip(r["begins"], r["ends"], strict=True)) for r in spans.collect()}
+    seen, want = {}, {}
+    for i, text in sorted(rows):
+        b = text.encode()
+        gone = np.zeros(len(b), bool)
+        for at in range(len(b) - 99):
+            if seen.setdefault(b[at:at + 100], (i, at)) != (i, at):
+                gone[at:at + 100] = True
+        want[i] = (int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    assert got == want and levels == {i: n for i, (n, _) in want.items() if n}
+
+
 def test_block_repeats(docs, rows, empty):
     got = {r["doc_id"]: r for r in block_repeats.cut_repeats(docs).collect()}
     windows = Counter(tuple(w[p:p + 35]) for r in rows for w in [_split(r[1])] for p in range(len(w) - 34))
