@@ -71,8 +71,9 @@ def main() -> None:
         timed(name, lambda: run(score(n)))
         per_asset[name] = {"per_asset_ms": round(took[name] / n * 1000, 3),
                            "per_asset_day_ms": round(took[name] / (n * DAYS) * 1000, 5)}
+    scored = score(5000).drop("exposure")
     timed("store_scores", lambda: sinks.write_scores(
-        spark, f"{store}/scores", score(5000).drop("exposure"), assets, START, END, VERSION))
+        sinks.scores_table(spark, f"{store}/scores", scored.schema), scored, assets, START, END, VERSION))
     scores = t.v_scores
     hazards = pf.all_hazards_daily(scores)
     timed("portfolio_summary", lambda: [run(d) for d in (

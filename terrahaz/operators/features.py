@@ -219,7 +219,7 @@ def batch_point_timeseries(assets: DataFrame, raw: DataFrame, start: dt.date | s
     salted = wanted.select("at_lat", "at_lng").distinct().withColumn("_salt", F.pmod(F.hash("at_lat", "at_lng"), F.lit(SALTS)))
     copies = one_file.select("grid", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     matched = nearest_sites(salted.join(copies, "_salt").drop("_salt"), cells, {"at_lat": "lat", "at_lng": "lng"},
-                            group=["grid"], few_groups=False)
+                            group=["grid"])
     dated = keep_newest(inside.join(grids, file_id), ["grid", *CELL, "date"], newest_first(*newest))
     rows = dated.join(matched.drop("distance"), ["grid", *CELL])
     best = keep_newest(rows, ["at_lat", "at_lng", "date"], newest_first(*newest))

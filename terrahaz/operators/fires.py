@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import instant_literal
 from ..functions.geo import EARTH_KM, great_circle_km, great_circle_km_asin, space_axes
 from ..functions.numbers import half_even
 from .features import keep_newest
+from .lookup import stored_candidates
 from .nearest import KILOMETRES, nearest_candidates, radius_pieces
 
 AXES = ["x", "y", "z"]
@@ -29,16 +30,14 @@ def fire_batch_dedupe(fires: DataFrame, arrival: str) -> DataFrame:
     return keep_newest(fires, FIRE_KEY, [F.col(arrival).desc()])
 
 
-def fires_anti(fires: DataFrame, stored: DataFrame) -> DataFrame:
+def fires_anti(fires: DataFrame, stored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Fires whose key is not stored yet.
 
-    The stored side is cut to the calendar days of the batch by a semi join.  A
-    store kept by ``day`` is cut on that column itself, which prunes its folders.
+    Of the store only rows on the batch's days that pass a filter of its keys
+    meet the batch (``stored_candidates``, which runs a job over the batch).
     """
-    days = fires.select(F.to_date("time_utc").alias("day")).distinct()
-    dated = stored if "day" in stored.columns else stored.withColumn("day", F.to_date("time_utc"))
-    recent = dated.join(days, "day", "left_semi")
-    return fires.join(recent.select("source", *FIRE_KEY), ["source", *FIRE_KEY], "left_anti")
+    keys = keys or ["source", *FIRE_KEY]
+    return fires.join(stored_candidates(fires, stored, keys).select(*keys), keys, "left_anti")
 
 
 def insert_new_fires(fires: DataFrame, stored: DataFrame, arrival: str, job_id: str) -> DataFrame:
@@ -173,6 +172,19 @@ def daily_fire_features(asset_days: DataFrame, fires: DataFrame) -> DataFrame:
         "asset_id", "lat", "lon", "date", *FIRE_FEATURES)
 
 
+def spots_near(spots: DataFrame, fires: DataFrame, km: float, totals: list[Column]) -> DataFrame:
+    """Positions (lat, lon) with a box of fires within ``km``, with ``totals`` over those boxes.
+
+    No position with a fire that near is missed; some may only have one a little farther.
+    """
+    placed = spots.select("lat", "lon").distinct().withColumns(
+        {f"q_{a}": c for a, c in space_axes(F.col("lat"), F.col("lon")).items()})
+    located = fires.withColumns(space_axes(F.col("lat"), F.col("lon")))
+    names = [f"total_{i}" for i in range(len(totals))]
+    boxes, _ = radius_pieces(placed, located, [], AXES, _chord(km), [t.alias(n) for t, n in zip(totals, names)])
+    return boxes.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("boxes"), *[F.min(n).alias(n) for n in names])
+
+
 def requests_at(assets: DataFrame, now: dt.datetime | str) -> DataFrame:
     return assets.withColumn("window_end", instant_literal(now))
 

@@ -4,12 +4,14 @@ Comparing every point with every site is what makes these operators explode,
 so sites are summarised as nested boxes: buckets of power-of-two size holding
 the tight bounds of the sites inside and one of them as representative.
 
-*Nearest*: the points are gathered into tiles, and every tile starts at the
-outermost boxes and steps inwards.  A box is dropped when its nearest corner is
-farther than some representative can be, so the true nearest site always
-survives and the answer is exact at any distance.  Tiles are far fewer than
-points.  The points then meet only the finest boxes left for their tile, drop
-those too far for them, and open the rest.
+*Nearest*: the points are gathered into nested tiles, and tiles and boxes are
+descended together: pairs of the outermost ones, a few hundred at most on the
+globe, are opened in turns, the tile, then the box.  A pair is dropped when the
+box's nearest corner is farther from the tile than some representative can be;
+bounds found for a tile hold for the tiles inside.  So the true nearest site
+always survives, the answer is exact at any distance, and no tile meets boxes
+that its enclosing tile has done with.  The points then meet only the boxes left
+for their tile, drop those too far for them, and open the rest.
 
 *Radius*: a point looks up the few buckets its circle touches.  Boxes wholly
 inside the circle contribute their pre-summed totals, boxes wholly outside
@@ -21,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bounds are widened by this relative amount so float error never loses a box.
@@ -33,7 +35,7 @@ class Layout:
     """How coordinates are cut into boxes.
 
     ``world`` covers every coordinate; ``sizes`` are the box sizes inside it,
-    outermost first; ``tile`` gathers points.
+    outermost first; tiles have the same sizes down to ``tile``.
     """
 
     world: float
@@ -41,115 +43,131 @@ class Layout:
     tile: float
     metric: str
 
-    def bucket(self, value: Column, size: float) -> Column:
-        # shifted so that all bucket numbers are >= 0 and the world's is 0
-        return F.floor((value + self.world / 2) / size)
+    @property
+    def tiles(self) -> list[float]:
+        return [s for s in self.sizes if s >= self.tile]
+
+    def bucket(self, value: str, size: float) -> str:
+        """SQL text; shifted so that all bucket numbers are >= 0 and the world's is 0."""
+        return f"floor(({value} + {self.world / 2!r}D) / {size!r}D)"
 
 
 # at most 45 x 23 boxes of 8 degrees, and 64 boxes of one degree in each
 DEGREES = Layout(1024.0, (8.0, 1.0), 1.0, "l1")
-# about 1000 cubes of 1024 km touch the globe; each holds some 8 x 8 of the next size
-KILOMETRES = Layout(32768.0, (1024.0, 128.0, 16.0, 2.0), 32.0, "l2")
+# about 100 cubes of 4096 km touch the globe
+KILOMETRES = Layout(32768.0, (4096.0, 256.0, 32.0, 8.0, 2.0), 8.0, "l2")
 
 
-def _combine(parts: list[Column], metric: str) -> Column:
-    if metric == "l1":
-        return reduce(Column.__add__, parts)
-    return F.sqrt(reduce(Column.__add__, [p * p for p in parts]))
+def _combine(parts: list[str], metric: str) -> str:
+    return " + ".join(parts) if metric == "l1" else f"sqrt({' + '.join(f'{p} * {p}' for p in parts)})"
 
 
-def _closest(axes: list[str], metric: str, low: str = "q_", high: str = "q_") -> Column:
+def _closest(axes: list[str], metric: str, low: str = "q_", high: str = "q_") -> str:
     """Least distance from the query to a site of the box."""
-    return _combine([
-        F.greatest(F.lit(0.0), F.col(f"lo_{a}") - F.col(f"{high}{a}"), F.col(f"{low}{a}") - F.col(f"hi_{a}"))
-        for a in axes], metric)
+    return _combine([f"greatest(0E0, lo_{a} - {high}{a}, {low}{a} - hi_{a})" for a in axes], metric)
 
 
-def _farthest(axes: list[str], metric: str) -> Column:
+def _farthest(axes: list[str], metric: str) -> str:
     """Greatest distance from the point to a site of the box."""
-    return _combine([
-        F.greatest(F.col(f"hi_{a}") - F.col(f"q_{a}"), F.col(f"q_{a}") - F.col(f"lo_{a}")) for a in axes], metric)
+    return _combine([f"greatest(hi_{a} - q_{a}, q_{a} - lo_{a})" for a in axes], metric)
 
 
-def _assured(axes: list[str], metric: str, low: str = "q_", high: str = "q_") -> Column:
+def _assured(axes: list[str], metric: str, low: str = "q_", high: str = "q_") -> str:
     """The box's representative is at most this far from any part of the query."""
-    return _combine([
-        F.greatest(F.col(f"rep_{a}") - F.col(f"{low}{a}"), F.col(f"{high}{a}") - F.col(f"rep_{a}"))
-        for a in axes], metric)
-
-
-def _bounds(axes: list[str], low: str, high: str, to_low: str = "lo_", to_high: str = "hi_") -> list[Column]:
-    return [c for a in axes for c in (F.min(f"{low}{a}").alias(f"{to_low}{a}"), F.max(f"{high}{a}").alias(f"{to_high}{a}"))]
+    return _combine([f"greatest(rep_{a} - {low}{a}, {high}{a} - rep_{a})" for a in axes], metric)
 
 
-def _boxes(sites: DataFrame, group: list[str], axes: list[str], layout: Layout) -> list[DataFrame]:
-    """One table per size, outermost first: group, bucket ``b_``, enclosing
-    bucket ``up_``, bounds, and as representative the site nearest the middle.
-
-    Plain number aggregates, combined before the shuffle.
-    """
-    keys = [f"b_{a}" for a in axes]
-    steps = (layout.world, *layout.sizes)
-    tables = []
-    for coarser, finer in zip(steps, steps[1:]):
-        keyed = sites.select(*group, *axes, *[layout.bucket(F.col(a), finer).alias(f"b_{a}") for a in axes])
-        # the same order decides for every axis, so the coordinates belong to one site
-        middle = reduce(Column.__add__, [
-            F.abs(F.col(a) - ((F.col(f"b_{a}") + 0.5) * finer - layout.world / 2)) for a in axes])
-        boxes = keyed.groupBy(*group, *keys).agg(
-            *_bounds(axes, "", ""), *[F.min_by(a, middle).alias(f"rep_{a}") for a in axes])
-        shift = int(coarser / finer).bit_length() - 1
-        tables.append(boxes.withColumns({f"up_{a}": F.shiftright(f"b_{a}", shift) for a in axes}))
-    return tables
-
-
-def _tile_boxes(tiles: DataFrame, sites: DataFrame, group: list[str], tile: list[str], axes: list[str],
-                layout: Layout, few_groups: bool) -> DataFrame:
-    """Finest boxes that can hold the nearest site of any point of a tile."""
-    keys, ups = [f"b_{a}" for a in axes], [f"up_{a}" for a in axes]
-    parts = [*keys, *[f"{side}_{a}" for a in axes for side in ("lo", "hi", "rep")]]
-    kept = tiles.columns
-    front = tiles.select(
-        *kept, *[layout.bucket(F.col(f"q_lo_{a}"), layout.world).alias(f"up_{a}") for a in axes],
-        F.lit(float("inf")).alias("_best"))
-    for step, boxes in enumerate(_boxes(sites, group, axes, layout)):
-        if step == 0 and few_groups:
-            boxes = F.broadcast(boxes)
-        # the window's keys contain the join's, so it needs no shuffle of its own
-        here = Window.partitionBy(*group, *ups, *tile)
-        met = front.join(boxes, [*group, *ups]).withColumn(
-            "_sure", _assured(axes, layout.metric, "q_lo_", "q_hi_")).withColumn(
-            "_best", F.least("_best", F.min("_sure").over(here)))
-        near = _closest(axes, layout.metric, "q_lo_", "q_hi_")
-        left = met.where(near <= F.col("_best") * (1 + _SLACK) + _SLACK)
-        front = left.select(*kept, "_best", *[F.col(k).alias(u) for k, u in zip(keys, ups)])
-    return left.select(*group, *tile, *parts)
+@dataclass(frozen=True)
+class _Descent:
+    """Steps of one search.  Expressions are SQL text, which plans much faster than columns built one by one."""
+
+    group: list[str]
+    axes: list[str]
+    layout: Layout
+
+    def named(self, *prefixes: str) -> list[str]:
+        return [f"{p}_{a}" for a in self.axes for p in prefixes]
+
+    def renamed(self, old: str, new: str) -> list[str]:
+        return [f"{old}_{a} AS {new}_{a}" for a in self.axes]
+
+    def buckets(self, prefix: str, key: str, size: float) -> list[str]:
+        return [f"{self.layout.bucket(f'{prefix}{a}', size)} AS {key}_{a}" for a in self.axes]
+
+    def boxes(self, sites: DataFrame) -> list[DataFrame]:
+        """One table per size, outermost first: group, bucket ``b_``, enclosing bucket ``up_``,
+        bounds, and as representative the site nearest the middle.
+
+        Plain number aggregates, combined before the shuffle; the same order decides
+        for every axis, so a representative's coordinates belong to one site.
+        """
+        tables = []
+        for coarser, size in zip((self.layout.world, *self.layout.sizes), self.layout.sizes):
+            off = " + ".join(f"abs({a} - ((b_{a} + 0.5E0) * {size!r}D - {self.layout.world / 2!r}D))" for a in self.axes)
+            shift = int(coarser / size).bit_length() - 1
+            keyed = sites.selectExpr(*self.group, *self.axes, *self.buckets("", "b", size))
+            boxes = keyed.groupBy(*self.group, *self.named("b")).agg(*[F.expr(e) for a in self.axes for e in (
+                f"min({a}) AS lo_{a}", f"max({a}) AS hi_{a}", f"min_by({a}, {off}) AS rep_{a}")])
+            tables.append(boxes.selectExpr("*", *[f"shiftright(b_{a}, {shift}) AS up_{a}" for a in self.axes]))
+        return tables
+
+    def tiles(self, points: DataFrame) -> list[DataFrame]:
+        """One table per tile size, outermost first: group, bucket ``t_``, enclosing bucket ``p_``, the points' bounds."""
+        tables = []
+        for coarser, size in zip((self.layout.world, *self.layout.tiles), self.layout.tiles):
+            shift = int(coarser / size).bit_length() - 1
+            keyed = points.selectExpr(*self.group, *self.named("q"), *self.buckets("q_", "t", size))
+            tiles = keyed.groupBy(*self.group, *self.named("t")).agg(*[F.expr(e) for a in self.axes for e in (
+                f"min(q_{a}) AS q_lo_{a}", f"max(q_{a}) AS q_hi_{a}")])
+            tables.append(tiles.selectExpr("*", *[f"shiftright(t_{a}, {shift}) AS p_{a}" for a in self.axes]))
+        return tables
+
+    def pruned(self, pairs: DataFrame, here: list[str], low: str, high: str, keep: list[str]) -> DataFrame:
+        """Pairs that can hold the nearest site; ``_best`` is lowered to what the pairs with equal ``here`` assure.
+
+        What the enclosing tile assures drops most pairs before any sort.  ``here``
+        contains the keys of the join that made the pairs: no shuffle of its own.
+        """
+        near, sure = _closest(self.axes, self.layout.metric, low, high), _assured(self.axes, self.layout.metric, low, high)
+        slack = f"* {1 + _SLACK!r}D + {_SLACK!r}D"
+        low_of = f"least(_best, min({sure}) OVER (PARTITION BY {', '.join([*self.group, *here])})) AS _low"
+        return (pairs.selectExpr("*", f"{near} AS _near").where(f"_near <= _best {slack}").selectExpr("*", low_of)
+                .where(f"_near <= _low {slack}").selectExpr(*keep, "_low AS _best"))
 
 
 def nearest_candidates(points: DataFrame, sites: DataFrame, group: list[str], axes: list[str],
-                       layout: Layout, few_groups: bool = True) -> DataFrame:
+                       layout: Layout) -> DataFrame:
     """Pairs (point, site) that can be nearest; the nearest is always among them.
 
     ``points``: group, ``q_<axis>`` and anything else, distinct positions.
     ``sites``: group, the axes and any payload, distinct.  Points of a group
-    without sites drop out.  ``few_groups`` says the groups are calendar periods
-    (or there is none), so the outermost boxes, at most about 1000 per group, are
-    safe to broadcast.
+    without sites drop out.
     """
-    keys, tile = [f"b_{a}" for a in axes], [f"t_{a}" for a in axes]
-    tiled = points.withColumns({f"t_{a}": layout.bucket(F.col(f"q_{a}"), layout.tile) for a in axes})
-    tiles = tiled.groupBy(*group, *tile).agg(*_bounds(axes, "q_", "q_", "q_lo_", "q_hi_"))
-    met = tiled.join(_tile_boxes(tiles, sites, group, tile, axes, layout, few_groups), [*group, *tile])
-    own = Window.partitionBy(*group, *tile, *[f"q_{a}" for a in axes])
-    ranked = met.withColumn("_sure", _assured(axes, layout.metric)).withColumn("_best", F.min("_sure").over(own))
-    left = ranked.where(_closest(axes, layout.metric) <= F.col("_best") * (1 + _SLACK) + _SLACK).select(
-        *points.columns, *keys)
-    located = sites.withColumns({f"b_{a}": layout.bucket(F.col(a), layout.sizes[-1]) for a in axes})
-    return left.join(located, [*group, *keys]).drop(*keys)
+    d = _Descent(group, axes, layout)
+    tile, box, above, up = d.named("t"), d.named("b"), d.named("p"), d.named("up")
+    parts, span = d.named("lo", "hi", "rep"), d.named("q_lo", "q_hi")
+    boxes, tiles = d.boxes(sites), d.tiles(points)
+    pair = [*group, *tile, *box, *span, *parts]
+    # all outermost tiles and boxes lie in one world, bucket 0
+    outermost = tiles[0].selectExpr(*group, *tile, *span, *d.renamed("p", "up"), "double('infinity') AS _best")
+    front = d.pruned(outermost.join(boxes[0], [*group, *up]), [*up, *tile], "q_lo_", "q_hi_", pair)
+    for finer, inner in zip(tiles[1:], boxes[1:]):
+        opened = front.selectExpr(*group, *box, *parts, "_best", *d.renamed("t", "p"))
+        front = d.pruned(opened.join(finer, [*group, *above]), [*above, *tile], "q_lo_", "q_hi_", pair)
+        opened = front.selectExpr(*group, *tile, *span, "_best", *d.renamed("b", "up"))
+        front = d.pruned(opened.join(inner, [*group, *up]), [*up, *tile], "q_lo_", "q_hi_", pair)
+    held, own = [f"`{c}`" for c in points.columns], d.named("q")
+    tiled = points.selectExpr("*", *d.buckets("q_", "t", layout.tile))
+    front = d.pruned(tiled.join(front.selectExpr(*group, *tile, *box, *parts, "_best"), [*group, *tile]), [*own, *tile], "q_", "q_", [*held, *box])
+    for inner in boxes[len(tiles):]:
+        opened = front.selectExpr(*held, "_best", *d.renamed("b", "up"))
+        front = d.pruned(opened.join(inner, [*group, *up]), [*own, *up], "q_", "q_", [*held, *box])
+    located = sites.selectExpr("*", *d.buckets("", "b", layout.sizes[-1]))
+    return front.selectExpr(*held, *box).join(located, [*group, *box]).drop(*box)
 
 
 def nearest_sites(points: DataFrame, sites: DataFrame, pairs: dict[str, str], group: list[str] | None = None,
-                  prefer: str = "smaller", few_groups: bool = True) -> DataFrame:
+                  prefer: str = "smaller") -> DataFrame:
     """Nearest site by summed absolute coordinate difference, per group.
 
     ``pairs`` maps point columns to site columns.  Both inputs must hold
@@ -163,7 +181,7 @@ def nearest_sites(points: DataFrame, sites: DataFrame, pairs: dict[str, str], gr
     found = nearest_candidates(
         points.select(*group, *key, *[F.col(p).alias(f"q_{a}") for a, p in zip(axes, key)]),
         sites.select(*group, *found_at, *[F.col(s).alias(a) for a, s in zip(axes, found_at)]),
-        group, axes, DEGREES, few_groups)
+        group, axes, DEGREES)
     gap = reduce(Column.__add__, [F.abs(F.col(s) - F.col(p)) for p, s in pairs.items()])
     sign = -1.0 if prefer == "larger" else 1.0
     best = found.groupBy(*key, *group).agg(F.min(F.struct(
@@ -197,16 +215,16 @@ def radius_pieces(points: DataFrame, sites: DataFrame, group: list[str], axes: l
     cube = 2.0 ** int(reach).bit_length()
     leaf = cube / 16
     layout = KILOMETRES
-    keyed = sites.withColumns({f"b_{a}": layout.bucket(F.col(a), leaf) for a in axes})
+    keyed = sites.withColumns({f"b_{a}": F.expr(layout.bucket(a, leaf)) for a in axes})
     bkeys = [f"b_{a}" for a in axes]
-    boxes = keyed.groupBy(*group, *bkeys).agg(*_bounds(axes, "", ""), *totals)
-    boxes = boxes.withColumns({f"c_{a}": F.shiftright(f"b_{a}", 4) for a in axes})
+    bounds = [F.expr(f"{f}({a}) AS {side}_{a}") for a in axes for f, side in (("min", "lo"), ("max", "hi"))]
+    boxes = keyed.groupBy(*group, *bkeys).agg(*bounds, *totals)
+    boxes = boxes.withColumns({f"c_{a}": F.expr(f"shiftright(b_{a}, 4)") for a in axes})
     asking = points
     for a in axes:
-        touched = F.sequence(layout.bucket(F.col(f"q_{a}") - reach, cube),
-                             layout.bucket(F.col(f"q_{a}") + reach, cube))
-        asking = asking.withColumn(f"c_{a}", F.explode(touched))
+        low, high = layout.bucket(f"q_{a} - {reach!r}D", cube), layout.bucket(f"q_{a} + {reach!r}D", cube)
+        asking = asking.withColumn(f"c_{a}", F.expr(f"explode(sequence({low}, {high}))"))
     met = asking.join(boxes, [*group, *[f"c_{a}" for a in axes]]).withColumns(
-        {"near_km": _closest(axes, "l2"), "far_km": _farthest(axes, "l2")})
+        {"near_km": F.expr(_closest(axes, "l2")), "far_km": F.expr(_farthest(axes, "l2"))})
     scratch = [c for a in axes for c in (f"c_{a}", f"lo_{a}", f"hi_{a}")]
     return met.where(F.col("near_km") <= reach * (1 + _SLACK)).drop(*scratch), keyed

@@ -1,35 +1,36 @@
 """Writing results.
 
-Tables are Parquet folders.  Replacements use dynamic partition overwrite: new
-partitions are staged first and swapped in at commit, so a job that dies leaves
-the old data in place.
+Tables that only grow are Parquet folders; a climatology version is replaced by
+dynamic partition overwrite.  Tables that change are versioned (``versions``):
+the partitions a change touches are written beside the old ones and a pointer is
+switched last, so a job that dies leaves the old data in place.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import day_literal
+from ..operators.catalog import object_listing_parse, upsert_object_catalog
 from ..operators.features import CELL, keep_newest
+from ..operators.notices import ack_notification
+from .versions import VersionedTable, spread
 
-
-def _spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Even, sorted partitions by range: no folder is left to a single task
-    however many rows it gets, and each file covers a narrow key range."""
-    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+BUCKETS = 64
 
 
 def sink_features_month(features: DataFrame, path: str, mode: str = "append") -> None:
     dated = features.withColumns({"year": F.year("date"), "month": F.month("date")})
-    _spread(dated, "year", "month", *CELL, "date").write.mode(mode).partitionBy("year", "month").parquet(path)
+    spread(dated, ["year", "month"], [*CELL, "date"]).write.mode(mode).partitionBy("year", "month").parquet(path)
 
 
 def sink_features_day(features: DataFrame, path: str, mode: str = "append") -> None:
     dated = features.withColumns({"year": F.year("date"), "month": F.month("date"), "day": F.dayofmonth("date")})
-    _spread(dated, "year", "month", "day", *CELL).write.mode(mode).partitionBy("year", "month", "day").parquet(path)
+    spread(dated, ["year", "month", "day"], CELL).write.mode(mode).partitionBy("year", "month", "day").parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
@@ -41,7 +42,7 @@ def sink_climatology(thresholds: DataFrame, path: str, level: str) -> None:
     clears the version's other level."""
     key = "month" if level == "month" else "doy"
     rows = thresholds.withColumn("level", F.lit(level)).withColumnRenamed(key, "period")
-    overwrite_partitions(_spread(rows, "cell_lat", "cell_lng", "period"), path, "climatology_version")
+    overwrite_partitions(spread(rows, ["climatology_version"], ["cell_lat", "cell_lng", "period"]), path, "climatology_version")
 
 
 def read_climatology(spark, path: str, level: str) -> DataFrame:
@@ -59,28 +60,16 @@ def sink_scores_replace(stored: DataFrame, fresh: DataFrame, assets: DataFrame,
     return kept.unionByName(fresh.select(*stored.columns))
 
 
-def write_scores(spark, path: str, fresh: DataFrame, assets: DataFrame, start: dt.date | str,
-                 end: dt.date | str, version: str) -> None:
-    """Replace scores in a table kept by (climatology_version, date).
-
-    Only the touched date folders of this version are read and rewritten; a day
-    that has no row any more loses its folder.
-    """
-    span = F.col("date").between(day_literal(start), day_literal(end)) & (F.col("climatology_version") == version)
-    touched = spark.read.schema(fresh.schema).parquet(path).where(span) if path_exists(spark, path) else fresh.limit(0)
-    result = sink_scores_replace(touched, fresh, assets, start, end, version)
-    emptied = [r["date"] for r in touched.select("date").distinct()  # days of the range at most
-               .join(result.select("date").distinct(), "date", "left_anti").collect()]
-    overwrite_partitions(_spread(result, "climatology_version", "date", "asset_id"), path,
-                         "climatology_version", "date")
-    for day in emptied:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/climatology_version={version}/date={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def scores_table(spark, path: str, schema: T.StructType) -> VersionedTable:
+    return VersionedTable(spark, path, schema, ["climatology_version", "date"], ("asset_id",))
 
 
-def path_exists(spark, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def write_scores(table: VersionedTable, fresh: DataFrame, assets: DataFrame, start: dt.date | str,
+                 end: dt.date | str, version: str) -> None:
+    """Replace scores: only the date folders of this run and version are read and
+    written, once; a day that has no row any more is no longer pointed at."""
+    span = F.col("date").between(day_literal(start), day_literal(end)) & (F.col("climatology_version") == version)
+    table.replace(sink_scores_replace(table.read(span), fresh, assets, start, end, version), span)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], arrival: str) -> DataFrame:
@@ -103,6 +92,50 @@ def replace_active_alerts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.where(~F.col("active")).unionByName(fresh.select(*stored.columns))
 
 
+def bucket_of(*keys: str) -> Column:
+    """Partition of a table that is looked up by key: few folders, however many keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def with_bucket(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.withColumn("bucket_no", bucket_of(*keys))
+
+
+def with_month(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("month_no", F.year("as_of_date") * 12 + F.month("as_of_date") - 1)
+
+
+def store_portfolio_assets(table: VersionedTable, incoming: DataFrame, arrival: str) -> None:
+    """Upsert into a table kept by ``bucket_no`` of the portfolio."""
+    table.merge(with_bucket(incoming, "portfolio_id"), lambda stored, new: upsert_portfolio_assets(stored, new, arrival))
+
+
+def store_daily_scores(table: VersionedTable, incoming: DataFrame, arrival: str) -> None:
+    """Upsert into a table kept by ``month_no`` of ``as_of_date``."""
+    table.merge(with_month(incoming), lambda stored, new: upsert_daily_scores(stored, new, arrival))
+
+
+def store_object_catalog(table: VersionedTable, listing: DataFrame, arrival: str) -> None:
+    """Upsert into a table kept by year and month, which an object's key tells."""
+    usable = object_listing_parse(listing.where(F.coalesce(F.col("key"), F.lit("")) != ""))
+    table.merge(usable, lambda stored, new: upsert_object_catalog(stored, new, arrival))
+
+
+def store_active_alerts(table: VersionedTable, fresh: DataFrame) -> None:
+    """Refresh of a table kept by ``active``: the history's files are not touched."""
+    table.replace(fresh, F.col("active"))
+
+
+def store_acks(table: VersionedTable, acked: DataFrame, now: dt.datetime | str) -> None:
+    """Acknowledge ids in a table kept by ``day``: only the days that hold one are rewritten."""
+    hit = table.read().join(acked.select("id").distinct(), "id", "left_semi").persist()
+    try:
+        only = table.touched(hit)
+        table.replace(ack_notification(table.read(only), hit, now), only)
+    finally:
+        hit.unpersist()
+
+
 def export_portfolio_csv(rows: DataFrame, path: str) -> None:
     """CSV parts with a header, ordered by asset."""
     rows.orderBy("asset_id").write.mode("overwrite").option("header", "true").csv(path)

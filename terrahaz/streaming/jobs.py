@@ -1,15 +1,17 @@
 """Stream jobs.
 
-Batch handlers add each micro-batch to a store and ``drain_batches`` runs one
-until its source has nothing new.  Nothing is dropped for being late: a store is
-kept by event day and batch number, holds detections or partial aggregates, and
-is merged when read, so a late row corrects its day or window.  A batch replayed
-after a failure overwrites its own folders.  Checkpoints and stores live in
-folders the caller names, on storage all executors reach.
+Batch handlers add each micro-batch to a versioned table and ``drain_batches``
+runs one until its source has nothing new.  Nothing is dropped for being late:
+tables are kept by event day and hold detections or partial aggregates that are
+merged when read, so a late row corrects its day or window.  A day is read from
+two sets of files at most: what it was when last written whole, and one batch
+since.  A batch replayed after a failure changes nothing.  Checkpoints and
+tables live in folders the caller names, on storage all executors reach.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -17,46 +19,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import instant_literal
-from ..operators.features import HOURLY_VARIABLES, PRECIP, SOIL, TEMPERATURE, WIND_U, WIND_V, wind_speed
-from ..operators.fires import FIRE_KEY
-from ..operators.notices import wildfire_notifications
-from ..sources.sinks import path_exists
+from ..operators.features import HOURLY_VARIABLES, PRECIP, SOIL, TEMPERATURE, WIND_U, WIND_V, keep_newest, wind_speed
+from ..operators.fires import FIRE_KEY, POWER_KM, fires_anti, spots_near
+from ..operators.notices import notifications_anti, wildfire_candidates
+from ..sources.sinks import with_bucket
+from ..sources.versions import VersionedTable
 
 WINDOW_DAYS = 7
 
 
-def store_fires(batch: DataFrame, batch_id: int, store: str) -> None:
-    """Adds the detections that no earlier batch holds, whatever their age."""
+def day_table(spark, store: str, schema: T.StructType, order: tuple[str, ...] = ()) -> VersionedTable:
+    return VersionedTable(spark, store, schema, ["day"], order)
+
+
+def stored_rows(spark, store: str) -> DataFrame:
+    """The rows of a stream's table."""
+    return day_table(spark, store, VersionedTable.schema_of(spark, store)).read()
+
+
+def store_fires(batch: DataFrame, batch_id: int, store: str) -> VersionedTable:
+    """Adds the detections that are not stored yet, whatever their age; of several with one key the last."""
     # exact positions serve where rounded ones are not given
     key = [c for c in ("source", *FIRE_KEY) if c in batch.columns]
     key += [c for c in ("lat", "lon") if f"{c}_round" not in key]
-    arrived = batch.dropDuplicates(key).withColumn("day", F.to_date("time_utc"))
-    if path_exists(batch.sparkSession, store):
-        stored = T.StructType([*arrived.schema.fields, T.StructField("batch_id", T.LongType())])  # a store may be empty
-        earlier = batch.sparkSession.read.schema(stored).parquet(store).where(F.col("batch_id") < batch_id)
-        arrived = arrived.join(earlier.select("day", *key), ["day", *key], "left_anti").select(*arrived.columns)
-    _write_batch(arrived, store, batch_id, "day")
+    last = [F.col(c).desc() for c in (["arrival"] if "arrival" in batch.columns else []) + [c for c in batch.columns if c != "arrival"]]
+    arrived = keep_newest(batch, key, last).withColumn("day", F.to_date("time_utc"))
+    table = day_table(batch.sparkSession, store, arrived.schema, ("time_utc",))
+    arrived = arrived.persist()  # asked for its days, its keys and its rows
+    try:
+        table.add(fires_anti(arrived, table.read(table.touched(arrived)), key) if table.version() else arrived, batch_id)
+    finally:
+        arrived.unpersist()
+    return table
 
 
 def fire_handler(store: str) -> Callable[[DataFrame, int], None]:
-    return lambda batch, batch_id: store_fires(batch, batch_id, store)
-
-
-def fire_count_handler(store: str) -> Callable[[DataFrame, int], None]:
-    """Stores a batch's detections counted by day and source."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        daily = batch.groupBy(F.to_date("time_utc").alias("day"), "source").agg(
-            F.count(F.lit(1)).alias("n"), F.max("frp").alias("max_frp"))
-        _write_batch(daily, store, batch_id, "day")
+        store_fires(batch, batch_id, store)
 
     return handle
 
 
+def fire_count_handler(store: str) -> Callable[[DataFrame, int], None]:
+    """Counts are made of the stored detections, so that one delivered again counts once."""
+    return fire_handler(store)
+
+
 def fire_counts(stored: DataFrame) -> DataFrame:
-    """Detections per source in 7-day windows that start every day, open ones included."""
+    """Stored detections per source in 7-day windows that start every day, open ones included."""
     starts = F.sequence(F.date_sub("day", WINDOW_DAYS - 1), F.col("day"))
     return (
-        stored.groupBy("day", "source").agg(F.sum("n").alias("n"), F.max("max_frp").alias("max_frp"))
+        stored.groupBy("day", "source").agg(F.count(F.lit(1)).alias("n"), F.max("frp").alias("max_frp"))
         .withColumn("first", F.explode(starts)).groupBy("first", "source")
         .agg(F.sum("n").alias("n"), F.max("max_frp").alias("max_frp"))
         .select(F.col("first").cast("timestamp").alias("window_start"),
@@ -66,12 +79,18 @@ def fire_counts(stored: DataFrame) -> DataFrame:
 HOUR = ["hour", "point_id", "lat", "lng"]
 
 
+def _merged_hours(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("day", *HOUR).agg(*[F.min(v).alias(v) for v in HOURLY_VARIABLES])
+
+
 def hourly_handler(store: str) -> Callable[[DataFrame, int], None]:
     """Stores a batch's reading of every point, hour and variable: the one of the least tie."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         first = [F.min(F.when(F.col("variable") == v, F.struct("tie", "value"))).alias(v) for v in HOURLY_VARIABLES]
         hours = batch.groupBy(F.date_trunc("hour", "time").alias("hour"), "point_id", "lat", "lng").agg(*first)
-        _write_batch(hours.withColumn("day", F.to_date("hour")), store, batch_id, "day")
+        hours = hours.withColumn("day", F.to_date("hour"))
+        day_table(batch.sparkSession, store, hours.schema, ("point_id", "hour")).add(
+            hours, batch_id, combine=lambda rows: _merged_hours(rows).select(*hours.columns))
 
     return handle
 
@@ -82,7 +101,7 @@ def daily_features(stored: DataFrame) -> DataFrame:
     Units must be settled at ingest: a stream has no whole file to test.
     """
     hourly = (
-        stored.groupBy("day", *HOUR).agg(*[F.min(v)["value"].alias(v) for v in HOURLY_VARIABLES])
+        _merged_hours(stored).select("day", *HOUR, *[F.col(v)["value"].alias(v) for v in HOURLY_VARIABLES])
         .withColumn("wind_speed", wind_speed(F.col(WIND_U), F.col(WIND_V))))
     return (
         hourly.groupBy("day", "point_id", "lat", "lng")
@@ -92,48 +111,74 @@ def daily_features(stored: DataFrame) -> DataFrame:
         .withColumnRenamed("day", "date"))
 
 
-def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    query = (
-        stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start())
-    query.awaitTermination()
+_TEXT, _TIME = T.StringType(), T.TimestampType()
+NOTICE_SCHEMA = T.StructType([T.StructField(n, k) for n, k in (
+    ("id", _TEXT), ("portfolio_id", _TEXT), ("asset_id", _TEXT), ("type", _TEXT), ("severity", _TEXT), ("dedup_key", _TEXT),
+    ("created_at", _TIME), ("acknowledged_at", _TIME), ("day", T.DateType()))])
+WATCH_SCHEMA = T.StructType([T.StructField(n, k) for n, k in (
+    ("portfolio_id", _TEXT), ("asset_id", _TEXT), ("changes_at", _TIME), ("bucket_no", T.IntegerType()))])
+ASSET = ["portfolio_id", "asset_id"]
+
+
+def notice_table(spark, store: str) -> VersionedTable:
+    return day_table(spark, store, NOTICE_SCHEMA)
+
 
+def watch_table(spark, store: str) -> VersionedTable:
+    """Assets with fires nearby and the moment when their state may change without new ones."""
+    return VersionedTable(spark, store, WATCH_SCHEMA, ["bucket_no"])
 
-def fire_alert_handler(assets: DataFrame, fire_store: str, notice_store: str) -> Callable[[DataFrame, int], None]:
+
+def _changes(assets: DataFrame, recent: DataFrame, moment: dt.datetime) -> DataFrame:
+    """ASSET, changes_at: when the first nearby fire leaves a window, at midnight at the latest
+    (notices are due anew every day)."""
+    now = instant_literal(str(moment))
+    leaves = F.when(F.col("time_utc") + F.expr("INTERVAL 24 HOURS") >= now, F.col("time_utc") + F.expr("INTERVAL 24 HOURS")).otherwise(
+        F.col("time_utc") + F.expr(f"INTERVAL {WINDOW_DAYS} DAYS"))
+    near = spots_near(assets, recent.select("lat", "lon", leaves.alias("leaves")), POWER_KM, [F.min("leaves")])
+    midnight = F.date_trunc("day", now) + F.expr("INTERVAL 1 DAY")
+    return assets.join(near, ["lat", "lon"]).select(*ASSET, F.least(F.col("total_0"), midnight).alias("changes_at"))
+
+
+def fire_alert_handler(assets: DataFrame, fire_store: str, notice_store: str, watch_store: str) -> Callable[[DataFrame, int], None]:
     """Batch handler: store the fires, then raise notifications as of the newest
-    detection of the batch.
+    detection so far.
 
-    Both stores are kept by batch number (the fires also by day) and overwritten
-    for it, so a replay after a failure writes the same result again.
+    An asset's state changes only by a new fire nearby or when one leaves a
+    window.  So only assets near the batch's fires and those whose entry in the
+    watch table has run out are searched; of the notices two days are read.  The
+    watch table is written last: a batch that is replayed finds it as it was.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = batch.agg(F.max("time_utc").alias("t")).first()["t"]
-        if newest is None:
+        if batch.isEmpty():
             return
-        store_fires(batch, batch_id, fire_store)
-        moment = str(newest)
-        first = instant_literal(moment) - F.expr("INTERVAL 7 DAYS")
-        # the folder of a day is named by it, so older days are not opened
-        recent = spark.read.parquet(fire_store).where((F.col("day") >= F.to_date(first)) & (F.col("time_utc") >= first))
-        stored = _stored_notices(spark, notice_store, batch_id)
-        fresh = wildfire_notifications(assets, recent, stored, moment)
-        _write_batch(fresh, notice_store, batch_id)
+        fires = store_fires(batch, batch_id, fire_store)
+        newest = max(h[0] for h in fires.held() if h[0] is not None)
+        moment = fires.read(F.col("day") == F.lit(newest)).agg(F.max("time_utc").alias("t")).first()["t"]
+        now = instant_literal(str(moment))
+        first = now - F.expr(f"INTERVAL {WINDOW_DAYS} DAYS")
+        # the days are named by the table's pointer, so older ones are not opened
+        recent = fires.read(F.col("day") >= F.lit((moment - dt.timedelta(days=WINDOW_DAYS)).date())).where(F.col("time_utc") >= first)
+        watch, notices = watch_table(spark, watch_store), notice_table(spark, notice_store)
+        due = watch.read().where(F.col("changes_at") <= now).select(*ASSET)
+        touched = assets.join(spots_near(assets, batch.select("lat", "lon"), POWER_KM, []), ["lat", "lon"], "left_semi").select(*ASSET)
+        searched = assets.join(due.unionByName(touched).distinct(), ASSET, "left_semi").persist()
+        try:
+            lately = notices.read(F.col("day") >= F.lit((moment - dt.timedelta(days=1)).date()))
+            fresh = notifications_anti(wildfire_candidates(searched, recent, str(moment)), lately, str(moment))
+            notices.add(fresh.withColumn("day", F.to_date("created_at")).select(*NOTICE_SCHEMA.names), batch_id)
+            seen = with_bucket(searched.select(*ASSET), *ASSET)
+            entries = with_bucket(_changes(searched, recent, moment), *ASSET).select(*WATCH_SCHEMA.names)
+            watch.merge(seen, lambda stored, new: stored.join(new, ASSET, "left_anti").unionByName(entries))
+        finally:
+            searched.unpersist()
 
     return handle
 
 
-NOTICE_SCHEMA = (
-    "id string, portfolio_id string, asset_id string, type string, severity string, dedup_key string, "
-    "created_at timestamp, acknowledged_at timestamp, batch_id bigint")
-
-
-def _write_batch(df: DataFrame, store: str, batch_id: int, *folders: str) -> None:
-    (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "batch_id").parquet(store))
-
-
-def _stored_notices(spark, store: str, batch_id: int) -> DataFrame:
-    if not path_exists(spark, store):
-        return spark.createDataFrame([], NOTICE_SCHEMA)
-    return spark.read.schema(NOTICE_SCHEMA).parquet(store).where(F.col("batch_id") < batch_id)
+def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    query = (
+        stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start())
+    query.awaitTermination()

@@ -184,10 +184,11 @@ def test_scores_are_replaced_in_place(spark, tmp_path):
     days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
     old = spark.createDataFrame([(a, "heat", 1, v, d) for a in "ab" for v in ("v1", "v2") for d in days], schema)
     assets = spark.createDataFrame([("a",)], "asset_id string")
-    sinks.write_scores(spark, path, old, spark.createDataFrame([("a",), ("b",)], "asset_id string"), days[0], days[2], "v1")
+    table = sinks.scores_table(spark, path, old.schema)
+    sinks.write_scores(table, old, spark.createDataFrame([("a",), ("b",)], "asset_id string"), days[0], days[2], "v1")
     fresh = spark.createDataFrame([("a", "heat", 9, "v1", days[0])], schema)
-    sinks.write_scores(spark, path, fresh, assets, days[0], days[1], "v1")
-    got = sorted((r["asset_id"], r["climatology_version"], str(r["date"]), r["score"]) for r in spark.read.schema(schema).parquet(path).collect())
+    sinks.write_scores(table, fresh, assets, days[0], days[1], "v1")
+    got = sorted((r["asset_id"], r["climatology_version"], str(r["date"]), r["score"]) for r in table.read().collect())
     assert ("a", "v1", "2024-01-01", 9) in got and ("a", "v1", "2024-01-02", 1) not in got
     assert ("a", "v1", "2024-01-03", 1) in got and ("b", "v1", "2024-01-02", 1) in got
     assert sum(r[1] == "v2" for r in got) == 6
@@ -206,14 +207,14 @@ def test_alert_stream_replay_is_harmless(spark, tmp_path):
     assets = spark.createDataFrame([("p", "a", 37.0, 27.0)], "portfolio_id string, asset_id string, lat double, lon double")
     schema = "time_utc timestamp, lat double, lon double, frp double"
     batches = [spark.createDataFrame([(dt.datetime(2024, 1, 10, h), 37.0, 27.0, 1.0)], schema) for h in (10, 12)]
-    handle = jobs.fire_alert_handler(assets, str(tmp_path / "fires"), str(tmp_path / "notices"))
+    handle = jobs.fire_alert_handler(assets, str(tmp_path / "fires"), str(tmp_path / "notices"), str(tmp_path / "watched"))
     handle(batches[0].limit(0), 0)
     handle(batches[0], 1)
     handle(batches[1], 2)
     handle(batches[1], 2)
     handle(batches[0].unionByName(batches[1]), 3)  # nothing new
-    assert spark.read.parquet(str(tmp_path / "fires")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "notices")).count() == 1
+    assert jobs.stored_rows(spark, str(tmp_path / "fires")).count() == 2
+    assert jobs.notice_table(spark, str(tmp_path / "notices")).read().count() == 1
 
 
 def test_late_and_repeated_batches_lose_nothing(spark, tmp_path):
@@ -230,8 +231,8 @@ def test_late_and_repeated_batches_lose_nothing(spark, tmp_path):
         keep(b, min(n, 2) + 1)  # the last one is replayed
         count(b, min(n, 2) + 1)
     keep(batches[1], 4)  # stored already
-    assert sorted(r["frp"] for r in spark.read.parquet(fires).collect()) == [2.0, 20.0, 21.0]
-    got = {r["window_start"].day: r["n"] for r in jobs.fire_counts(spark.read.parquet(counts)).where("window_start >= '2024-01-01'").collect()}
+    assert sorted(r["frp"] for r in jobs.stored_rows(spark, fires).collect()) == [2.0, 20.0, 21.0]
+    got = {r["window_start"].day: r["n"] for r in jobs.fire_counts(jobs.stored_rows(spark, counts)).where("window_start >= '2024-01-01'").collect()}
     assert got == {1: 1, 2: 1, 14: 1, **{d: 2 for d in range(15, 21)}, 21: 1}
 
     hours = "time timestamp, point_id string, lat double, lng double, variable string, value double, tie long"
@@ -239,5 +240,5 @@ def test_late_and_repeated_batches_lose_nothing(spark, tmp_path):
     store = str(tmp_path / "hours")
     for n, (time, value, tie) in enumerate(readings):
         jobs.hourly_handler(store)(spark.createDataFrame([(time, "p", 1.0, 2.0, "2m_temperature", value, tie)], hours), n)
-    day = jobs.daily_features(spark.read.parquet(store)).collect()
+    day = jobs.daily_features(jobs.stored_rows(spark, store)).collect()
     assert [(r["temp_mean"], r["temp_max"]) for r in day] == [(280.0, 290.0)]

@@ -15,7 +15,7 @@ from terrahaz.plans.scoring import batch_scores, cell_rows
 from terrahaz.session import shared_folder
 from terrahaz.sources import sinks
 
-from .common import BASELINE, QUARTER, SCORING, VERSION, WHOLE, plain
+from .common import BASELINE, QUARTER, SCORING, VERSION, WHOLE, plain, stored
 from .views import STEPS, Tables
 
 NEWEST = ["file_id", "k1", "k2"]
@@ -205,10 +205,12 @@ def _write_climatology(t: Tables) -> DataFrame:
 
 
 def _replace_scores(t: Tables) -> DataFrame:
-    stored = t.v_scores.select("asset_id", "date", "peril", "score", F.lit(VERSION).alias("climatology_version"))
-    fresh = stored.where("peril = 'heat'").withColumn("score", F.lit(100) - F.col("score"))
+    scores = t.v_scores.select("asset_id", "date", "peril", "score", F.lit(VERSION).alias("climatology_version"))
+    fresh = scores.where("peril = 'heat'").withColumn("score", F.lit(100) - F.col("score"))
     fresh = fl.filter_date_range(fresh, *QUARTER)
-    return plain(sinks.sink_scores_replace(stored, fresh, t.v_scores.select("asset_id"), *QUARTER, VERSION))
+    table = stored(t.spark, "scores", scores, "climatology_version", "date")
+    sinks.write_scores(table, fresh, t.v_scores.select("asset_id"), *QUARTER, VERSION)
+    return plain(table.read())
 
 
 def _climate_series(t: Tables) -> DataFrame:

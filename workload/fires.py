@@ -14,11 +14,11 @@ from terrahaz.operators import notices as nt
 from terrahaz.operators import perils as pe
 from terrahaz.plans.fire_run import ingest_fires
 from terrahaz.plans.scoring import batch_scores
-from terrahaz.sources import readers
+from terrahaz.sources import readers, sinks
 
 from . import climate
 from .climate import _band_sql
-from .common import FIRE_NOW, FIRE_WEEK, QUARTER, VERSION, plain
+from .common import FIRE_NOW, FIRE_DAYS, QUARTER, VERSION, plain, stored
 from .views import STEPS, Tables
 
 BBOX = (41.5, 27.0, 36.5, 44.0)
@@ -38,20 +38,20 @@ def _asset_days(t: Tables, start: str, end: str) -> DataFrame:
     return t.v_assets.select("asset_id", "lat", "lon").join(_days(t, start, end), "asset_id")
 
 
-def week_features(t: Tables) -> DataFrame:
-    return fi.daily_fire_features(_asset_days(t, *FIRE_WEEK), t.v_fires).select("asset_id", "date", *FEATURES)
+def day_features(t: Tables) -> DataFrame:
+    return fi.daily_fire_features(_asset_days(t, *FIRE_DAYS), t.v_fires).select("asset_id", "date", *FEATURES)
 
 
-def week_by_moment(t: Tables) -> DataFrame:
-    """The same week asked for as seven moments."""
-    asked = _asset_days(t, *FIRE_WEEK).withColumn("window_end", end_of_day(F.col("date"))).drop("date")
+def features_by_moment(t: Tables) -> DataFrame:
+    """The same days asked for as moments."""
+    asked = _asset_days(t, *FIRE_DAYS).withColumn("window_end", end_of_day(F.col("date"))).drop("date")
     return fi.asset_fire_features(asked, t.v_fires).select(
         "asset_id", F.to_date("window_end").alias("date"), *FEATURES)
 
 
 def month_windows(t: Tables) -> DataFrame:
     spots = t.v_assets.select("asset_id", "lat", "lon")
-    days = _asset_days(t, "2024-01-01", "2024-01-14").select("lat", "lon", "date").distinct()
+    days = _asset_days(t, *FIRE_DAYS).select("lat", "lon", "date").distinct()
     daily = spots.join(fi.spot_day_fires(days, t.v_fires), ["lat", "lon"])
     return fi.fire_windows(daily, ["asset_id"])
 
@@ -86,6 +86,14 @@ def _ingest(t: Tables) -> DataFrame:
     return plain(fresh)
 
 
+def _acks(t: Tables) -> DataFrame:
+    notices = t.v_notifications.withColumns({
+        "acknowledged_at": F.col("acknowledged_at").cast("timestamp"), "day": F.to_date("created_at")})
+    table = stored(t.spark, "notices", notices, "day")
+    sinks.store_acks(table, notices.where("severity = 'HIGH'"), NOW)
+    return plain(table.read().select("id", "acknowledged_at"))
+
+
 _EMPTY_FIRES = (
     "time_utc timestamp, lat double, lon double, lat_round double, lon_round double, geom_wkt string, frp double, "
     "confidence string, satellite string, source string, raw_job_id string")
@@ -107,13 +115,13 @@ _BRUTE = """
     group by all"""
 
 STEPS.update({
-    "x_week": _BRUTE.format(keys="asset_id, date", windows=f"""
+    "x_days": _BRUTE.format(keys="asset_id, date", windows=f"""
         select cast(d as date) as date, d + interval 1 day - interval 1 microsecond as stop
-        from generate_series(timestamp '{FIRE_WEEK[0]}', timestamp '{FIRE_WEEK[1]}', interval 1 day) g(d)"""),
+        from generate_series(timestamp '{FIRE_DAYS[0]}', timestamp '{FIRE_DAYS[1]}', interval 1 day) g(d)"""),
     "x_moment": _BRUTE.format(keys="portfolio_id, asset_id", windows=f"select timestamp '{NOW}' as stop"),
-    "x_fortnight": _BRUTE.format(keys="asset_id, date", windows="""
+    "x_month": _BRUTE.format(keys="asset_id, date", windows="""
         select cast(d as date) as date, d + interval 1 day - interval 1 microsecond as stop
-        from generate_series(timestamp '2024-01-01', timestamp '2024-01-14', interval 1 day) g(d)"""),
+        from generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day) g(d)"""),
     "x_severity": """
         select *, case when nearest_fire_distance_km_24h < 5 or fires_within_10km_count_24h >= 1 then 'high'
                        when nearest_fire_distance_km_7d < 15 or fires_within_10km_count_7d >= 3 then 'medium' end as severity
@@ -161,15 +169,15 @@ QUERIES = {
     "filter_bbox": lambda t: plain(fl.filter_bbox(t.v_fires, *BBOX, lat="lat", lng="lon")),
     "normalize_severity": lambda t: plain(fl.normalize_severity(t.v_notifications).select("id", "severity")),
     "severity_filter": lambda t: plain(fl.severity_filter(fl.normalize_severity(t.v_notifications), "high").select("id", "severity")),
-    "asset_fire_features": lambda t: plain(week_by_moment(t)),
-    "daily_fire_features": lambda t: plain(week_features(t)),
+    "asset_fire_features": lambda t: plain(features_by_moment(t)),
+    "daily_fire_features": lambda t: plain(day_features(t)),
     "fires_anti": lambda t: plain(fi.fires_anti(t.v_fire_copies, _stored_fires(t)).select("event_id", "arrival")),
     "fire_batch_dedupe": lambda t: plain(fi.fire_batch_dedupe(t.v_fire_copies, "arrival").select("event_id", "time_utc", "lat_round", "lon_round", "frp")),
     "insert_new_fires": lambda t: plain(fi.insert_new_fires(t.v_fire_copies, _stored_fires(t), "arrival", "job-9").select(
         "event_id", "source", "time_utc", "lat_round", "lon_round", "frp", "raw_job_id")),
     "fire_ingest_run": _ingest,
     "fire_windows": lambda t: plain(month_windows(t).where("date >= date '2024-01-07'")),
-    "score_wildfire": lambda t: plain(week_features(t).select("asset_id", "date", F.inline(F.array(pe.wildfire_entry()))).select(
+    "score_wildfire": lambda t: plain(day_features(t).select("asset_id", "date", F.inline(F.array(pe.wildfire_entry()))).select(
         "asset_id", "date", "score", "band", F.concat_ws("; ", "drivers").alias("drivers"))),
     "batch_scores_wildfire": _batch_with_fires,
     "notifications_anti": lambda t: nt.notifications_anti(_candidates(t), t.v_notifications, NOW),
@@ -177,9 +185,7 @@ QUERIES = {
         "portfolio_id", "asset_id", "type", "severity", "dedup_key", "created_at", "payload.*")),
     "asset_wildfire_view": lambda t: fi.asset_wildfire_view(moment_features(t), "7d"),
     "asset_wildfire_view_24h": lambda t: fi.asset_wildfire_view(moment_features(t), "24h"),
-    "ack_notification": lambda t: plain(nt.ack_notification(
-        t.v_notifications.withColumn("acknowledged_at", F.col("acknowledged_at").cast("timestamp")),
-        t.v_notifications.where("severity = 'HIGH'"), NOW).select("id", "acknowledged_at")),
+    "ack_notification": _acks,
     "notification_order": lambda t: plain(nt.notification_order(t.v_notifications, "pf2").select("id", "portfolio_id", "created_at")),
     "notification_payload": lambda t: nt.parse_payload(t.v_notifications).select(
         "id", F.try_variant_get("payload", "$.k", "bigint").alias("k")),
@@ -211,8 +217,8 @@ ORACLES = {
         where lat between {BBOX[2]} and {BBOX[0]} and lon between {BBOX[1]} and {BBOX[3]}""",
     "normalize_severity": "select id, case when lower(severity) in ('low', 'medium', 'high') then lower(severity) else 'low' end as severity from v_notifications",
     "severity_filter": "select id, 'high' as severity from v_notifications where lower(severity) = 'high'",
-    "asset_fire_features": f"select asset_id, {_DATE}, {_SIX} from x_week",
-    "daily_fire_features": f"select asset_id, {_DATE}, {_SIX} from x_week",
+    "asset_fire_features": f"select asset_id, {_DATE}, {_SIX} from x_days",
+    "daily_fire_features": f"select asset_id, {_DATE}, {_SIX} from x_days",
     "fires_anti": """
         select event_id, arrival from v_fire_copies f where not exists (
           select 1 from v_fire_copies s where s.frp > 50 and s.source = f.source and s.time_utc = f.time_utc
@@ -231,10 +237,10 @@ ORACLES = {
         select cast(time_utc as varchar) as time_utc, lat, lon, round_even(lat, 4) as lat_round, round_even(lon, 4) as lon_round,
                concat('POINT(', lon, ' ', lat, ')') as geom_wkt, frp, confidence, satellite, 'VIIRS_SNPP_NRT' as source, 'job-1' as raw_job_id
         from x_inserted""",
-    "fire_windows": f"select asset_id, {_DATE}, {_SIX} from x_fortnight where x_fortnight.date >= date '2024-01-07'",
+    "fire_windows": f"select asset_id, {_DATE}, {_SIX} from x_month where x_month.date >= date '2024-01-07'",
     "score_wildfire": f"""
         select asset_id, {_DATE}, {_WILD} as score, {_band_sql(_WILD)} as band, {_TEXTS.format(c24=_C24, near7=_NEAR7)} as drivers
-        from x_week""",
+        from x_days""",
     "batch_scores_wildfire": f"""
         select asset_id, {_DATE}, 'wildfire' as peril, score, {_band_sql('score')} as band,
                {_TEXTS.format(c24='c24', near7='near7')} as drivers from x_wild_scores

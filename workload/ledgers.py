@@ -12,7 +12,7 @@ from terrahaz.operators import ledgers as lg
 from terrahaz.session import shared_folder
 from terrahaz.sources import readers, sinks
 
-from .common import LEDGER_NOW, plain
+from .common import LEDGER_NOW, plain, stored
 from .views import STEPS, Tables
 
 MONTHS = ("2015-01", "2016-12")
@@ -39,7 +39,9 @@ def _stored_catalog(t: Tables) -> DataFrame:
 
 def _upsert_catalog(t: Tables) -> DataFrame:
     listing = t.v_listing.withColumn("last_modified", F.lit("2024-01-01"))
-    return ct.upsert_object_catalog(_stored_catalog(t), listing, "arrival").select("key", "size", "etag", "variable", "year")
+    table = stored(t.spark, "object-catalog", _stored_catalog(t), "year", "month")
+    sinks.store_object_catalog(table, listing, "arrival")
+    return table.read().select("key", "size", "etag", "variable", "year")
 
 
 def _artifacts(t: Tables) -> DataFrame:

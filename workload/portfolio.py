@@ -13,7 +13,7 @@ from terrahaz.session import shared_folder
 from terrahaz.sources import sinks
 
 from .climate import _band_sql
-from .common import QUARTER, WHOLE, plain
+from .common import QUARTER, WHOLE, plain, stored
 from .views import STEPS, Tables
 
 SEGMENT = "BUILDING"
@@ -56,7 +56,9 @@ def _upsert_assets(t: Tables) -> DataFrame:
         "portfolio_id", "asset_id", F.col("lon").alias("lat"), F.col("lat").alias("lon"), F.lit(1).alias("arrival"))
     again = moved.withColumns({"lat": F.col("lat") + 1.0, "arrival": F.lit(2)})
     extra = t.v_assets.select(F.lit("NEW").alias("portfolio_id"), "asset_id", "lat", "lon", F.lit(1).alias("arrival"))
-    return sinks.upsert_portfolio_assets(t.v_assets, moved.unionByName(again).unionByName(extra), "arrival")
+    table = stored(t.spark, "portfolio-assets", sinks.with_bucket(t.v_assets, "portfolio_id"), "bucket_no")
+    sinks.store_portfolio_assets(table, moved.unionByName(again).unionByName(extra), "arrival")
+    return table.read().drop("bucket_no")
 
 
 STEPS.update({

@@ -10,7 +10,7 @@ from terrahaz.operators import province as pv
 from terrahaz.plans.province_run import run_provinces
 from terrahaz.sources import readers, sinks
 
-from .common import plain
+from .common import plain, stored
 from .views import STEPS, Tables
 
 AS_OF = "2000-06-15"
@@ -48,7 +48,9 @@ def _upsert_scores(t: Tables) -> DataFrame:
     incoming = t.v_daily_scores.where("flood_score > 50").withColumns(
         {"overall_score": F.lit(0), "arrival": F.lit(1)})
     later = incoming.where("drought_score > 50").withColumns({"overall_score": F.lit(1), "arrival": F.lit(2)})
-    return plain(sinks.upsert_daily_scores(t.v_daily_scores, incoming.unionByName(later), "arrival"))
+    table = stored(t.spark, "daily-scores", sinks.with_month(t.v_daily_scores), "month_no")
+    sinks.store_daily_scores(table, incoming.unionByName(later), "arrival")
+    return plain(table.read().drop("month_no"))
 
 
 def _loss(t: Tables) -> DataFrame:
@@ -60,7 +62,9 @@ def _loss(t: Tables) -> DataFrame:
 def _replace_alerts(t: Tables) -> DataFrame:
     fresh = t.v_alerts.where("level = 'HIGH'").withColumns(
         {"id": F.concat(F.lit("new-"), F.col("id")), "active": F.lit(True)})
-    return plain(sinks.replace_active_alerts(t.v_alerts, fresh))
+    table = stored(t.spark, "alerts", t.v_alerts, "active")
+    sinks.store_active_alerts(table, fresh)
+    return plain(table.read())
 
 
 _KM = ("2 * 6371E0 * asin(sqrt(pow(sin(radians(f.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(f.lat)) "

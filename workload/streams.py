@@ -47,14 +47,14 @@ def _stored(t: Tables, stream: DataFrame, handler, name: str) -> DataFrame:
     """The store a handler makes of the stream."""
     base = shared_folder(t.spark, name)
     jobs.drain_batches(stream, handler(f"{base}/store"), f"{base}/checkpoint")
-    return t.spark.read.parquet(f"{base}/store")
+    return jobs.stored_rows(t.spark, f"{base}/store")
 
 
 def _alerts(t: Tables) -> DataFrame:
     base = shared_folder(t.spark, "fire-alerts")
-    handler = jobs.fire_alert_handler(t.v_assets, f"{base}/fires", f"{base}/notices")
+    handler = jobs.fire_alert_handler(t.v_assets, f"{base}/fires", f"{base}/notices", f"{base}/watched")
     jobs.drain_batches(fire_stream(t, 3), handler, f"{base}/checkpoint")
-    return t.spark.read.parquet(f"{base}/notices").select("portfolio_id", "asset_id", "severity", "dedup_key")
+    return jobs.notice_table(t.spark, f"{base}/notices").read().select("portfolio_id", "asset_id", "severity", "dedup_key")
 
 
 STEPS["x_alert_moment"] = """
@@ -71,7 +71,7 @@ STEPS["x_alert_moment"] = """
 QUERIES = {
     "stream_fires": lambda t: plain(_stored(t, fire_stream(t, 3), jobs.fire_handler, "fires").select(
         "event_id", "time_utc", "lat", "lon", "frp", "source")),
-    "stream_fire_counts": lambda t: plain(jobs.fire_counts(_stored(t, fire_stream(t), jobs.fire_count_handler, "fire-counts"))),
+    "stream_fire_counts": lambda t: plain(jobs.fire_counts(_stored(t, fire_stream(t, 3), jobs.fire_count_handler, "fire-counts"))),
     "stream_daily_features": lambda t: plain(jobs.daily_features(_stored(t, hourly_stream(t), jobs.hourly_handler, "hours")),
                                              {c: 9 for c in ("temp_mean", "precip_sum", "wind_max", "soil_moisture_mean")}),
     "stream_fire_alerts": _alerts,
