@@ -66,10 +66,29 @@ def keyed(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*[c.alias(n) for n, c in text_key().items()], *columns)
 
 
+def free_name(base: str, docs: DataFrame) -> str:
+    """``base``, lengthened until no column of ``docs`` has that name in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def matched(docs: DataFrame, keyed_rows: DataFrame, how: str) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """Joins rows to a frame with ``_id`` and ``_th``, under names that ``docs`` does not have.
+
+    Returns the join, the names of the key, and what the frame's other columns are called in it.
+    """
+    names = {c: free_name(c, docs) for c in keyed_rows.columns}
+    key = [names["_id"], names["_th"]]
+    rows = docs.withColumns({names[n]: c for n, c in text_key().items()})
+    return rows.join(keyed_rows.withColumnsRenamed(names), key, how), key, names
+
+
 def without(docs: DataFrame, keys: DataFrame, rows: int = 200_000) -> DataFrame:
-    """The rows of ``docs`` whose text key is not among ``keys`` (a stored frame)."""
-    return (docs.withColumns(text_key()).join(bounded_broadcast(keys, rows), ["_id", "_th"], "left_anti")
-            .select(*docs.columns))
+    """The rows of ``docs``, all columns, whose text key is not among ``keys`` (a stored frame of ``_id``, ``_th``)."""
+    left, key, _ = matched(docs, bounded_broadcast(keys.select("_id", "_th"), rows), "left_anti")
+    return left.drop(*key)
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:

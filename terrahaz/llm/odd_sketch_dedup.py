@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from terrahaz.llm.common import bounded_broadcast, documents, keyed, text_key, without, written
+from terrahaz.llm.common import bounded_broadcast, documents, keyed, matched, text_key, without, written
 from terrahaz.llm.components import components
 from terrahaz.llm.hashing import mixed, runs, word_hashes
 
@@ -295,9 +295,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
                .withColumn("kept", F.col("kept") & F.coalesce(F.col("_th") == F.col("_first"), F.lit(True))))
     dropped = written(counted.where("not kept or n > 1").select("_id", "_th", "n", "kept"), "near-dropped")
     single = without(docs, dropped.select("_id", "_th"), SMALL)
-    again = (docs.withColumns(text_key()).join(bounded_broadcast(dropped.where("kept").select("_id", "_th"), SMALL), ["_id", "_th"])
-             .dropDuplicates(["_id", "_th"]).select(*docs.columns))
-    return single.unionByName(again)
+    again, key, _ = matched(docs, bounded_broadcast(dropped.where("kept").select("_id", "_th"), SMALL), "inner")
+    return single.unionByName(again.dropDuplicates(key).drop(*key))
 
 
 def op5_odd_sketch_dedup(spark, sf_dir: str) -> DataFrame:

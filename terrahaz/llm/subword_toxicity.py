@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrahaz.llm.common import bounded_broadcast, documents, text_key, written
+from terrahaz.llm.common import documents, text_key, without, written
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -260,8 +260,7 @@ def harmless(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows not predicted toxic, all columns."""
     scored = score_toxicity(docs, labels, cut)
     bad = written(scored.where("predicted = 1").select("_id", "_th").distinct(), "toxic-rows")
-    kept = docs.withColumns(text_key()).join(bounded_broadcast(bad, 200_000), ["_id", "_th"], "left_anti")
-    return kept.select(*docs.columns)
+    return without(docs, bad)
 
 
 def op1_subword_toxicity(spark, sf_dir: str) -> DataFrame:

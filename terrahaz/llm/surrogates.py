@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrahaz.llm.common import documents, keyed, text_key, written
+from terrahaz.llm.common import documents, keyed, matched, written
 
 # kind -> pattern; the first kind that fits a find whole is its kind
 KINDS = {
@@ -180,11 +180,12 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     filled = (typed.join(cores, ["kind", "norm"])
               .select("_id", "_th", F.struct("at", rendered(F.col("kind"), F.col("surface"), F.col("core")).alias("new")).alias("r"))
               .groupBy("_id", "_th").agg(F.array_sort(F.collect_list("r")).alias("_new")))
-    held = docs.withColumns(text_key()).where(found).join(filled, ["_id", "_th"])
+    held, key_names, named = matched(docs.where(found), filled, "inner")
     gaps = F.split("text", ANY, -1)
-    new = F.array_join(F.zip_with(gaps, F.transform("_new", lambda r: r["new"]),
+    new = F.array_join(F.zip_with(gaps, F.transform(named["_new"], lambda r: r["new"]),
                                   lambda g, n: F.concat(F.coalesce(g, F.lit("")), F.coalesce(n, F.lit("")))), "")
-    swapped = held.withColumn("n_entities", F.size("_new").cast("long")).withColumn("text", new).select(*names, "n_entities")
+    counted = F.size(named["_new"]).cast("long")
+    swapped = held.withColumns({"n_entities": counted, "text": new}).drop(*key_names, named["_new"])
     plain = docs.where(~F.coalesce(found, F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
     return plain.unionByName(swapped)
 

@@ -21,11 +21,15 @@ HOST_RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-# (verdict, regular expression, its literal tokens)
+# fixed values: words that, whole between dots and hyphens of a host, tell what it serves
+JUNK_WORDS = (
+    "ads", "adult", "adware", "bet", "bets", "betting", "bingo", "casino", "clickbait", "dating", "escort", "escorts",
+    "gambling", "jackpot", "loans", "lottery", "malware", "payday", "phishing", "pills", "poker", "popunder", "porn",
+    "roulette", "sex", "slots", "spam", "spyware", "torrents", "track", "tracker", "tracking", "viagra", "warez", "xxx",
+)
+# (verdict, regular expression, its literal tokens); tried on host and path together
 PATTERN_RULES = (
-    ("block", r"^spam-farm\.", ("spam", "farm")),
-    ("block", r"(^|\.)cheap-pills\.", ("cheap", "pills")),
-    ("block", r"(^|\.)casino-[a-z0-9]+\.", ("casino",)),
+    *[("block", rf"^([^/]*[.-])?{word}[.-]", (word,)) for word in JUNK_WORDS],
     ("block", r"^[^/]*/(wp-login|xmlrpc)\.php", ("php",)),
     ("block", r"^[^/]*/.*\badult\b", ("adult",)),
 )
@@ -122,11 +126,13 @@ with u as (
          when (host = 'example.com' or suffix(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
          when (host = 'org' or suffix(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
          when (host = 'net' or suffix(host, '.net')) and starts_with(path, '/') then 'net/' end as rule,
-    case when regexp_matches(host || path, '^spam-farm\.') then '^spam-farm\.'
-         when regexp_matches(host || path, '(^|\.)cheap-pills\.') then '(^|\.)cheap-pills\.'
-         when regexp_matches(host || path, '(^|\.)casino-[a-z0-9]+\.') then '(^|\.)casino-[a-z0-9]+\.'
-         when regexp_matches(host || path, '^[^/]*/(wp-login|xmlrpc)\.php') then '^[^/]*/(wp-login|xmlrpc)\.php'
-         when regexp_matches(host || path, '^[^/]*/.*\badult\b') then '^[^/]*/.*\badult\b' end as pattern
+    coalesce('^([^/]*[.-])?' || list_filter(
+        ['ads', 'adult', 'adware', 'bet', 'bets', 'betting', 'bingo', 'casino', 'clickbait', 'dating', 'escort', 'escorts',
+         'gambling', 'jackpot', 'loans', 'lottery', 'malware', 'payday', 'phishing', 'pills', 'poker', 'popunder', 'porn',
+         'roulette', 'sex', 'slots', 'spam', 'spyware', 'torrents', 'track', 'tracker', 'tracking', 'viagra', 'warez', 'xxx'],
+        lambda word: list_contains(regexp_split_to_array(host, '[.-]')[:-2], word))[1] || '[.-]',
+        case when regexp_matches(host || path, '^[^/]*/(wp-login|xmlrpc)\.php') then '^[^/]*/(wp-login|xmlrpc)\.php'
+             when regexp_matches(host || path, '^[^/]*/.*\badult\b') then '^[^/]*/.*\badult\b' end) as pattern
   from u
 )
 select page_id, host, path, rule,

@@ -301,6 +301,49 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+PAGES = {  # verdicts by hand
+    "http://www.spam-farm.example.com/fr/907": "block", "https://spam-farm.example.org/es/1": "block", "http://m.spam-farm.example.org/fr/1": "allow",
+    "https://free-bets.example.com/en/5": "block", "https://m.ads-track.example.com/en/9": "block", "http://www.cheap-pills.example.com/fr/1": "block",
+    "http://m.casino-win.example.com/en/1": "block", "https://blog.adult-x.example.org/en/1": "block", "https://adult-x.example.net/en/2": "allow",
+    "https://blog.tionble.example.org/en/4": "allow", "https://trackside.example.org/en/": "allow", "https://beta.example.org/pills": "allow",
+    "https://a.example.org/x/wp-login.php": "allow", "https://a.example.org/wp-login.php": "block", "https://a.example.org/an/adult/page": "block",
+    "https://a.example.org/adulthood": "allow", "https://SPAM.example.org": "block", "ftp://x.net/en/": "block", "spam-farm.example.com": "allow",
+}
+
+
+def test_verdicts_fixed_by_hand(spark):
+    pages = spark.createDataFrame(list(enumerate(PAGES)), "page_id long, url string")
+    rows = pages.unionByName(pages.limit(3))  # repeated rows are judged one by one
+    got = url_filter.filter_urls(rows).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == dict(enumerate(PAGES.values())) and len(got) == len(PAGES) + 3
+
+
+def test_a_junk_host_is_known_wherever_its_word_stands(spark):
+    hosts = [form.format(w) for w in url_filter.JUNK_WORDS for form in ("{}.example.org", "www.{}.org", "a-{}.b.org", "{}-a.b.org")]
+    clean = [form.format(w) for w in url_filter.JUNK_WORDS for form in ("{}y.example.org", "x{}.org")]
+    pages = spark.createDataFrame([(i, f"https://{h}/en/") for i, h in enumerate(hosts + clean)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()}
+    wrong = [h for i, h in enumerate(hosts + clean) if got[i] != ("block" if i < len(hosts) else "allow")]
+    assert [h for h in wrong if h.split(".")[0].strip("x") not in url_filter.JUNK_WORDS] == []
+
+
+CLASHES = {"_id": 777, "_ID_": 1, "_th": 5, "_new": 7, "_comp": 9, "n": 11, "digest": 13, "text_": 15, "at": 17, "kept": 19, "word": 21}
+
+
+def test_extra_columns_pass_through_every_stage(spark, rows):
+    base = [(r[0], r[1], "en", "s", None, *CLASHES.values()) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES)
+    docs = spark.createDataFrame(base, schema)
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "One, two!")], "item_id long, text string")
+    from terrahaz.llm.common import without
+    for out in (subword_toxicity.harmless(docs, labels), odd_sketch_dedup.one_of_each(docs), phrase_index.clean_documents(docs, bench),
+                surrogates.replace_pii(docs).drop("n_entities"), without(docs, spark.createDataFrame([(0, 0)], "_id long, _th long"))):
+        assert out.columns == docs.columns
+        found = out.select(*CLASHES).distinct().collect()
+        assert [tuple(r) for r in found] == [tuple(CLASHES.values())]
+
+
 def test_toxicity(spark, docs, rows, empty):
     rng = random.Random(3)
     many = [(i, " ".join(_words(rng, 30) + (["idiotic"] * 3 if i % 2 else [])), i % 2) for i in range(300)]
