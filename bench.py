@@ -73,7 +73,7 @@ def main() -> None:
                            "per_asset_day_ms": round(took[name] / (n * DAYS) * 1000, 5)}
     scored = score(5000).drop("exposure")
     timed("store_scores", lambda: sinks.write_scores(
-        sinks.scores_table(spark, f"{store}/scores", scored.schema), scored, assets, START, END, VERSION))
+        sinks.scores_table(scored, f"{store}/scores"), scored, assets, START, END, VERSION))
     scores = t.v_scores
     hazards = pf.all_hazards_daily(scores)
     timed("portfolio_summary", lambda: [run(d) for d in (

@@ -229,14 +229,45 @@ def month_ingest_summary(objects: DataFrame, daily: DataFrame) -> DataFrame:
     return read.join(wrote, "month", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
 
 
-def table_page(df: DataFrame, key: str, ascending: bool, page: int, per_page: int, tie: str) -> DataFrame:
-    """One page of a sorted table.
+def page_order(key: str, ascending: bool, tie: list[str]) -> list[Column]:
+    return [F.col(key).asc() if ascending else F.col(key).desc(), *[F.col(t).asc() for t in tie]]
 
-    ``offset`` + ``limit`` on a sort is planned as a bounded top-k, so no task
-    sees the whole table.
+
+def table_page(df: DataFrame, key: str, ascending: bool, page: int, per_page: int, tie: list[str]) -> DataFrame:
+    """One page of a sorted table; ``tie`` makes the order full.
+
+    ``offset`` + ``limit`` on a sort is planned as a bounded top-k, which suits
+    the first pages.  Late pages of a large table are cheaper from ``store_ranges``.
+    """
+    return df.orderBy(*page_order(key, ascending, tie)).offset((page - 1) * per_page).limit(per_page)
+
+
+def store_ranges(df: DataFrame, path: str, key: str, ascending: bool, tie: list[str]) -> None:
+    """Writes the table in sorted ranges, one folder ``range_no`` each, for ``stored_page``."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = page_order(key, ascending, tie)
+    ranges = df.repartitionByRange(parts, *order).withColumn("range_no", F.spark_partition_id())
+    ranges.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("range_no").parquet(path)
+
+
+def stored_page(spark, path: str, key: str, ascending: bool, page: int, per_page: int, tie: list[str]) -> DataFrame:
+    """One page, however late, from the ranges that hold it.
+
+    The ranges' row counts (one number a range reaches the driver, read from file
+    footers) tell which of them the page lies in; no other folder is opened and
+    no task sorts more than those ranges.
     """
-    order = F.col(key).asc() if ascending else F.col(key).desc()
-    return df.orderBy(order, tie).offset((page - 1) * per_page).limit(per_page)
+    table = spark.read.parquet(path)
+    counts = sorted((r["range_no"], r["n"]) for r in table.groupBy("range_no").agg(F.count(F.lit(1)).alias("n")).collect())
+    first, before, held, skip = (page - 1) * per_page, 0, [], 0
+    for number, n in counts:
+        if before + n > first and before < first + per_page:
+            if not held:
+                skip = first - before
+            held.append(number)
+        before += n
+    chosen = table.where(F.col("range_no").isin(held)).drop("range_no")
+    return chosen.orderBy(*page_order(key, ascending, tie)).offset(skip).limit(per_page)
 
 
 def page_count(df: DataFrame, per_page: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import instant_literal
 from ..functions.geo import wkt_point
 from ..functions.numbers import half_even, number
-from ..operators.filters import filter_bbox, filter_date_range
+from ..operators.filters import filter_bbox, filter_date_range, filter_interval_overlap
 
 
 def stored_features(spark: SparkSession, root: str, start: dt.date | str, end: dt.date | str) -> DataFrame:
@@ -34,6 +34,27 @@ def read_feature_files(spark: SparkSession, root: str, start: dt.date | str, end
         F.col("_metadata.file_modification_time").alias("written_at"))
 
 
+def feature_ledger(spark: SparkSession, root: str) -> DataFrame:
+    """One row per feature file below ``root``: uri, start_date, end_date, row_count.
+
+    Kept as a table, it is the interval index that ``read_ledger_files`` asks.
+    """
+    return spark.read.parquet(root).groupBy(F.col("_metadata.file_path").alias("uri")).agg(
+        F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count(F.lit(1)).alias("row_count"))
+
+
+def read_ledger_files(spark: SparkSession, root: str, ledger: DataFrame, start: dt.date | str, end: dt.date | str) -> DataFrame:
+    """Rows of the ledger's files whose days overlap the range; no other file is listed or opened.
+
+    Whole files are returned, for unit rules; the range's file names pass through the driver,
+    as every scan's do.
+    """
+    uris = sorted(r["uri"] for r in filter_interval_overlap(ledger, start, end).select("uri").collect())
+    if not uris:
+        return spark.read.parquet(root).where(F.lit(False))
+    return spark.read.option("basePath", root).parquet(*uris)
+
+
 def read_fire_csv(spark: SparkSession, path: str) -> DataFrame:
     """Detection CSV files with a header; every column as text."""
     return spark.read.option("header", "true").option("inferSchema", "false").csv(path)

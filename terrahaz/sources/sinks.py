@@ -60,16 +60,24 @@ def sink_scores_replace(stored: DataFrame, fresh: DataFrame, assets: DataFrame,
     return kept.unionByName(fresh.select(*stored.columns))
 
 
-def scores_table(spark, path: str, schema: T.StructType) -> VersionedTable:
-    return VersionedTable(spark, path, schema, ["climatology_version", "date"], ("asset_id",))
+def with_month(rows: DataFrame, date: str) -> DataFrame:
+    """Adds ``month_no``, the partition of tables that change by day: few folders, however long the range."""
+    return rows.withColumn("month_no", F.year(date) * 12 + F.month(date) - 1)
+
+
+def scores_table(rows: DataFrame, path: str) -> VersionedTable:
+    """Score table for rows like these, kept by version and month."""
+    schema = with_month(rows.limit(0), "date").schema
+    return VersionedTable(rows.sparkSession, path, schema, ["climatology_version", "month_no"], ("date", "asset_id"))
 
 
 def write_scores(table: VersionedTable, fresh: DataFrame, assets: DataFrame, start: dt.date | str,
                  end: dt.date | str, version: str) -> None:
-    """Replace scores: only the date folders of this run and version are read and
-    written, once; a day that has no row any more is no longer pointed at."""
-    span = F.col("date").between(day_literal(start), day_literal(end)) & (F.col("climatology_version") == version)
-    table.replace(sink_scores_replace(table.read(span), fresh, assets, start, end, version), span)
+    """Replace scores: only the months of this run and version are read and
+    written, once; a day that has no row any more is simply not written again."""
+    first, last = ((d.year * 12 + d.month - 1) for d in (dt.date.fromisoformat(str(x)[:10]) for x in (start, end)))
+    span = F.col("month_no").between(first, last) & (F.col("climatology_version") == version)
+    table.replace(sink_scores_replace(table.read(span), with_month(fresh, "date"), assets, start, end, version), span)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], arrival: str) -> DataFrame:
@@ -101,10 +109,6 @@ def with_bucket(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("bucket_no", bucket_of(*keys))
 
 
-def with_month(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("month_no", F.year("as_of_date") * 12 + F.month("as_of_date") - 1)
-
-
 def store_portfolio_assets(table: VersionedTable, incoming: DataFrame, arrival: str) -> None:
     """Upsert into a table kept by ``bucket_no`` of the portfolio."""
     table.merge(with_bucket(incoming, "portfolio_id"), lambda stored, new: upsert_portfolio_assets(stored, new, arrival))
@@ -112,7 +116,7 @@ def store_portfolio_assets(table: VersionedTable, incoming: DataFrame, arrival:
 
 def store_daily_scores(table: VersionedTable, incoming: DataFrame, arrival: str) -> None:
     """Upsert into a table kept by ``month_no`` of ``as_of_date``."""
-    table.merge(with_month(incoming), lambda stored, new: upsert_daily_scores(stored, new, arrival))
+    table.merge(with_month(incoming, "as_of_date"), lambda stored, new: upsert_daily_scores(stored, new, arrival))
 
 
 def store_object_catalog(table: VersionedTable, listing: DataFrame, arrival: str) -> None:

@@ -55,3 +55,18 @@ def test_no_step_pairs_positions_with_files(spark):
     assert grids.select("grid").distinct().count() == 1
     asked = spark.range(500).selectExpr("concat('a', id) as asset_id", "id % 10 + 0.1 as lat", "id % 7 + 0.2 as lng")
     assert ft.batch_point_timeseries(asked, raw, "2024-01-01", "2024-01-31", "file_id", ["file_id", "k1"]).count() == 500 * 5
+
+
+def test_files_outside_the_range_are_not_opened(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from terrahaz.sources import readers
+    path = str(tmp_path / "files")
+    days = spark.range(720).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.col("id").alias("v"))
+    days.withColumn("part", F.year("date") * 12 + F.month("date")).repartition("part").write.partitionBy("part").parquet(path)
+    ledger = readers.feature_ledger(spark, path).persist()
+    assert ledger.agg(F.sum("row_count")).first()[0] == 720
+    got = readers.read_ledger_files(spark, path, ledger, "2000-03-15", "2000-04-02")
+    assert len(got.inputFiles()) == 2 and got.count() == 61
+    assert readers.read_ledger_files(spark, path, ledger, "2010-01-01", "2010-04-02").count() == 0
+    ledger.unpersist()

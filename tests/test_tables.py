@@ -184,7 +184,7 @@ def test_scores_are_replaced_in_place(spark, tmp_path):
     days = [dt.date(2024, 1, d) for d in (1, 2, 3)]
     old = spark.createDataFrame([(a, "heat", 1, v, d) for a in "ab" for v in ("v1", "v2") for d in days], schema)
     assets = spark.createDataFrame([("a",)], "asset_id string")
-    table = sinks.scores_table(spark, path, old.schema)
+    table = sinks.scores_table(old, path)
     sinks.write_scores(table, old, spark.createDataFrame([("a",), ("b",)], "asset_id string"), days[0], days[2], "v1")
     fresh = spark.createDataFrame([("a", "heat", 9, "v1", days[0])], schema)
     sinks.write_scores(table, fresh, assets, days[0], days[1], "v1")

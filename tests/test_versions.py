@@ -97,3 +97,32 @@ def test_several_partition_columns_and_nulls(spark, tmp_path):
     table.merge(spark.createDataFrame([(None, 1, 30)], schema), lambda stored, new: new)
     assert sorted(r["x"] for r in table.read().collect()) == [1, 2, 4, 30]
     assert [r["x"] for r in table.read(among(["v", "n"], [("a=b/c", 2)])).collect()] == [2]
+
+
+def test_late_pages_come_from_their_ranges(spark, tmp_path):
+    from terrahaz.operators import ledgers as lg
+    path = str(tmp_path / "ranges")
+    rows = spark.range(1000).selectExpr("id % 7 as score", "id", "id % 3 as other")
+    lg.store_ranges(rows, path, "score", False, ["id"])
+    for page in (1, 2, 13, 40, 41):
+        want = lg.table_page(rows, "score", False, page, 25, ["id"]).collect()
+        assert lg.stored_page(spark, path, "score", False, page, 25, ["id"]).collect() == want
+    one = lg.stored_page(spark, path, "score", False, 1, 5, ["id"])
+    assert len({f.split("range_no=")[1].split("/")[0] for f in one.inputFiles()}) <= len({
+        f.split("range_no=")[1].split("/")[0] for f in spark.read.parquet(path).inputFiles()})
+
+
+def test_keyed_lookup_names_the_days_and_keeps_every_match(spark, table):
+    from terrahaz.operators import fires as fi
+    schema = "source string, time_utc timestamp, lat_round double, lon_round double"
+    import datetime as dt
+    stored = [("S", dt.datetime(2024, 1, 1 + k % 9, 5), float(k), 1.0) for k in range(3000)]
+    batch = [("S", dt.datetime(2024, 1, 1 + k % 9, 5), float(k), 1.0) for k in range(2, 4000, 9)]  # one day, some stored
+    held = spark.createDataFrame(stored, schema).withColumn("day", F.to_date("time_utc"))
+    store = VersionedTable(spark, table.path, held.schema, ["day"])
+    store.add(held)
+    fresh = fi.fires_anti(spark.createDataFrame(batch, schema), store.read())
+    assert sorted(r["lat_round"] for r in fresh.collect()) == [float(k) for k in range(2, 4000, 9) if k >= 3000]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "2024-01-03" in filters or "19725" in filters

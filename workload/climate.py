@@ -13,9 +13,10 @@ from terrahaz.operators import quality, thresholds as th, units
 from terrahaz.operators.nearest import nearest_cell
 from terrahaz.plans.scoring import batch_scores, cell_rows
 from terrahaz.session import shared_folder
-from terrahaz.sources import sinks
+from terrahaz.sources import readers, sinks
+from terrahaz.sources.versions import spread
 
-from .common import BASELINE, QUARTER, SCORING, VERSION, WHOLE, plain, stored
+from .common import BASELINE, QUARTER, SCORING, VERSION, WHOLE, plain
 from .views import STEPS, Tables
 
 NEWEST = ["file_id", "k1", "k2"]
@@ -40,8 +41,8 @@ def scored_cells(t: Tables) -> DataFrame:
     return cell_rows(t.v_features, monthly(t), None, *SCORING, VERSION)
 
 
-def quarter_scores(t: Tables, perils=DEFAULT_PERILS) -> DataFrame:
-    return batch_scores(t.v_features, t.v_assets, monthly(t), None, *QUARTER, VERSION, list(perils))
+def asset_scores(t: Tables, perils=DEFAULT_PERILS) -> DataFrame:
+    return batch_scores(t.v_features, t.v_assets, monthly(t), None, *SCORING, VERSION, list(perils))
 
 
 def entry_frame(t: Tables) -> DataFrame:
@@ -126,26 +127,16 @@ def _band_sql(score: str) -> str:
             f"when {score} >= 20 then 'Minor' else 'Minimal' end")
 
 
-# The quarter is scored on its own days only, so its windows start in January.
-for _step in ("x_asked", "x_days"):
-    STEPS["x_q" + _step[1:]] = STEPS[_step].replace(SCORING[1], QUARTER[1])
-for _step in ("x_near_month", "x_resolved", "x_rows", "x_cell_scores"):
-    _sql = STEPS[_step]
-    for _used in ("x_asked", "x_days", "x_near_month", "x_resolved", "x_rows"):
-        _sql = _sql.replace(f" {_used} ", f" x_q{_used[1:]} ").replace(f" {_used}\n", f" x_q{_used[1:]}\n")
-        if _sql.endswith(f" {_used}"):
-            _sql = _sql[: -len(_used)] + f"x_q{_used[1:]}"
-    STEPS["x_q" + _step[1:]] = _sql
 STEPS["x_asset_cell"] = f"""
     select asset_id, cell_lat, cell_lng from (
       select a.asset_id, c.lat as cell_lat, c.lng as cell_lng,
              row_number() over (partition by a.asset_id order by abs(c.lat - a.lat) + abs(c.lng - a.lon), c.lat, c.lng) as rn
       from v_assets a cross join (select distinct lat, lng from v_features
-                                  where date between date '{QUARTER[0]}' and date '{QUARTER[1]}') c) t
+                                  where date between date '{SCORING[0]}' and date '{SCORING[1]}') c) t
     where rn = 1"""
 STEPS["x_asset_scores"] = f"""
     select a.asset_id, s.date, s.peril, s.score, {_band_sql('s.score')} as band, s.drivers
-    from x_asset_cell a join x_q_cell_scores s on s.lat = a.cell_lat and s.lng = a.cell_lng"""
+    from x_asset_cell a join x_cell_scores s on s.lat = a.cell_lat and s.lng = a.cell_lng"""
 STEPS["x_hourly_first"] = """
     select time, point_id, lat, lng, variable, arg_min(value, event_id) as value
     from v_hourly group by time, point_id, lat, lng, variable"""
@@ -208,9 +199,19 @@ def _replace_scores(t: Tables) -> DataFrame:
     scores = t.v_scores.select("asset_id", "date", "peril", "score", F.lit(VERSION).alias("climatology_version"))
     fresh = scores.where("peril = 'heat'").withColumn("score", F.lit(100) - F.col("score"))
     fresh = fl.filter_date_range(fresh, *QUARTER)
-    table = stored(t.spark, "scores", scores, "climatology_version", "date")
+    table = sinks.scores_table(scores, shared_folder(t.spark, "scores"))
+    table.add(sinks.with_month(scores, "date"))
     sinks.write_scores(table, fresh, t.v_scores.select("asset_id"), *QUARTER, VERSION)
-    return plain(table.read())
+    return plain(table.read().drop("month_no"))
+
+
+def _scan_files(t: Tables) -> DataFrame:
+    """Features of the scoring range from stored files, found through their ledger."""
+    path = shared_folder(t.spark, "feature-files")
+    spread(t.v_features_raw.withColumn("year", F.year("date")), ["file_id", "year"], ["date"]).write.partitionBy("file_id", "year").parquet(path)
+    ledger = readers.feature_ledger(t.spark, path)
+    raw = readers.read_ledger_files(t.spark, path, ledger, *SCORING).drop("year")
+    return plain(ft.scan_daily_features(raw, *SCORING, "file_id", NEWEST))
 
 
 def _climate_series(t: Tables) -> DataFrame:
@@ -228,6 +229,7 @@ def _parts(t: Tables) -> DataFrame:
 
 QUERIES = {
     "scan_daily_features": lambda t: plain(ft.scan_daily_features(t.v_features_raw, *WHOLE, "file_id", NEWEST)),
+    "scan_daily_features_files": _scan_files,
     "point_timeseries": lambda t: plain(ft.point_timeseries(
         t.spark, 37.9004, 26.6004, t.v_features_raw, *WHOLE, "file_id", NEWEST)),
     "batch_point_timeseries": lambda t: plain(ft.batch_point_timeseries(
@@ -280,7 +282,7 @@ QUERIES = {
         "date", "lat", "lng", "file_id", "k1", "temp_max", "soil_moisture_mean")),
     "distinct_cells": lambda t: ft.distinct_cells(t.v_features),
     "points_union": lambda t: ft.points_union(t.v_assets, t.v_provinces, "assets+provinces"),
-    "batch_scores": lambda t: plain(quarter_scores(t).select(
+    "batch_scores": lambda t: plain(asset_scores(t).select(
         "asset_id", "date", "peril", "score", "band", F.concat_ws("; ", "drivers").alias("drivers"),
         "scenario", "horizon", "likelihood", "data_version", "climatology_version")),
     "sink_features_month": lambda t: _sink_round_trip(
@@ -331,6 +333,9 @@ _SERIES = """
 
 ORACLES = {
     "scan_daily_features": f"select {_DATE}, month(date) as month, lat, lng, {_VALUES} from v_features",
+    "scan_daily_features_files": f"""
+        select {_DATE}, month(date) as month, lat, lng, {_VALUES} from v_features
+        where v_features.date between date '{SCORING[0]}' and date '{SCORING[1]}'""",
     "point_timeseries": _SERIES.format(asset="", near=_NEAR_FILE.format(
         points="select 'p' as asset_id, 37.9E0 as lat, 26.6E0 as lng"), start=WHOLE[0], end=WHOLE[1]),
     "batch_point_timeseries": _SERIES.format(asset="asset_id, ", near=_NEAR_FILE.format(

@@ -18,14 +18,14 @@ from terrahaz.sources import readers, sinks
 
 from . import climate
 from .climate import _band_sql
-from .common import FIRE_NOW, FIRE_DAYS, QUARTER, VERSION, plain, stored
+from .common import FIRE_NOW, FIRE_DAYS, SCORING, VERSION, plain, stored
 from .views import STEPS, Tables
 
 BBOX = (41.5, 27.0, 36.5, 44.0)
 JANUARY = ("2024-01-01", "2024-01-31")
 NOW = "2024-01-20 12:30:00"
 FEATURES = list(fi.FIRE_FEATURES)
-# fires moved back so that they meet the quarter the weather is scored for
+# fires moved back so that they meet the days the weather is scored for
 SHIFT_DAYS = 8766
 
 
@@ -75,7 +75,7 @@ def _candidates(t: Tables) -> DataFrame:
 
 def _batch_with_fires(t: Tables) -> DataFrame:
     fires = t.v_fires.withColumn("time_utc", F.col("time_utc") - F.make_dt_interval(F.lit(SHIFT_DAYS)))
-    scores = batch_scores(t.v_features, t.v_assets, climate.monthly(t), None, *QUARTER, VERSION, list(PERILS), fires)
+    scores = batch_scores(t.v_features, t.v_assets, climate.monthly(t), None, *SCORING, VERSION, list(PERILS), fires)
     return plain(scores.select("asset_id", "date", "peril", "score", "band", F.concat_ws("; ", "drivers").alias("drivers")))
 
 
@@ -115,7 +115,7 @@ _BRUTE = """
     group by all"""
 
 STEPS.update({
-    "x_days": _BRUTE.format(keys="asset_id, date", windows=f"""
+    "x_fire_days": _BRUTE.format(keys="asset_id, date", windows=f"""
         select cast(d as date) as date, d + interval 1 day - interval 1 microsecond as stop
         from generate_series(timestamp '{FIRE_DAYS[0]}', timestamp '{FIRE_DAYS[1]}', interval 1 day) g(d)"""),
     "x_moment": _BRUTE.format(keys="portfolio_id, asset_id", windows=f"select timestamp '{NOW}' as stop"),
@@ -142,8 +142,8 @@ STEPS.update({
                                                     order by arrival desc) as rn from x_inside) t where rn = 1""",
     "x_wild_days": f"""
         select c.asset_id, f.date from x_asset_cell c join v_features f on f.lat = c.cell_lat and f.lng = c.cell_lng
-        join x_q_resolved r on r.lat = f.lat and r.lng = f.lng and r.month = month(f.date)
-        where f.date between date '{QUARTER[0]}' and date '{QUARTER[1]}'""",
+        join x_resolved r on r.lat = f.lat and r.lng = f.lng and r.month = month(f.date)
+        where f.date between date '{SCORING[0]}' and date '{SCORING[1]}'""",
     # detections carry whole minutes, so a week is exactly seven calendar days
     "x_wild_by_day": f"""
         select asset_id, day, min(km) as km, count(*) filter (where km <= 10) as n, max(frp) filter (where km <= 20) as frp
@@ -217,8 +217,8 @@ ORACLES = {
         where lat between {BBOX[2]} and {BBOX[0]} and lon between {BBOX[1]} and {BBOX[3]}""",
     "normalize_severity": "select id, case when lower(severity) in ('low', 'medium', 'high') then lower(severity) else 'low' end as severity from v_notifications",
     "severity_filter": "select id, 'high' as severity from v_notifications where lower(severity) = 'high'",
-    "asset_fire_features": f"select asset_id, {_DATE}, {_SIX} from x_days",
-    "daily_fire_features": f"select asset_id, {_DATE}, {_SIX} from x_days",
+    "asset_fire_features": f"select asset_id, {_DATE}, {_SIX} from x_fire_days",
+    "daily_fire_features": f"select asset_id, {_DATE}, {_SIX} from x_fire_days",
     "fires_anti": """
         select event_id, arrival from v_fire_copies f where not exists (
           select 1 from v_fire_copies s where s.frp > 50 and s.source = f.source and s.time_utc = f.time_utc
@@ -240,7 +240,7 @@ ORACLES = {
     "fire_windows": f"select asset_id, {_DATE}, {_SIX} from x_month where x_month.date >= date '2024-01-07'",
     "score_wildfire": f"""
         select asset_id, {_DATE}, {_WILD} as score, {_band_sql(_WILD)} as band, {_TEXTS.format(c24=_C24, near7=_NEAR7)} as drivers
-        from x_days""",
+        from x_fire_days""",
     "batch_scores_wildfire": f"""
         select asset_id, {_DATE}, 'wildfire' as peril, score, {_band_sql('score')} as band,
                {_TEXTS.format(c24='c24', near7='near7')} as drivers from x_wild_scores

@@ -42,7 +42,7 @@ def _latest(t: Tables) -> DataFrame:
 
 
 def _export(t: Tables) -> DataFrame:
-    return pf.export_asset_max(drivers(t).where("peril <> 'wildfire'"), t.v_assets)
+    return pf.export_asset_max(drivers(t), t.v_assets)
 
 
 def _export_csv(t: Tables) -> DataFrame:
@@ -61,6 +61,16 @@ def _upsert_assets(t: Tables) -> DataFrame:
     return table.read().drop("bucket_no")
 
 
+TIE = ["asset_id", "date", "peril"]
+
+
+def _late_page(t: Tables) -> DataFrame:
+    """Page 900, served from the stored ranges of the sorted table."""
+    path = shared_folder(t.spark, "score-ranges")
+    lg.store_ranges(t.v_score_bands.select("score", *TIE), path, "score", False, TIE)
+    return plain(lg.stored_page(t.spark, path, "score", False, 900, 25, TIE))
+
+
 STEPS.update({
     "x_hazards": f"""
         select asset_id, date, score, {_band_sql('round_even(score, 0)')} as band
@@ -83,11 +93,12 @@ STEPS.update({
           select asset_id, coalesce(max(score) filter (where peril = 'heat'), 0) as score_heat,
                  coalesce(max(score) filter (where peril = 'rain'), 0) as score_precip,
                  coalesce(max(score) filter (where peril = 'wind'), 0) as score_wind,
-                 coalesce(max(score) filter (where peril = 'drought'), 0) as score_drought, 0 as score_wildfire,
+                 coalesce(max(score) filter (where peril = 'drought'), 0) as score_drought,
+                 coalesce(max(score) filter (where peril = 'wildfire'), 0) as score_wildfire,
                  string_agg(concat(peril, ':', driver), ' | ' order by case peril when 'heat' then 0 when 'rain' then 1
-                                                                     when 'wind' then 2 else 3 end) as top_drivers
+                                                                     when 'wind' then 2 when 'drought' then 3 else 4 end) as top_drivers
           from (select *, row_number() over (partition by asset_id, peril order by score desc, date) as rn
-                from v_score_bands where peril <> 'wildfire') r where rn = 1 group by asset_id) b using (asset_id)""",
+                from v_score_bands) r where rn = 1 group by asset_id) b using (asset_id)""",
 })
 
 _DATE = "cast(date as varchar) as date"
@@ -112,7 +123,7 @@ QUERIES = {
     "export_portfolio_csv": _export_csv,
     "list_portfolios": lambda t: pf.list_portfolios(t.v_assets),
     "risk_summary": lambda t: pf.risk_summary_long(t.v_scores, t.v_assets, SEGMENT, *QUARTER),
-    "table_page": lambda t: plain(lg.table_page(t.v_score_bands.where("peril = 'heat'"), "score", False, 3, 25, "asset_id").select("score")),
+    "table_page": _late_page,
     "table_pages": lambda t: lg.page_count(t.v_score_bands, 25),
     "upsert_portfolio_assets": _upsert_assets,
 }
@@ -183,7 +194,8 @@ ORACLES = {
         union all (select 'top_assets', asset_id, round_even(avg(score), 2) from x_chosen_hazards group by asset_id
                    order by avg(score) desc, asset_id limit 10)""",
     "table_page": """
-        select score from v_score_bands where peril = 'heat' order by score desc, asset_id limit 25 offset 50""",
+        select score, asset_id, cast(date as varchar) as date, peril from v_score_bands
+        order by score desc, asset_id, v_score_bands.date, peril limit 25 offset 22475""",
     "table_pages": "select cast(ceil(count(*) / 25E0) as bigint) as pages from v_score_bands",
     "upsert_portfolio_assets": """
         select portfolio_id, asset_id, case when lat > 39 then lon + 1.0 else lat end as lat,

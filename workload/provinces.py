@@ -48,7 +48,7 @@ def _upsert_scores(t: Tables) -> DataFrame:
     incoming = t.v_daily_scores.where("flood_score > 50").withColumns(
         {"overall_score": F.lit(0), "arrival": F.lit(1)})
     later = incoming.where("drought_score > 50").withColumns({"overall_score": F.lit(1), "arrival": F.lit(2)})
-    table = stored(t.spark, "daily-scores", sinks.with_month(t.v_daily_scores), "month_no")
+    table = stored(t.spark, "daily-scores", sinks.with_month(t.v_daily_scores, "as_of_date"), "month_no")
     sinks.store_daily_scores(table, incoming.unionByName(later), "arrival")
     return plain(table.read().drop("month_no"))
 
