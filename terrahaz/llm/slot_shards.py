@@ -12,10 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from terrahaz.llm.common import documents, hash_cell, numbered, written
+from terrahaz.session import shared_folder
+from terrahaz.sources.versions import VersionedTable
 
 SLOTS = 4096
-MAP_SCHEMA = "version int, virtual_slot int, shard int"
+MAP_SCHEMA = T.StructType([T.StructField(c, T.IntegerType()) for c in ("version", "virtual_slot", "shard")])
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -76,7 +80,30 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     return slot_map.sparkSession.createDataFrame(edited, MAP_SCHEMA)
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, keep_map: str = "slot-map") -> DataFrame:
+def map_table(spark, path: str) -> VersionedTable:
+    """All versions of a slot map, kept where the caller says, one folder each."""
+    return VersionedTable(spark, path, MAP_SCHEMA, ["version"])
+
+
+def edited_map(table: VersionedTable, sizes: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """The map in force after rebalancing: the newest stored version, edited and stored as the next.
+
+    A table without versions begins with the slots dealt out in turn.  Where no
+    slot has to move, nothing is stored.
+    """
+    if not table.version():
+        table.add(first_map(table.spark, shards, slots))
+    newest = max(h[0] for h in table.held())
+    current = table.read(F.col("version") == newest)
+    edited = rebalanced(current, sizes, shards)
+    moved = current.join(edited.select("virtual_slot", F.col("shard").alias("now")), "virtual_slot").where("shard <> now")
+    if moved.isEmpty():
+        return current
+    table.add(edited)
+    return table.read(F.col("version") == newest + 1)
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Shard and place of every row.
 
     Law ``bytes``: sizes per shard nearly equal.  Returns doc_id, size,
@@ -84,14 +111,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, keep_m
     slot, then doc_id, CRC and size), grown_shard (null under this law),
     virtual_slot and map_version.  Null texts have size 1; rows with a null id
     hash by their text; repeated rows share a slot and get places of their own;
-    an empty table gives an empty result; other columns are not looked at.
-    Both versions of the map are kept as a table in the shared folder.
+    long texts are only measured; an empty table gives an empty result; other
+    columns are not looked at.  ``map_path`` names the stored map: a later run
+    loads its newest version and moves only the slots it has to.  Without it a
+    map of the run's own is kept in the shared folder.
     """
+    spark = docs.sparkSession
     records = written(slotted(docs, slots), "sharding-records")
-    first = first_map(docs.sparkSession, shards, slots)
-    edited = rebalanced(first, slot_bytes(records), shards)
-    versions = written(first.unionByName(edited), keep_map)
-    latest = versions.where(F.col("version") == 2).withColumnRenamed("version", "map_version")
+    table = map_table(spark, map_path or shared_folder(spark, "slot-map"))
+    latest = edited_map(table, slot_bytes(records), shards, slots).withColumnRenamed("version", "map_version")
     placed = records.join(F.broadcast(latest), "virtual_slot")  # SLOTS rows
     out = numbered(placed, ["shard"], "virtual_slot", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",

@@ -9,6 +9,7 @@ entities, and colliding ones are drawn again.  Built-in functions only.
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +43,7 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ko la le lo ma me mo na ne no pa ra re ro sa se ta te to".split(),
     "cyrillic": "ба бе бо да де до фа фе га го ха хе ка ко ла ле ло ма ме мо на не но па ра ре ро са се та те то".split(),
 }
-KEY = "terrahaz"
+KEY_SETTING = "spark.terrahaz.surrogates.key"  # without it a run draws its own key
 TRIES = 8
 
 
@@ -116,7 +117,7 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     return numbered.withColumn("_card", card).withColumn("core", core).drop("_v", "_card")
 
 
-def surrogate_map(entities: DataFrame, key: str = KEY, tries: int = TRIES) -> DataFrame:
+def surrogate_map(entities: DataFrame, key: str, tries: int = TRIES) -> DataFrame:
     """kind, norm, core: one distinct core per distinct entity, none equal to a real entity of its kind.
 
     Every round draws for the entities still open and keeps the draws nobody
@@ -160,15 +161,22 @@ def rendered(kind: Column, surface: Column, core: Column) -> Column:
             .when(kind == "secret", cased).otherwise(core))
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def secret_key(spark) -> str:
+    """The session's key, else a random one: nobody can rebuild a run's map from the source."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     """All rows and columns, entities in ``text`` replaced; one more column ``n_entities``.
 
     Null and empty texts, and texts without an entity, come back as they are
     (n_entities 0); repeated rows are changed alike; an empty table gives an
     empty result; other columns pass through untouched whatever their names
     (except ``n_entities``, which is overwritten).  Only documents with an entity
-    are shuffled.  The key decides the surrogates: same key, same corpus, same result.
+    are shuffled.  The key, given or the session's ``spark.terrahaz.surrogates.key``,
+    decides the surrogates: same key, same corpus, same result.
     """
+    key = key or secret_key(docs.sparkSession)
     names = [c for c in docs.columns if c != "n_entities"]
     docs = docs.select(*names)
     found = F.col("text").rlike(HINT) & F.col("text").rlike(ANY)

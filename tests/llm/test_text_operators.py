@@ -87,6 +87,23 @@ def test_rebalancing_moves_little_and_evens_out(spark):
     assert grown.select("shard").distinct().count() == 9 and moved.count() <= 4096 / 9 + 16
 
 
+def test_a_stored_map_is_loaded_and_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(id % 97 as int)) as text")
+    one = {r["doc_id"]: r for r in slot_shards.shard_documents(docs, 4, 256, path).collect()}
+    again = {r["doc_id"]: r for r in slot_shards.shard_documents(docs.limit(3000), 4, 256, path).collect()}
+    sizes = lambda rows: [sum(r["size"] for r in rows.values() if r["shard"] == s) for s in range(4)]
+    for rows in (one, again):  # balance: no shard is off by more than a slot
+        assert max(sizes(rows)) - min(sizes(rows)) <= max(sum(r["size"] for r in rows.values() if r["virtual_slot"] == v) for v in range(256))
+    assert {r["map_version"] for r in one.values()} == {2}
+    moved = {r["virtual_slot"] for i, r in again.items() if r["shard"] != one[i]["shard"]}
+    assert len(moved) <= 16 and {r["map_version"] for r in again.values()} <= {2, 3}
+    grown = {r["doc_id"]: r for r in slot_shards.shard_documents(docs, 5, 256, path).collect()}
+    moved = {r["virtual_slot"] for i, r in grown.items() if r["shard"] != again[i]["shard"]}
+    assert {r["shard"] for r in grown.values()} == set(range(5)) and len(moved) <= 256 / 5 + 32
+    assert len(slot_shards.map_table(spark, path).held()) == max(r["map_version"] for r in grown.values())
+
+
 def test_boundaries_against_all_choices():
     from itertools import combinations
     lengths, counts = [1, 2, 4, 7, 9, 15], [5, 1, 3, 2, 8, 1]
@@ -160,9 +177,20 @@ def test_secrets_in_every_case_share_a_surrogate(spark):
     assert upper == f'TOKEN = "{core.upper()}"!!' and both == core[:20].upper() + core[20:] and short == texts[3]
 
 
+def test_the_key_decides_the_surrogates(spark):
+    docs = spark.createDataFrame([(1, "call +1 (212) 555-1234 or write a.b@example.com")], "doc_id long, text string")
+    texts = [surrogates.replace_pii(docs, key).first()["text"] for key in ("one", "one", "two", None, None)]
+    assert texts[0] == texts[1] and len(set(texts)) == 4
+    spark.conf.set(surrogates.KEY_SETTING, "one")
+    try:
+        assert surrogates.replace_pii(docs).first()["text"] == texts[0]
+    finally:
+        spark.conf.unset(surrogates.KEY_SETTING)
+
+
 def test_surrogates_of_a_crowded_format_stay_distinct(spark):
     found = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(60)], "kind string, norm string")
-    cores = [r["core"] for r in surrogates.surrogate_map(found).collect()]
+    cores = [r["core"] for r in surrogates.surrogate_map(found, "k").collect()]
     assert len(cores) == len(set(cores)) == 60 and not {f"{i:02d}" for i in range(60)} & set(cores)
 
 
