@@ -281,18 +281,14 @@ def hourly_point_sample(grid: DataFrame, points: DataFrame) -> DataFrame:
 
     ``grid``: lat, lng, variable, value and either ``time`` or ``init_time`` +
     ``lead_hours``.  Output rows carry the point's own coordinates.  The point
-    map is tiny next to the grid, so it is broadcast when it measures small:
-    otherwise the whole grid would be shuffled.
+    map is computed once; Spark broadcasts it if its shuffled size turns out small.
     """
-    from ..functions.sizing import broadcast_up_to
-
     if "time" not in grid.columns:
         lead = F.make_dt_interval(F.lit(0), F.col("lead_hours").cast("int"))
         grid = grid.withColumn("time", F.col("init_time") + lead)
     mapped = nearest_axis_sample(points, grid)
-    small = broadcast_up_to(mapped, 500_000)
     sampled = grid.where(F.col("time").isNotNull()).join(
-        small, (F.col("lat") == F.col("grid_lat")) & (F.col("lng") == F.col("grid_lng")))
+        mapped, (F.col("lat") == F.col("grid_lat")) & (F.col("lng") == F.col("grid_lng")))
     return sampled.select("time", "point_id", F.col("point_lat").alias("lat"),
                           F.col("point_lng").alias("lng"), "variable", number(F.col("value")).alias("value"))
 
