@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import instant_literal
 from ..functions.geo import EARTH_KM, great_circle_km, great_circle_km_asin, space_axes
 from ..functions.numbers import half_even
+from ..session import joins_by_measure
 from .features import keep_newest
 from .lookup import stored_candidates
 from .nearest import KILOMETRES, nearest_candidates, radius_pieces
@@ -96,7 +97,9 @@ def asset_fire_features(requests: DataFrame, fires: DataFrame) -> DataFrame:
     once, repeated detections at one position collapse.  Meant for few distinct
     moments; for windows that end with calendar days see ``daily_fire_features``.
     The collapsed fires are read several times and therefore persisted.
+    Broadcasts go by measured sizes (``joins_by_measure``).
     """
+    joins_by_measure(fires.sparkSession)
     windows = requests.select("window_end").distinct().withColumn("_day", F.to_date("window_end"))
     offered = fires.select("time_utc", "lat", "lon", "frp").withColumn(
         "_day", F.explode(F.sequence(F.to_date("time_utc"), F.date_add(F.to_date("time_utc"), 7))))

@@ -33,6 +33,21 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def joins_by_measure(spark: SparkSession) -> SparkSession:
+    """Let adaptive execution alone choose broadcasts, by the measured size of a side.
+
+    Estimates made before a run take a side for as small as its compressed files,
+    whatever ``explode`` makes of it, and build it on the driver.  The session's own
+    threshold stays the bound; explicit broadcasts stay as well.
+    """
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if spark.conf.get("spark.sql.adaptive.enabled") == "true" and not bound.startswith("-"):
+        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", bound)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return spark
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 

@@ -29,13 +29,10 @@ FEATURES = list(fi.FIRE_FEATURES)
 SHIFT_DAYS = 8766
 
 
-def _days(t: Tables, start: str, end: str) -> DataFrame:
-    return t.v_assets.select("asset_id", F.explode(F.sequence(
-        F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
-
-
 def _asset_days(t: Tables, start: str, end: str) -> DataFrame:
-    return t.v_assets.select("asset_id", "lat", "lon").join(_days(t, start, end), "asset_id")
+    # days are listed after the join: a row per asset travels, not one per asset and day
+    spots = t.v_assets.select("asset_id", "lat", "lon").join(t.v_assets.select("asset_id"), "asset_id")
+    return spots.withColumn("date", F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))))
 
 
 def day_features(t: Tables) -> DataFrame:
