@@ -137,7 +137,9 @@ def spot_day_fires(spot_days: DataFrame, fires: DataFrame) -> DataFrame:
     max_frp_20km, and ``edge_10km``: fires in the very last microsecond of the
     day before, which a window ending with this day still includes.  The fires,
     collapsed per day and position, are persisted: several joins read them.
+    Broadcasts go by measured sizes (``joins_by_measure``).
     """
+    joins_by_measure(fires.sparkSession)
     midnight = F.date_add(F.to_date("time_utc"), 1).cast("timestamp")
     at_edge = F.unix_micros(midnight) - F.unix_micros("time_utc") <= 1
     rows = fires.select("time_utc", "lat", "lon", "frp").withColumn("time_utc", F.col("time_utc").cast("timestamp"))
@@ -165,7 +167,7 @@ def daily_fire_features(asset_days: DataFrame, fires: DataFrame) -> DataFrame:
     """
     back = F.explode(F.sequence(F.lit(0), F.lit(6)))
     spot_days = (
-        asset_days.select("lat", "lon", "date", back.alias("_back"))
+        asset_days.select("lat", "lon", "date").distinct().select("*", back.alias("_back"))
         .groupBy("lat", "lon", F.date_sub("date", F.col("_back")).alias("date"))
         .agg(F.max(F.col("_back") == 0).alias("_asked"))).persist()
     asked = spot_days.select("lat", "lon", "date", "_asked")
