@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import number
 from ..functions.quantiles import bound_stats, quantile_above
+from ..functions.sizing import broadcast_up_to
 
 # Fixed values of the unit rules.
 KELVIN_OFFSET = 273.15
 KELVIN_MEDIAN = 150.0
 METRE_P99 = 5.0
 MM_PER_METRE = 1000.0
-
+# a row of flags per file is broadcast for up to so many files
+MOST_FILES = 100_000
 
 
 def _celsius(value: Column, kelvin: Column) -> Column:
@@ -35,7 +37,8 @@ def normalize_units(df: DataFrame, file_id: str, kelvin_columns: list[str],
     counters per file is joined back, so the input is never sorted or collected.
 
     Runs one job: it measures how many files there are, to broadcast the flags
-    instead of shuffling the observations by a handful of file names.
+    instead of shuffling the observations by a handful of file names.  The flags
+    are persisted, so that the join does not read the input for them again.
     """
     steer = steer or {}
     coerced = df.withColumns({c: number(F.col(c)) for c in [*kelvin_columns, *metre_columns]})
@@ -54,7 +57,8 @@ def normalize_units(df: DataFrame, file_id: str, kelvin_columns: list[str],
         changed[name] = _celsius(F.col(name), F.col(f"_{steer.get(name, name)}_flag"))
     for name in metre_columns:
         changed[name] = _millimetres(F.col(name), F.col(f"_{name}_flag"))
-    # one row per file: small enough to be broadcast at run time, or a join that can be split
+    # a few flags per file, kept for the join; dealing rows by file would read each file in one task
+    rules = broadcast_up_to(rules.persist(), MOST_FILES)
     return coerced.join(rules, F.col(file_id).eqNullSafe(F.col("_file"))).withColumns(changed).select(*df.columns)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from terrahaz.operators import fires as fi
+from terrahaz.operators import units
 
 
 def spots(spark):
@@ -31,3 +32,14 @@ def test_fire_sides_are_not_broadcast_by_estimate(spark):
     features = fi.asset_fire_features(moments, detections(spark))
     assert not guessed(features)
     assert features.count() == 320
+
+
+def test_files_are_not_dealt_to_one_task_each(spark):
+    """Flags of a handful of files meet the rows where they are; a shuffle by file would read each in one task."""
+    rows = [("kelvin", 300.0, 0.001), ("kelvin", 290.0, 0.002), ("plain", 20.0, 40.0), (None, 21.0, 30.0)]
+    raw = spark.createDataFrame(rows, "file_id string, temp_max double, precip_sum double")
+    out = units.normalize_units(raw, "file_id", ["temp_max"], ["precip_sum"])
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert sorted((round(r["temp_max"], 2), r["precip_sum"]) for r in out.collect()) == [
+        (16.85, 2.0), (20.0, 40.0), (21.0, 30.0), (26.85, 1.0)]
