@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from terrahaz.operators import features as ft
 from terrahaz.operators import fires as fi
 from terrahaz.operators import units
 
@@ -43,3 +44,14 @@ def test_files_are_not_dealt_to_one_task_each(spark):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
     assert sorted((round(r["temp_max"], 2), r["precip_sum"]) for r in out.collect()) == [
         (16.85, 2.0), (20.0, 40.0), (21.0, 30.0), (26.85, 1.0)]
+
+
+def test_pairs_of_one_node_are_made_in_several_tasks(spark):
+    """Small in bytes, the readings of a node once were merged into one task that made all pairs."""
+    grid = spark.range(400).select(
+        F.lit(36.0).alias("lat"), F.lit(26.0).alias("lng"), F.lit("t").alias("variable"), F.col("id").cast("double").alias("value"),
+        F.lit("2024-01-01").cast("timestamp").alias("time"))
+    points = spark.range(50).select(F.col("id").alias("point_id"), F.lit(36.1).alias("lat"), F.lit(26.1).alias("lon"))
+    out = ft.hourly_point_sample(grid, points)
+    assert out.count() == 20_000 and out.distinct().count() == 20_000
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1
