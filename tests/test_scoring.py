@@ -105,6 +105,22 @@ def test_windows_without_readings(spark):
     assert got[(dt.date(2024, 1, 1), "heat")]["score"] == 0
 
 
+def test_scores_of_one_place_are_repeated_in_several_tasks(spark):
+    """Small in bytes, a cell's days once were merged into few tasks that made all rows; fires went by asset and day."""
+    start = dt.date(2024, 1, 1)
+    frame = spark.createDataFrame([(start + dt.timedelta(i), 41.0, 29.0, 1.0, 31.0, 5.0, 12.0, 0.2) for i in range(10)], DAYS)
+    assets = spark.range(60).select(F.concat(F.lit("a"), F.col("id") % 50).alias("asset_id"), F.lit(41.3).alias("lat"), F.lit(29.2).alias("lon"))
+    fires = spark.createDataFrame([(dt.datetime(2024, 1, 4, 12), 41.3, 29.2, 50.0)], "time_utc timestamp, lat double, lon double, frp double")
+    out = batch_scores(frame, assets, monthly(spark, (41.0, 29.0, 1, EIGHT)), None, "2024-01-01", "2024-01-31", "v",
+                       ["heat", "wildfire"], fires, separator="; ").withColumn("task", F.spark_partition_id())
+    got = out.collect()
+    assert len(got) == len({(r["asset_id"], r["date"], r["peril"]) for r in got}) == 50 * 10 * 2
+    assert len({r["task"] for r in got if r["peril"] == "heat"}) > 1
+    texts = {(r["date"].day, r["drivers"]) for r in got if r["peril"] == "wildfire"}
+    assert (3, "0 active fires within 10km in last 24h; no nearby fires detected in last 7d") in texts
+    assert (4, "1 active fires within 10km in last 24h; nearest fire 0.0km away in last 7d") in texts and len(texts) == 10
+
+
 @pytest.mark.parametrize("asked,want", [
     (None, ["heat", "rain", "wind", "drought"]), ([], ["heat", "rain", "wind", "drought"]),
     (["all"], ["heat", "rain", "wind", "drought", "wildfire"]), (["wildfire", "hail"], ["wildfire"]),
