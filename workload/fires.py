@@ -72,8 +72,9 @@ def _candidates(t: Tables) -> DataFrame:
 
 def _batch_with_fires(t: Tables) -> DataFrame:
     fires = t.v_fires.withColumn("time_utc", F.col("time_utc") - F.make_dt_interval(F.lit(SHIFT_DAYS)))
-    scores = batch_scores(t.v_features, t.v_assets, climate.monthly(t), None, *SCORING, VERSION, list(PERILS), fires)
-    return plain(scores.select("asset_id", "date", "peril", "score", "band", F.concat_ws("; ", "drivers").alias("drivers")))
+    scores = batch_scores(t.v_features, t.v_assets, climate.monthly(t), None, *SCORING, VERSION, list(PERILS), fires,
+                          separator="; ")
+    return plain(scores.select("asset_id", "date", "peril", "score", "band", "drivers"))
 
 
 def _ingest(t: Tables) -> DataFrame:
