@@ -168,6 +168,16 @@ def wildfire_entry() -> Column:
                     F.lit("no nearby fires detected in last 7d"))])
 
 
+def entry_rows(rows: DataFrame, keys: list[str], entries: dict[str, Column]) -> DataFrame:
+    """One row per entry.
+
+    Entries are finished as columns first: a generator evaluates a repeated expression
+    every time it occurs, in one method too long to be compiled.
+    """
+    held = rows.select(*keys, *[entry.alias(f"_{peril}") for peril, entry in entries.items()])
+    return held.select(*keys, F.inline(F.array(*[f"_{peril}" for peril in entries])))
+
+
 WEATHER_ENTRIES = {"heat": heat_entry, "rain": rain_entry, "wind": wind_entry, "drought": drought_entry}
 
 
@@ -178,6 +188,5 @@ def weather_rows(windowed: DataFrame) -> DataFrame:
 
 def weather_scores(rows: DataFrame, perils: list[str]) -> DataFrame:
     """Long form: one row per cell-day and weather peril; undefined scores drop out."""
-    entries = [WEATHER_ENTRIES[p]() for p in perils if p in WEATHER_ENTRIES]
-    long = rows.select("lat", "lng", "date", F.inline(F.array(*entries)))
-    return long.where(F.col("score").isNotNull())
+    entries = {p: WEATHER_ENTRIES[p]() for p in perils if p in WEATHER_ENTRIES}
+    return entry_rows(rows, ["lat", "lng", "date"], entries).where(F.col("score").isNotNull())

@@ -11,7 +11,7 @@ from ..operators.features import CELL, SHARES, distinct_cells
 from ..operators.filters import filter_date_range
 from ..operators.fires import daily_fire_features
 from ..operators.nearest import nearest_cell
-from ..operators.perils import peril_windows, weather_rows, weather_scores, wildfire_entry
+from ..operators.perils import entry_rows, peril_windows, weather_rows, weather_scores, wildfire_entry
 from ..operators.thresholds import threshold_lookup
 
 # Labels every stored score carries.
@@ -82,8 +82,8 @@ def batch_scores(features: DataFrame, assets: DataFrame, monthly: DataFrame, by_
         asked = spots.select(F.struct("at_lat", "at_lon").alias("asset_id"), F.col("at_lat").alias("lat"),
                              F.col("at_lon").alias("lon"), "date")
         found = daily_fire_features(asked, fires)
-        burnt = found.select(F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"), "date",
-                             F.inline(F.array(wildfire_entry())))
+        burnt = entry_rows(found.withColumnsRenamed({"lat": "at_lat", "lon": "at_lon"}), ["at_lat", "at_lon", "date"],
+                           {"wildfire": wildfire_entry()})
         parts.append(_for_assets(homes, ["at_lat", "at_lon"], burnt, separator))
     out = parts[0]
     for part in parts[1:]:

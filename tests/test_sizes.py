@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from terrahaz.operators import features as ft
 from terrahaz.operators import fires as fi
+from terrahaz.operators import perils as pe
 from terrahaz.operators import units
+from workload.views import Tables
 
 
 def spots(spark):
@@ -55,3 +57,31 @@ def test_pairs_of_one_node_are_made_in_several_tasks(spark):
     out = ft.hourly_point_sample(grid, points)
     assert out.count() == 20_000 and out.distinct().count() == 20_000
     assert out.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_persisted_frames_are_found_behind_other_views(spark, tmp_path):
+    """A view made as a CTE renumbered those after it, so thresholds were computed again wherever features stood before them."""
+    spark.range(4).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "cast(id AS int) AS l_linenumber", "1E0 AS l_quantity", "1E0 AS l_discount",
+        "1E0 AS l_tax", "timestamp'2000-01-01 00:00:00' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Tables(spark, str(tmp_path))
+    features = t.v_features
+    kept = t.v_features.groupBy("lat", "lng").agg(F.max("temp_max").alias("top")).persist()
+    joined = features.join(kept, ["lat", "lng"])
+    assert "InMemoryRelation" in optimized(joined) and joined.count() == 4
+    kept.unpersist()
+
+
+def test_entries_are_finished_before_they_become_rows(spark):
+    """Inside the generator a score was evaluated once for each of its uses, in a method too long to be compiled."""
+    rows = spark.range(3).selectExpr(
+        "1E0 AS lat", "2E0 AS lng", "date'2024-01-01' AS date", "cast(id AS double) AS sum30", "0.1E0 AS soil30",
+        "20E0 AS precip_30d_p10", "0.2E0 AS soil_moisture_p10")
+    out = pe.weather_scores(rows, ["drought"])
+    generate = next(line for line in optimized(out).splitlines() if "Generate" in line)
+    assert "rint" not in generate and "format_string" not in generate
+    assert [r["score"] for r in out.orderBy("score").collect()] == [72, 75, 78]

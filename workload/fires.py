@@ -175,7 +175,7 @@ QUERIES = {
         "event_id", "source", "time_utc", "lat_round", "lon_round", "frp", "raw_job_id")),
     "fire_ingest_run": _ingest,
     "fire_windows": lambda t: plain(month_windows(t).where("date >= date '2024-01-07'")),
-    "score_wildfire": lambda t: plain(day_features(t).select("asset_id", "date", F.inline(F.array(pe.wildfire_entry()))).select(
+    "score_wildfire": lambda t: plain(pe.entry_rows(day_features(t), ["asset_id", "date"], {"wildfire": pe.wildfire_entry()}).select(
         "asset_id", "date", "score", "band", F.concat_ws("; ", "drivers").alias("drivers"))),
     "batch_scores_wildfire": _batch_with_fires,
     "notifications_anti": lambda t: nt.notifications_anti(_candidates(t), t.v_notifications, NOW),

@@ -294,5 +294,7 @@ class Tables:
         for base in BASE:
             if any(re.search(rf"\b(from|join)\s+{base}\b", t) for t in [query, *(t for _, t in views)]):
                 getattr(self, base).createOrReplaceTempView(base)
-        ctes = ",\n".join(f"{n} as ({t})" for n, t in views)
-        return self.spark.sql(f"with {ctes}\n{query}" if ctes else query)
+        # views, not CTEs: numbered CTEs hide persisted frames from every plan that has others before them
+        for name, text in views:
+            self.spark.sql(text).createOrReplaceTempView(name)
+        return self.spark.sql(query)
