@@ -42,8 +42,12 @@ def fires_anti(fires: DataFrame, stored: DataFrame, keys: list[str] | None = Non
 
 
 def insert_new_fires(fires: DataFrame, stored: DataFrame, arrival: str, job_id: str) -> DataFrame:
-    """Rows a batch adds to the store."""
-    fresh = fires_anti(keep_newest(fires, ["source", *FIRE_KEY], [F.col(arrival).desc()]), stored)
+    """Rows a batch adds to the store.
+
+    The batch is persisted: its days, its filter of keys and the result read it.
+    """
+    batch = keep_newest(fires, ["source", *FIRE_KEY], [F.col(arrival).desc()]).persist()
+    fresh = fires_anti(batch, stored)
     return fresh.withColumn("raw_job_id", F.lit(job_id)).drop(arrival)
 
 

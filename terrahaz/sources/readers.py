@@ -86,11 +86,13 @@ def fire_csv_normalize(raw: DataFrame, bbox: tuple[float, float, float, float],
     a date range.  Rows without a usable position or time are skipped; a bad
     radiative power becomes NULL."""
     satellite = F.coalesce(_text(raw, "satellite"), _text(raw, "instrument"))
-    rows = raw.select(
+    read = F.struct(
         fire_time(raw).alias("time_utc"),
         number(_text(raw, "latitude", "lat")).alias("lat"), number(_text(raw, "longitude", "lon")).alias("lon"),
         number(_text(raw, "frp")).alias("frp"), _text(raw, "confidence").alias("confidence"),
         satellite.alias("satellite"), *extra)
+    # filters do not pass a generator: below it each would read the texts again
+    rows = raw.select(read.alias("_read")).select(F.inline(F.array("_read")))
     north, west, south, east = bbox
     inside = filter_bbox(rows.where(F.col("time_utc").isNotNull()), north, west, south, east, "lat", "lon")
     dated = filter_date_range(inside.withColumn("_day", F.to_date("time_utc")), start, end, "_day").drop("_day")

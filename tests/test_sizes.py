@@ -6,6 +6,7 @@ from terrahaz.operators import features as ft
 from terrahaz.operators import fires as fi
 from terrahaz.operators import perils as pe
 from terrahaz.operators import units
+from terrahaz.sources import readers
 from workload.views import Tables
 
 
@@ -85,3 +86,17 @@ def test_entries_are_finished_before_they_become_rows(spark):
     generate = next(line for line in optimized(out).splitlines() if "Generate" in line)
     assert "rint" not in generate and "format_string" not in generate
     assert [r["score"] for r in out.orderBy("score").collect()] == [72, 75, 78]
+
+
+def test_fire_texts_are_read_once(spark):
+    """Every filter below the parsing and each of three passes over the batch read the texts again."""
+    raw = spark.range(6).selectExpr(
+        "id AS arrival", "if(id = 5, 'bad', cast(40 + id % 2 AS string)) AS latitude", "'30' AS longitude", "'2024-01-04' AS acq_date",
+        "cast(100 + id % 2 AS string) AS acq_time", "cast(id AS string) AS frp", "'nominal' AS confidence", "'N' AS satellite")
+    fires = readers.fire_csv_normalize(raw, (42.0, 26.0, 36.0, 45.0), "2024-01-01", "2024-01-31", extra=("arrival",)).withColumn(
+        "source", F.lit("s"))
+    assert not [line for line in optimized(fires).splitlines() if "Filter" in line and "yyyy-M-d" in line]
+    stored = fires.limit(0).select("source", *fi.FIRE_KEY)
+    fresh = fi.insert_new_fires(fires, stored, "arrival", "j")
+    assert "InMemoryRelation" in optimized(fresh)
+    assert sorted((r["lat"], r["frp"]) for r in fresh.collect()) == [(40.0, 4.0), (41.0, 3.0)]
