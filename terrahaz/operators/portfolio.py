@@ -144,10 +144,17 @@ def latest_series_point(series: DataFrame) -> DataFrame:
 
 def export_asset_max(scores: DataFrame, assets: DataFrame, include_drivers: bool = True) -> DataFrame:
     """One export row per scored asset: the maximum per peril and the first
-    driver of the earliest day that reached it."""
-    best = scores.groupBy("asset_id", "peril").agg(
-        F.max_by(F.struct("score", F.get("drivers", F.lit(0)).alias("driver")),
-                 F.struct(F.col("score"), -F.unix_date("date"))).alias("best"))
+    driver of the earliest day that reached it.
+
+    Scores are whole numbers.  Score and day make one number, whose maximum is kept
+    in place; a maximum of texts would sort all rows.  The rows stream past the
+    maxima to find their drivers.
+    """
+    rank = F.coalesce(F.col("score").cast("long"), F.lit(-(1 << 30))) * (1 << 32) - F.coalesce(F.unix_date("date"), F.lit((1 << 31) - 1))
+    rows = scores.select("asset_id", "peril", "score", F.get("drivers", F.lit(0)).alias("driver"), rank.alias("_rank"))
+    top = rows.groupBy("asset_id", "peril").agg(F.max("_rank").alias("_rank")).withColumnsRenamed({"peril": "_peril"})
+    best = rows.join(top.hint("shuffle_hash"), ["asset_id", "_rank"]).where(F.col("peril").eqNullSafe(F.col("_peril"))).withColumn(
+        "best", F.struct("score", "driver"))
     columns = {"heat": "score_heat", "rain": "score_precip", "wind": "score_wind",
                "drought": "score_drought", "wildfire": "score_wildfire"}
     picked = {p: F.max(F.when(F.col("peril") == p, F.col("best"))) for p in PERILS}

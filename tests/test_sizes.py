@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from terrahaz.operators import features as ft
 from terrahaz.operators import fires as fi
 from terrahaz.operators import perils as pe
+from terrahaz.operators import portfolio as pf
 from terrahaz.operators import units
 from terrahaz.sources import readers
 from workload.views import Tables
@@ -100,3 +101,18 @@ def test_fire_texts_are_read_once(spark):
     fresh = fi.insert_new_fires(fires, stored, "arrival", "j")
     assert "InMemoryRelation" in optimized(fresh)
     assert sorted((r["lat"], r["frp"]) for r in fresh.collect()) == [(40.0, 4.0), (41.0, 3.0)]
+
+
+def test_export_does_not_sort_all_scores(spark):
+    """A maximum of texts sorted every row of a task; now rows stream past the maximum of a number."""
+    scores = spark.sql("""
+        select * from values ('a', date'2024-01-02', 'heat', 9, array('second')), ('a', date'2024-01-01', 'heat', 9, array('first')),
+            ('a', date'2024-01-03', 'heat', 5, array('late')), ('a', null, 'rain', 7, array('no day')), ('a', date'2024-01-09', 'rain', 7, array('day')),
+            ('b', date'2024-01-01', null, 8, array('no peril')), ('c', date'2024-01-01', 'wind', null, array('no score')),
+            (null, date'2024-01-01', 'heat', 3, array('nobody')) as t(asset_id, date, peril, score, drivers)""")
+    assets = spark.createDataFrame([(i, 1.0, 2.0) for i in "abcd"], "asset_id string, lat double, lon double")
+    out = pf.export_asset_max(scores, assets)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" not in text and "ShuffledHashJoin" in text
+    assert sorted((r["asset_id"], r["score_heat"], r["score_precip"], r["top_drivers"]) for r in out.collect()) == [
+        ("a", 9, 7, "heat:first | rain:day"), ("b", 0, 0, ""), ("c", 0, 0, "wind:no score")]
