@@ -18,10 +18,11 @@ _IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit numbers."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def word_hashes(text, lower: bool = False) -> np.ndarray:

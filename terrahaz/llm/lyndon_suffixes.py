@@ -21,39 +21,60 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     members: list[list[int]] = [[] for _ in values]
     for i, g in enumerate(group):
         members[g].append(i)
+    size = [len(m) for m in members]  # without those that moved on
     below = list(range(-1, len(values) - 1))
     above = list(range(1, len(values))) + [-1]
     previous, taken, descending = [-1] * n, [False] * n, []
+
+    def move(old: int, own: list[int]) -> None:
+        if size[old] == len(own):  # nobody stays, so the group is its own successor
+            return
+        new, up = len(members), above[old]
+        members.append(own)
+        size.append(len(own))
+        size[old] -= len(own)
+        below.append(old)
+        above.append(up)
+        above[old] = new
+        if up >= 0:
+            below[up] = new
+        for p in own:
+            group[p] = new
+
     g = len(values) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        own.sort()
-        found: dict[int, int] = {}
-        for i in own:
+        own = members[g]
+        if size[g] < len(own):
+            own = [i for i in own if group[i] == g]
+        if len(own) == 1:
+            i = own[0]
             p = i - 1
             while p >= 0 and taken[p]:
                 p = previous[p]
             previous[i] = p
             taken[i] = True
+            descending.append(g)
+            members[g] = own
             if p >= 0:
-                found[p] = found.get(p, 0) + 1
-        if own:
+                move(group[p], [p])
+        elif own:
+            own.sort()
+            found: dict[int, int] = {}
+            for i in own:
+                p = i - 1
+                while p >= 0 and taken[p]:
+                    p = previous[p]
+                previous[i] = p
+                taken[i] = True
+                if p >= 0:
+                    found[p] = found.get(p, 0) + 1
             descending.append(g)
             members[g] = own
-        moved: dict[tuple[int, int], list[int]] = {}
-        for p, times in found.items():
-            moved.setdefault((times, group[p]), []).append(p)
-        for times, old in sorted(moved, reverse=True):
-            new = len(members)
-            up = above[old]
-            members.append(moved[times, old])
-            below.append(old)
-            above.append(up)
-            above[old] = new
-            if up >= 0:
-                below[up] = new
-            for p in moved[times, old]:
-                group[p] = new
+            moved: dict[tuple[int, int], list[int]] = {}
+            for p, times in found.items():
+                moved.setdefault((times, group[p]), []).append(p)
+            for times, old in sorted(moved, reverse=True):
+                move(old, moved[times, old])
         g = below[g]
     room, at = {}, 0
     for g in reversed(descending):

@@ -21,7 +21,7 @@ their hashes are equal and fold.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,25 +40,28 @@ from terrahaz.llm.lyndon_suffixes import suffix_order
 WINDOW = 100
 SEED = 16
 REACH = WINDOW - SEED  # an anchor lies at most so far behind its window's first byte
-CHUNK = 2_000_000  # bytes that are hashed at once; their places must fit PLACE_BITS
+CHUNK = 200_000  # bytes that are hashed at once, in a processor's cache; their places must fit PLACE_BITS
 PLACE_BITS = 26
 SYMBOL = 8
 CROWD = 2_000  # different segments of one key from which on they are dealt by more hashes
 DEALS = (4, 16, REACH + 1)  # smallest hashes of a window that make its key, level by level; the last are all
 PORTION = 4_000_000  # bytes of crowded segments that a task cuts at once
 STEP = 10_000  # windows whose hashes are ordered at once
+BAND = 29  # windows that begin at most so far apart are looked for by the bytes they share
+LOT = 2_000  # segments of whole keys that meet in one suffix array
 
 
 class _Segments:
     """Segments of a batch of texts: owner, first window, bytes up to the last window's end, anchor, anchor's hash."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], ranges: Iterable[tuple[int, int, int]] | None = None):
+        """``ranges``: owner, begin and end of the bytes whose windows count, all bytes if left out."""
         self.texts = texts
         parts = []
         pieces, size = [], 0
-        for owner, text in enumerate(texts):
-            for at in range(0, max(len(text) - WINDOW + 1, 0), CHUNK):
-                piece = text[at:at + CHUNK + WINDOW - 1]
+        for owner, begin, end in ((i, 0, len(t)) for i, t in enumerate(texts)) if ranges is None else ranges:
+            for at in range(begin, end - WINDOW + 1, CHUNK):
+                piece = texts[owner][at:min(at + CHUNK + WINDOW - 1, end)]
                 if size + len(piece) > CHUNK and pieces:
                     parts.append(self._chunk(pieces))
                     pieces, size = [], 0
@@ -82,18 +85,20 @@ class _Segments:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low = np.minimum(low[:len(low) - (need - width)], low[need - width:])
+        anchor = (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         lengths = np.array([len(p) for *_, p in pieces])
         starts = np.cumsum(lengths) - lengths
-        which = np.repeat(np.arange(len(pieces)), np.maximum(lengths - WINDOW + 1, 0))
-        counts = np.maximum(lengths - WINDOW + 1, 0)
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + starts[which]
-        anchor = (low[at] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (which[1:] != which[:-1])])
-        last = np.r_[new[1:], len(at)] - 1
-        piece = which[new]
-        shift = np.array([a for _, a, _ in pieces])[piece] - starts[piece]
+        stops = starts + lengths - WINDOW + 1  # after a piece's last window
+        begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        begin = np.union1d(begin, starts)
+        piece = np.searchsorted(starts, begin, "right") - 1
+        inside = begin < stops[piece]
+        begin, piece = begin[inside], piece[inside]
+        last = np.minimum(np.r_[begin[1:], n], stops[piece]) - 1
+        shift = (np.array([a for _, a, _ in pieces]) - starts)[piece]
         owners = np.array([o for o, *_ in pieces])[piece]
-        return owners, at[new] + shift, at[last] + shift + WINDOW, anchor[new] + shift, h[anchor[new]]
+        at = anchor[begin]
+        return owners, begin + shift, last + shift + WINDOW, at + shift, h[at]
 
     def bytes_of(self, i: int) -> bytes:
         return self.texts[self.owner[i]][self.first[i]:self.end[i]]
@@ -155,15 +160,25 @@ def _earliest(digests: np.ndarray, ids: np.ndarray, ths: np.ndarray, first: np.n
     return out
 
 
+def _around(texts: list[bytes], owner: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Owner, begin and end of the bytes that windows of these anchors (ascending by owner and place) can cover."""
+    begin = np.maximum(anchor - REACH, 0)
+    end = np.minimum(anchor + WINDOW, np.array([len(t) for t in texts], np.int64)[owner])
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (begin[1:] > end[:-1])]) if len(owner) else np.zeros(0, np.int64)
+    last = np.r_[new[1:], len(owner)][:len(new)] - 1
+    return zip(owner[new].tolist(), begin[new].tolist(), end[last].tolist(), strict=True)
+
+
 def _segments_of(parts: int):
     """Flagged segments: repeats within the batch as spans, the earliest of each as bytes for their anchor's task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _Segments(_texts(batch))
-            flags = batch.column("places")
+            texts, flags = _texts(batch), batch.column("places")
             fowner = np.repeat(np.arange(len(flags)), [len(f) for f in flags])
-            flagged = np.isin((s.owner << 32) | s.anchor, (fowner << 32) | np.asarray(flags.flatten()).astype(np.int64))
+            flag = np.sort((fowner << 32) | np.asarray(flags.flatten()).astype(np.int64))
+            s = _Segments(texts, _around(texts, flag >> 32, flag & 0xFFFFFFFF))
+            flagged = np.isin((s.owner << 32) | s.anchor, flag)
             pick = np.flatnonzero(flagged)
             if not len(pick):
                 continue
@@ -214,20 +229,36 @@ def _unpacked(row: dict, pick: np.ndarray | None = None) -> tuple[list[bytes], n
         ("hashes", np.uint64), ("ids", np.int64), ("ths", np.int64), ("places", np.int32))))
 
 
+def _frequent(most: int):
+    """part, keys: the keys of a part with more than ``most`` segments, equal ones of other batches counted again."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, count = np.unique(_joined(rows, "hashes", np.int64), return_counts=True)
+        keys = keys[count > most]
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "keys": [keys]}).iloc[:min(len(keys), 1)]
+
+    return run
+
+
 def _segment_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different segments of every key that a batch holds, as digests."""
+    """The different segments that a batch holds of every key among ``keys``, as digests."""
     for batch in batches:
         for row in batch.to_pylist():
-            if row["part"] >= 0:
-                contexts, back, h, *_ = _unpacked(row)
+            pick = np.flatnonzero(_hit(row))
+            if len(pick):
+                contexts, back, h, *_ = _unpacked(row, pick)
                 found = np.unique(np.stack([h, _digests(contexts, back)], 1), axis=0).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row["part"], np.int32)), pa.array(found[:, 0].copy()),
                                                   pa.array(found[:, 1].copy())], ["part", "key", "digest"])
 
 
 def crowded_keys(segments: DataFrame, most: int) -> DataFrame:
-    """part, keys: the keys of a part with more than ``most`` different segments."""
-    each = segments.mapInArrow(_segment_counts, "part int, key long, digest long").distinct()
+    """part, keys: the keys of a part with more than ``most`` different segments.
+
+    Different ones are counted of keys that have so many segments at all.
+    """
+    frequent = written(segments.where("part >= 0").select("part", "hashes").groupBy("part").applyInPandas(
+        _frequent(most), "part int, keys array<long>"), "suffix-frequent")
+    each = segments.join(checked_broadcast(frequent, "keys"), "part").mapInArrow(_segment_counts, "part int, key long, digest long").distinct()
     crowded = each.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     return crowded.groupBy("part").agg(F.collect_list("key").alias("keys"))
 
@@ -328,17 +359,23 @@ def repeats_by_suffixes(contexts: list[bytes], back: np.ndarray, rank: np.ndarra
     right = np.array([len(r) for r in rights])
     width = -(-WINDOW // SYMBOL)
     table = np.frombuffer(b"".join(r.ljust(width * SYMBOL, b"\0") for r in rights), np.uint8).reshape(n, -1)
-    symbols = table.view(f">u{SYMBOL}").astype(np.uint64)
-    held = np.arange(width) * SYMBOL < right[:, None]
+    numbered: dict[bytes, int] = {}  # equal texts from the anchor on share a place in the order
+    which = np.array([numbered.setdefault(r, len(numbered)) for r in rights])
+    first = np.zeros(len(numbered), np.int64)
+    first[which[::-1]] = np.arange(n - 1, -1, -1)
+    symbols = table[first].view(f">u{SYMBOL}").astype(np.uint64)
+    held = np.arange(width) * SYMBOL < right[first, None]
     _, numbers = np.unique(symbols[held], return_inverse=True)
-    text = np.zeros((n, width + 1), np.int64)  # 0 closes a context
+    text = np.zeros((len(first), width + 1), np.int64)  # 0 closes a context
     text[:, :-1][held] = numbers + 1
-    inside = np.c_[held, np.ones(n, bool)]
+    inside = np.c_[held, np.ones(len(first), bool)]
     begins = np.cumsum(inside.sum(1)) - inside.sum(1)
     at = np.full(int(inside.sum()), -1)
-    at[begins] = np.arange(n)
+    at[begins] = np.arange(len(first))
     order = at[suffix_order(text[inside])]
-    order = order[order >= 0]
+    place = np.empty(len(first), np.int64)
+    place[order[order >= 0]] = np.arange(len(first))
+    order = np.argsort(place[which], kind="stable")
     rows = table[order]
     shared = np.r_[0, np.minimum(np.argmin(np.c_[rows[1:] == rows[:-1], np.zeros(n - 1, bool)], 1), np.minimum(right[order[1:]], right[order[:-1]]))]
     out = np.zeros((n, REACH + 1), bool)
@@ -360,6 +397,36 @@ def repeats_by_suffixes(contexts: list[bytes], back: np.ndarray, rank: np.ndarra
     return out
 
 
+def agreeing(contexts: list[bytes], back: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Segments of which another one of their key has all the bytes that some windows of a ``BAND`` share.
+
+    No window of the others is equal to any: equal windows lie in one band, at the
+    same distance before the anchor.
+    """
+    back = np.minimum(back, REACH)
+    right = np.array([len(c) for c in contexts], np.int64) - back
+    out = np.zeros(len(contexts), bool)
+    for low in range(0, REACH + 1, BAND):
+        high = min(low + BAND - 1, REACH)
+        has = np.flatnonzero((back >= low) & (right >= WINDOW - high))
+        shared = np.fromiter((xxhash.xxh3_64_intdigest(contexts[i][b - low:b + WINDOW - high])
+                              for i, b in zip(has.tolist(), back[has].tolist(), strict=True)), np.uint64, len(has))
+        _, group, count = np.unique(mixed(key[has]) ^ shared, return_inverse=True, return_counts=True)
+        out[has[count[group] > 1]] = True
+    return out
+
+
+def _lots(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of segments in lots of whole keys, of at least ``LOT`` segments but for the last."""
+    order = np.argsort(key, kind="stable")
+    ends = np.r_[np.flatnonzero(key[order[1:]] != key[order[:-1]]) + 1, len(key)] if len(key) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(key):
+        to = int(ends[np.searchsorted(ends, min(at + LOT, len(key)))])
+        yield order[at:to]
+        at = to
+
+
 def _spans(rows: pd.DataFrame) -> pd.DataFrame:
     """Spans of repeated bytes of the segments of one part."""
     ids, ths, first = _joined(rows, "ids", np.int64), _joined(rows, "ths", np.int64), _joined(rows, "places", np.int32)
@@ -376,22 +443,22 @@ def _spans(rows: pd.DataFrame) -> pd.DataFrame:
     late = np.flatnonzero(~lead)
     out = [(ids[late], ths[late], first[late], first[late] + length[late])]
     go = np.flatnonzero(lead)
-    _, group, count = np.unique(h[go], return_inverse=True, return_counts=True)
-    go = go[count[group] > 1]
-    if len(go):
-        starts = np.lexsort((first[go] + back[go], ids[go]))
-        place = np.stack([ids[go], first[go] + back[go]], 1)[starts]
-        rank = np.empty(len(go), np.int64)  # order of the anchors is the order of their windows at one distance
+    go = go[agreeing([contexts[i] for i in go.tolist()], back[go], h[go])]
+    for lot in _lots(h[go]):
+        some = go[lot]
+        starts = np.lexsort((first[some] + back[some], ids[some]))
+        place = np.stack([ids[some], first[some] + back[some]], 1)[starts]
+        rank = np.empty(len(some), np.int64)  # order of the anchors is the order of their windows at one distance
         rank[starts] = np.cumsum(np.r_[0, (place[1:] != place[:-1]).any(1)])
-        hit = repeats_by_suffixes([contexts[i] for i in go.tolist()], back[go], rank)
+        hit = repeats_by_suffixes([contexts[i] for i in some.tolist()], back[some], rank)
         i, r = np.nonzero(hit)
         if len(i):
-            begin = first[go[i]] + back[go[i]] - r
+            begin = first[some[i]] + back[some[i]] - r
             o = np.lexsort((begin, i))
             i, begin = i[o], begin[o]
             new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (begin[1:] > begin[:-1] + WINDOW)])
             tails = np.r_[new[1:], len(i)] - 1
-            g = go[i[new]]
+            g = some[i[new]]
             out.append((ids[g], ths[g], begin[new], begin[tails] + WINDOW))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)]
     return pd.DataFrame(dict(zip(("_id", "_th", "begin", "end"), cols, strict=True))).astype({"begin": np.int32, "end": np.int32})

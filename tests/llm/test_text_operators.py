@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,6 +275,84 @@ def test_pieces_hold_every_window_and_equal_ones_share_a_key(upto):
         assert len(set(seen.values())) == len(seen)
 
 
+def _part(texts, parts=1):
+    """Everything in ``texts`` (by id) as packed segments of one part."""
+    s = suffix_repeats._Segments(texts)
+    contexts = [s.bytes_of(i) for i in range(len(s.hash))]
+    rows = suffix_repeats._packed(contexts, s.anchor - s.first, s.hash, s.owner, s.owner * 0, s.first, s.owner, parts)
+    return pd.DataFrame([r for r in rows if r[0] >= 0], columns=suffix_repeats.NAMES)
+
+
+def test_segments_that_share_only_their_anchor_meet_in_no_suffix_array(monkeypatch):
+    """All segments of a part met in one suffix array, however little they had in common."""
+    rng = random.Random(3)
+    phrases = [" ".join(_words(rng, 4))[:20] for _ in range(40)]
+    alike = [" ".join(w for _ in range(12) for w in [*_words(rng, 6), rng.choice(phrases)]).encode() for _ in range(200)]
+    passage = " ".join(_words(rng, 30)).encode()
+    texts = alike + [b" ".join([" ".join(_words(rng, 9)).encode(), passage, " ".join(_words(rng, 9)).encode()]) for _ in range(40)]
+    sizes = []
+    judge = suffix_repeats.repeats_by_suffixes
+    monkeypatch.setattr(suffix_repeats, "repeats_by_suffixes", lambda contexts, *rest: sizes.append(len(contexts)) or judge(contexts, *rest))
+    monkeypatch.setattr(suffix_repeats, "LOT", 50)
+    part = _part(texts)
+    hashes = np.concatenate([np.frombuffer(b, np.uint64) for b in part["hashes"]])
+    _, count = np.unique(hashes, return_counts=True)
+    spans = suffix_repeats._spans(part)
+    seen, want, got = {}, {}, {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 99):
+            if seen.setdefault(t[at:at + 100], i) != i:
+                want.setdefault(i, set()).update(range(at, at + 100))
+    for i, b, e in zip(spans["_id"], spans["begin"], spans["end"], strict=True):
+        got.setdefault(i, set()).update(range(b, e))
+    folded = _spans_of_equal_segments(texts)
+    for i, places in folded.items():
+        got.setdefault(i, set()).update(places)
+    assert got == want and want
+    assert 0 < sum(sizes) < count[count > 1].sum() / 2 and max(sizes) < 50 + count.max()
+
+
+def _spans_of_equal_segments(texts):
+    """Bytes that ``_packed`` settles itself: segments equal to one of an earlier text."""
+    s = suffix_repeats._Segments(texts)
+    seen, out = {}, {}
+    for i in range(len(s.hash)):
+        key = (s.bytes_of(i), int(s.anchor[i] - s.first[i]))
+        if seen.setdefault(key, int(s.owner[i])) != int(s.owner[i]):
+            out.setdefault(int(s.owner[i]), set()).update(range(int(s.first[i]), int(s.end[i])))
+    return out
+
+
+def test_text_away_from_flagged_anchors_is_not_hashed_again():
+    rng = random.Random(8)
+    texts = [" ".join(_words(rng, 400)).encode(), b"short", b"", b"ab" * 300]
+    whole = suffix_repeats._Segments(texts)
+    pick = np.array(sorted(rng.sample(range(len(whole.hash)), 9)))
+    ranges = list(suffix_repeats._around(texts, whole.owner[pick], whole.anchor[pick]))
+    assert sum(e - b for _, b, e in ranges) < sum(map(len, texts)) * 0.8
+    near = suffix_repeats._Segments(texts, ranges)
+    columns = lambda s: list(zip(s.owner.tolist(), s.anchor.tolist(), s.first.tolist(), s.end.tolist(), s.hash.tolist(), strict=True))
+    wanted = {x for i, x in enumerate(columns(whole)) if i in set(pick.tolist())}
+    keys = {x[:2] for x in wanted}
+    assert {x for x in columns(near) if x[:2] in keys} == wanted
+    assert list(suffix_repeats._around(texts, np.zeros(0, np.int64), np.zeros(0, np.int64))) == []
+
+
+def test_equal_segments_of_other_batches_crowd_no_key(spark):
+    text = " ".join(_words(random.Random(2), 60)).encode()
+    same, other = _part([text]), _part([text[:150] + bytes([c]) + text[151:] for c in range(65, 75)])
+    names = list(suffix_repeats.NAMES)
+    frame = spark.createDataFrame(pd.concat([same] * 8 + [other])[names], suffix_repeats.PACKED).repartition(3)
+    each = {}
+    for row in frame.collect():
+        contexts, back, h, *_ = suffix_repeats._unpacked(row.asDict())
+        for c, b, k in zip(contexts, back.tolist(), h.tolist(), strict=True):
+            each.setdefault((row["part"], int(np.uint64(k).astype(np.int64))), set()).add((c, b))
+    got = {(r["part"], k) for r in suffix_repeats.crowded_keys(frame, 5).collect() for k in r["keys"]}
+    assert got == {k for k, v in each.items() if len(v) > 5} and 0 < len(got) < len(each)
+    assert suffix_repeats.crowded_keys(frame, 100).isEmpty()
+
+
 def test_a_passage_in_a_third_of_all_documents(spark):
     rng = random.Random(21)
     passage = " ".join(_words(rng, 40))
