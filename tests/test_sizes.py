@@ -8,6 +8,8 @@ from terrahaz.operators import perils as pe
 from terrahaz.operators import portfolio as pf
 from terrahaz.operators import units
 from terrahaz.sources import readers
+from workload import climate
+from workload.common import plain
 from workload.views import Tables
 
 
@@ -61,6 +63,21 @@ def test_pairs_of_one_node_are_made_in_several_tasks(spark):
     assert out.groupBy(F.spark_partition_id()).count().count() > 1
 
 
+def test_instants_are_text_before_they_meet_points(spark, tmp_path):
+    """Each pair of a reading and a point once made the text of the reading's time anew."""
+    spark.range(130).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 10:20:30' AS ts", "if(id = 7, null, id) AS user_id", "'view' AS event_type",
+        "if(id = 3, null, 1.5E0) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(60).selectExpr("if(id = 9, null, id) AS c_custkey", "'m' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    out = climate.QUERIES["hourly_point_sample"](Tables(spark, str(tmp_path)))
+    above, below = optimized(out).split("Join", 1)
+    assert "as string) AS time" not in above and "as string) AS time" in below
+    t = Tables(spark, str(tmp_path))
+    late = plain(ft.hourly_point_sample(t.v_grid, t.v_assets.select(F.col("asset_id").alias("point_id"), "lat", "lon")))
+    assert out.schema == late.schema and out.count() > 0
+    assert sorted(map(str, out.collect())) == sorted(map(str, late.collect()))
+
+
 def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
