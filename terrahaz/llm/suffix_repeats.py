@@ -6,7 +6,7 @@ equal windows have equal anchors.  Neighbouring windows of one anchor form a
 segment.  Segments whose anchor occurs once are done with.  The others meet by
 anchor; identical segments fold into their earliest, and what is left of an
 anchor goes through a suffix array, built by Lyndon groups (``lyndon_suffixes``)
-over the texts from the anchors on, in symbols of eight bytes.  In suffix order,
+over the texts from the anchors on, in symbols of 16 bytes.  In suffix order,
 windows that agree from the anchor on are neighbours; those that also agree
 before it are equal, and all but the earliest are repeats.
 
@@ -42,7 +42,7 @@ SEED = 16
 REACH = WINDOW - SEED  # an anchor lies at most so far behind its window's first byte
 CHUNK = 200_000  # bytes that are hashed at once, in a processor's cache; their places must fit PLACE_BITS
 PLACE_BITS = 26
-SYMBOL = 8
+SYMBOL = 16
 CROWD = 2_000  # different segments of one key from which on they are dealt by more hashes
 DEALS = (4, 16, REACH + 1)  # smallest hashes of a window that make its key, level by level; the last are all
 PORTION = 4_000_000  # bytes of crowded segments that a task cuts at once
@@ -363,7 +363,9 @@ def repeats_by_suffixes(contexts: list[bytes], back: np.ndarray, rank: np.ndarra
     which = np.array([numbered.setdefault(r, len(numbered)) for r in rights])
     first = np.zeros(len(numbered), np.int64)
     first[which[::-1]] = np.arange(n - 1, -1, -1)
-    symbols = table[first].view(f">u{SYMBOL}").astype(np.uint64)
+    _, halves = np.unique(table[first].view(">u8").astype(np.uint64), return_inverse=True)
+    halves = halves.reshape(len(first), -1)
+    symbols = halves[:, ::2] * (halves.max() + 1) + halves[:, 1::2]
     held = np.arange(width) * SYMBOL < right[first, None]
     _, numbers = np.unique(symbols[held], return_inverse=True)
     text = np.zeros((len(first), width + 1), np.int64)  # 0 closes a context
@@ -466,20 +468,18 @@ def _spans(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        begins, ends = [], []
-        for spans in batch.column("spans").to_pylist():
-            b, e = [], []
-            for x in spans:  # sorted
-                if e and x["begin"] <= e[-1]:
-                    e[-1] = max(e[-1], x["end"])
-                else:
-                    b.append(x["begin"])
-                    e.append(x["end"])
-            begins.append(b)
-            ends.append(e)
-        ints = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), pa.array(begins, ints), pa.array(ends, ints)],
-                                         ["_id", "_th", "begins", "ends"])
+        spans = batch.column("spans")
+        flat = spans.flatten()
+        begin, end = (np.asarray(flat.field(n)).astype(np.int64) for n in ("begin", "end"))
+        edges = np.asarray(spans.offsets).astype(np.int64)
+        edges -= edges[0]
+        text = np.repeat(np.arange(len(spans)), np.diff(edges))
+        reach = np.maximum.accumulate((text << 32) | end) & 0xFFFFFFFF  # farthest end of a text's spans so far; spans are sorted
+        new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (begin[1:] > reach[:-1])][:len(text)])
+        last = np.r_[new[1:], len(text)][:len(new)] - 1
+        offsets = pa.array(np.searchsorted(new, edges), pa.int32())
+        begins, ends = (pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (begin[new], reach[last]))
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), begins, ends], ["_id", "_th", "begins", "ends"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

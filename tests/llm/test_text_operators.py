@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +339,17 @@ def test_text_away_from_flagged_anchors_is_not_hashed_again():
     assert list(suffix_repeats._around(texts, np.zeros(0, np.int64), np.zeros(0, np.int64))) == []
 
 
+def test_spans_of_a_text_are_merged_without_its_neighbours():
+    lists = [[(0, 100), (20, 130), (40, 110), (130, 140), (141, 300)], [], [(5, 105)], [(5, 400), (7, 9), (400, 401), (500, 600)], [(0, 1)]]
+    spans = pa.array([[{"begin": b, "end": e} for b, e in x] for x in lists], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+    ids = pa.array(range(5), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, spans], ["_id", "_th", "spans"])
+    want = [([0, 141], [140, 300]), ([], []), ([5], [105]), ([5, 500], [401, 600]), ([0], [1])]
+    for part, wanted in ((batch, want), (batch.slice(1, 3), want[1:4]), (batch.slice(0, 0), []), (batch.slice(1, 1), want[1:2])):
+        rows = [r for out in suffix_repeats._merged([part]) for r in out.to_pylist()]
+        assert [(r["begins"], r["ends"]) for r in rows] == wanted
+
+
 def test_equal_segments_of_other_batches_crowd_no_key(spark):
     text = " ".join(_words(random.Random(2), 60)).encode()
     same, other = _part([text]), _part([text[:150] + bytes([c]) + text[151:] for c in range(65, 75)])
