@@ -4,8 +4,9 @@ No task can sort all suffixes of a corpus, so windows of 100 bytes are dealt by
 content: each belongs to the place of its smallest 16-byte hash, its anchor, and
 equal windows have equal anchors.  Neighbouring windows of one anchor form a
 segment.  Segments whose anchor occurs once are done with.  The others meet by
-anchor; identical segments fold into their earliest, and what is left of an
-anchor goes through a suffix array, built by Lyndon groups (``lyndon_suffixes``)
+anchor; identical segments fold into their earliest, and those that share enough
+bytes with another to hold an equal window go through suffix arrays, each of a
+lot of whole anchors, built by Lyndon groups (``lyndon_suffixes``)
 over the texts from the anchors on, in symbols of 16 bytes.  In suffix order,
 windows that agree from the anchor on are neighbours; those that also agree
 before it are equal, and all but the earliest are repeats.
